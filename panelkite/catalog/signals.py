@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelkite.catalog.factors import CROSS, daily
 from panelkite.catalog.registry import query, r, rounded
-from panelkite.catalog.tables import PANEL, WEEKLY, with_
+from panelkite.catalog.tables import BARS, PANEL, SYMBOLS, WEEKLY, with_
 from panelkite.functions import factors as fx
 from panelkite.operators import panel as pn
 from panelkite.operators import signals as sg
@@ -180,11 +180,9 @@ def event_panel(spark, sf_dir):
     + f"SELECT ts, symbol_id, {r('weight')} AS weight FROM ev, st0, st1 WHERE ts BETWEEN a AND b",
 )
 def episode(spark, sf_dir):
-    held = F.col("symbol_id") == 3
-    total = F.when(held, F.col("weight")).otherwise(0.0)
-    weights = cross_weights(spark, sf_dir)
-    # one symbol's share of the portfolio, rescaled to the whole budget
-    lone = weights.withColumn("weight", F.when(total > 0, 0.9).otherwise(0.0))
+    # a portfolio that only ever holds symbol 3, with the whole budget
+    held = (F.col("symbol_id") == 3) & (F.col("weight") > 0)
+    lone = cross_weights(spark, sf_dir).withColumn("weight", F.when(held, 0.9).otherwise(0.0))
     return sg.first_episode(sg.event_panel(lone)).select(
         "ts", "symbol_id", rounded("weight").alias("weight")
     )
@@ -192,30 +190,20 @@ def episode(spark, sf_dir):
 
 @query(
     "universe_filter",
-    with_(PANEL)
+    with_(PANEL, SYMBOLS)
     + """SELECT symbol_id, ts, close FROM panel
-       WHERE symbol_id IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey IN (1, 4, 6))""",
+       WHERE symbol_id IN (SELECT symbol_id FROM symbols WHERE exchange = 'X1')""",
 )
 def universe_filter(spark, sf_dir):
-    chosen = (
-        tb.table(spark, sf_dir, "lineitem")
-        .where(F.col("l_suppkey").isin(1, 4, 6))
-        .select(F.col("l_suppkey").alias("symbol_id"))
-        .distinct()
-    )
+    chosen = tb.symbols(spark, sf_dir).where("exchange = 'X1'")
     return sg.in_universe(daily(spark, sf_dir), chosen).select("symbol_id", "ts", "close")
 
 
 @query(
     "universe_unknown",
-    with_(PANEL)
-    + """SELECT DISTINCT l_suppkey AS symbol_id FROM lineitem
-       WHERE l_suppkey < 12 AND l_suppkey NOT IN (SELECT symbol_id FROM bars)""",
+    with_(BARS)
+    + """SELECT s_suppkey AS symbol_id FROM supplier WHERE s_suppkey NOT IN (SELECT symbol_id FROM bars)""",
 )
 def universe_unknown(spark, sf_dir):
-    chosen = (
-        tb.table(spark, sf_dir, "lineitem")
-        .where("l_suppkey < 12")
-        .select(F.col("l_suppkey").alias("symbol_id"))
-    )
+    chosen = tb.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol_id"))
     return sg.unknown_universe(chosen, tb.bars_daily(spark, sf_dir))

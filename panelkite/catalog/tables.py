@@ -100,3 +100,50 @@ ledger AS MATERIALIZED (
 
 def with_(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(parts) + "\n"
+
+FUND_FACTORS = """
+factors AS MATERIALIZED (
+  SELECT symbol_id, ts, round(1.0 + avg(l_tax) + 1.23e-9, 6) AS adj_factor
+  FROM items WHERE l_linenumber <= 3 GROUP BY symbol_id, ts)"""
+
+MIX = """
+daily AS (SELECT event_type AS name, CAST(ts AS DATE) AS ts, count(*) AS n FROM events
+          WHERE day(ts) % 7 = 3 GROUP BY 1, 2),
+mixw AS MATERIALIZED (
+  SELECT 'activity' AS run_id, ts, name,
+         round(0.9::DOUBLE * n / sum(n) OVER (PARTITION BY ts) + 1.23e-9, 6) AS weight FROM daily
+  UNION ALL SELECT 'equal', ts, name, 0.15::DOUBLE FROM daily),
+mixc AS MATERIALIZED (
+  SELECT run_id, name, ts, equity FROM curves CROSS JOIN (SELECT unnest(['activity', 'equal']) AS run_id)),
+grid AS (SELECT n.run_id, n.name, d.ts FROM (SELECT DISTINCT run_id, name FROM mixc) n
+         JOIN (SELECT DISTINCT run_id, ts FROM mixc) d ON d.run_id = n.run_id),
+cells AS (SELECT g.run_id, g.name, g.ts, w.weight,
+    coalesce(c.equity / lag(c.equity) OVER (PARTITION BY g.run_id, g.name ORDER BY g.ts) - 1, 0) AS r,
+    sum(CASE WHEN x.ts IS NULL THEN 0 ELSE 1 END)
+      OVER (PARTITION BY g.run_id, g.name ORDER BY g.ts) AS seg
+  FROM grid g
+  LEFT JOIN mixc c ON c.run_id = g.run_id AND c.name = g.name AND c.ts = g.ts
+  LEFT JOIN mixw w ON w.run_id = g.run_id AND w.name = g.name AND w.ts = g.ts
+  LEFT JOIN (SELECT DISTINCT run_id, ts FROM mixw) x ON x.run_id = g.run_id AND x.ts = g.ts),
+grown AS MATERIALIZED (SELECT *,
+    coalesce(first_value(weight) OVER s, 0) AS w, product(1 + r) OVER s AS g
+  FROM cells WINDOW s AS (PARTITION BY run_id, name, seg ORDER BY ts)),
+navday AS (SELECT run_id, seg, ts, 1 + sum(w * (g - 1)) AS f FROM grown GROUP BY 1, 2, 3),
+bases AS (SELECT run_id, seg, coalesce(product(e) OVER (PARTITION BY run_id ORDER BY seg
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS base
+  FROM (SELECT run_id, seg, arg_max(f, ts) AS e FROM navday GROUP BY 1, 2)),
+nav AS MATERIALIZED (SELECT d.run_id, d.ts, d.f * b.base AS equity
+  FROM navday d JOIN bases b ON b.run_id = d.run_id AND b.seg = d.seg)"""
+
+ACTIVITY = """
+act AS MATERIALIZED (
+  SELECT run_id, ts, symbol_id, n::DOUBLE / sum(n) OVER (PARTITION BY run_id, ts) AS weight
+  FROM (SELECT event_type AS run_id, CAST(ts AS DATE) AS ts, user_id AS symbol_id, count(*) AS n
+        FROM events GROUP BY 1, 2, 3)),
+actgrid AS (SELECT s.run_id, d.ts, s.symbol_id, coalesce(a.weight, 0) AS weight
+  FROM (SELECT DISTINCT run_id, symbol_id FROM act) s
+  JOIN (SELECT DISTINCT run_id, ts FROM act) d ON d.run_id = s.run_id
+  LEFT JOIN act a ON a.run_id = s.run_id AND a.ts = d.ts AND a.symbol_id = s.symbol_id),
+changes AS (SELECT run_id, ts, sum(abs(coalesce(weight - prev, 0))) AS change
+  FROM (SELECT *, lag(weight) OVER (PARTITION BY run_id, symbol_id ORDER BY ts) AS prev FROM actgrid)
+  GROUP BY 1, 2)"""

@@ -104,11 +104,13 @@ def weight_changes(weights: DataFrame, key: str = "run_id", name: str = "symbol_
         F.abs("weight"),
     ).otherwise(0.0)
     parts = rows.select(
+        key, "ts", "_next", entered.alias("_entered"), left.alias("_left")
+    ).select(
         key,
         F.inline(
             F.array(
-                F.struct(F.col("ts").alias("ts"), entered.alias("change")),
-                F.struct(F.coalesce("_next", "ts").alias("ts"), left.alias("change")),
+                F.struct(F.col("ts").alias("ts"), F.col("_entered").alias("change")),
+                F.struct(F.coalesce("_next", "ts").alias("ts"), F.col("_left").alias("change")),
             )
         ),
     )

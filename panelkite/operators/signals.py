@@ -131,10 +131,25 @@ def event_panel(weights: DataFrame) -> DataFrame:
 
 def first_episode(events: DataFrame) -> DataFrame:
     """From the first invested date to the first later date in cash; empty when it never clears."""
+    # one entry per rebalance date: bounded by the calendar
     totals = events.groupBy("ts").agg(F.sum("weight").alias("total"))
-    start = totals.where("total > 0").agg(F.min("ts")).scalar()
-    clear = totals.where((F.col("total") == 0) & (F.col("ts") > start)).agg(F.min("ts")).scalar()
-    return events.where((F.col("ts") >= start) & (F.col("ts") <= clear))
+    days = F.collect_list(F.struct("ts", "total"))
+
+    def first(keep) -> Column:
+        return F.array_min(F.transform(F.filter("days", keep), lambda d: d["ts"]))
+
+    span = (
+        totals.agg(days.alias("days"))
+        .select("days", first(lambda d: d["total"] > 0).alias("start"))
+        .select(
+            F.struct(
+                "start",
+                first(lambda d: (d["total"] == 0) & (d["ts"] > F.col("start"))).alias("clear"),
+            )
+        )
+        .scalar()
+    )
+    return events.where(F.col("ts").between(span["start"], span["clear"]))
 
 
 def in_universe(df: DataFrame, universe: DataFrame) -> DataFrame:

@@ -181,3 +181,57 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.date_add("_last", F.col("days")).cast("timestamp_ntz").alias("finished_at"),
         )
     )
+
+
+def fund_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendor adjustment factors, absent on some dates."""
+    return (
+        weekday_items(spark, sf_dir)
+        .where("l_linenumber <= 3")
+        .groupBy("symbol_id", "ts")
+        .agg(_fixed(1.0 + F.avg("l_tax")).alias("adj_factor"))
+    )
+
+
+def mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly weights of the event types in two portfolios: by activity, and equal."""
+    daily = (
+        table(spark, sf_dir, "events")
+        .groupBy(F.col("event_type").alias("name"), F.col("ts").cast("date").alias("ts"))
+        .agg(F.count("*").alias("_n"))
+        .where(F.dayofmonth("ts") % 7 == 3)
+    )
+    totals = daily.groupBy("ts").agg(F.sum("_n").alias("_all"))
+    both = F.inline(
+        F.array(
+            F.struct(
+                F.lit("activity").alias("run_id"),
+                _fixed(0.9 * F.col("_n") / F.col("_all")).alias("weight"),
+            ),
+            F.struct(F.lit("equal").alias("run_id"), F.lit(0.15).alias("weight")),
+        )
+    )
+    return daily.join(totals, "ts").select("ts", "name", both)
+
+
+def mix_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event-type curves, once per portfolio."""
+    runs = F.explode(F.array(F.lit("activity"), F.lit("equal"))).alias("run_id")
+    return curves_by_type(spark, sf_dir).select(runs, "name", "ts", "equity")
+
+
+def activity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each user in a type's daily activity: (run_id = type, symbol_id = user)."""
+    daily = (
+        table(spark, sf_dir, "events")
+        .groupBy(
+            F.col("event_type").alias("run_id"),
+            F.col("ts").cast("date").alias("ts"),
+            F.col("user_id").alias("symbol_id"),
+        )
+        .agg(F.count("*").alias("_n"))
+    )
+    totals = daily.groupBy("run_id", "ts").agg(F.sum("_n").alias("_all"))
+    return daily.join(totals, ["run_id", "ts"]).select(
+        "run_id", "ts", "symbol_id", (F.col("_n") / F.col("_all")).alias("weight")
+    )
