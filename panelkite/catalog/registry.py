@@ -13,7 +13,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 SQL: dict[str, str] = {}
 
-FAMILIES = ("factors", "panels", "signals", "portfolio", "metrics", "cleaning")
+FAMILIES = ("factors", "panels", "signals", "portfolio", "metrics", "cleaning", "quality")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
