@@ -13,7 +13,19 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 SQL: dict[str, str] = {}
 
-FAMILIES = ("factors", "panels", "signals", "portfolio", "metrics", "cleaning", "quality")
+FAMILIES = (
+    "factors",
+    "panels",
+    "signals",
+    "portfolio",
+    "metrics",
+    "cleaning",
+    "quality",
+    "lookups",
+    "vendors",
+    "storage",
+    "generated",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:

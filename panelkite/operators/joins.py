@@ -108,10 +108,14 @@ def next_session(decisions: DataFrame, sessions: DataFrame, ts: str = "ts") -> D
 
     `sessions` has one row per date, so its ordered list is short; decisions may fall on any day.
     """
-    days = sessions.agg(F.array_sort(F.collect_set("ts"))).scalar()
-    later = F.filter(days, lambda d: d > F.col(ts))
-    distinct = decisions.select(ts).distinct().select(ts, F.get(later, F.lit(0)).alias("next_ts"))
-    return decisions.join(distinct, ts)
+    later = sessions.agg(F.array_sort(F.collect_set("ts")).alias("_days"))
+    dates = decisions.select(ts).distinct()
+    return decisions.join(
+        dates.withColumn("_days", later.scalar()).select(
+            ts, F.get(F.filter("_days", lambda d: d > F.col(ts)), F.lit(0)).alias("next_ts")
+        ),
+        ts,
+    )
 
 
 def lost_weight(weights: DataFrame, universe: DataFrame) -> DataFrame:
