@@ -102,11 +102,15 @@ def generated_panel(spark, sf_dir):
 
 @query(
     "known_answer_nav",
-    with_(GEN)
-    + """SELECT symbol_id, NOT bool_or(fail AND idx > 0) AS reproduced FROM cell GROUP BY symbol_id""",
+    # off only where an action fell into a gap, the first session failed, or both kinds met on a day
+    with_(GEN, "lastobs AS (SELECT symbol_id, max(idx) AS li FROM cell WHERE NOT fail GROUP BY 1)")
+    + """SELECT symbol_id, count(*) FILTER (WHERE fail) AS missing,
+       NOT bool_or((fail AND idx < li AND (idx = 0 OR r <> 1 OR d <> 0))
+                   OR (idx > 0 AND r <> 1 AND d <> 0)) AS agrees
+       FROM cell JOIN lastobs USING (symbol_id) GROUP BY symbol_id""",
 )
 def known_answer_nav(spark, sf_dir):
-    """The return recomputed from prices equals the declared one for symbols without failed days."""
+    """The total return recomputed from prices and actions against the declared one."""
     symbols, sessions, actions, halts, failures = parts(spark, sf_dir)
     bars = sy.price_panel(symbols, sessions, actions, halts, failures, seed=7)
     kinds = F.inline(
@@ -117,7 +121,10 @@ def known_answer_nav(spark, sf_dir):
     )
     long = actions.select("symbol_id", F.col("ts").alias("ex_date"), kinds)
     navs = cl.total_return_index(bars, long)
-    return sy.answer_check(bars, navs).select("symbol_id", (F.col("max_dev") < 1e-9).alias("reproduced"))
+    expected = symbols.join(sessions, "exchange").select("symbol_id", "ts")
+    return sy.answer_check(bars, navs, expected).select(
+        "symbol_id", "missing", (F.col("max_dev") < 1e-9).alias("agrees")
+    )
 
 
 @query(

@@ -161,11 +161,22 @@ def full_calendar(sessions: DataFrame, start: str, end: str, close_hour: int = 7
     )
 
 
-def answer_check(bars: DataFrame, navs: DataFrame) -> DataFrame:
-    """Per symbol the largest relative distance of a recomputed total return from the declared one."""
+def answer_check(bars: DataFrame, navs: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Whether a recomputed total return gives the declared one back.
+
+    Per symbol: the sessions without a bar, and the largest relative distance on the dates seen.
+    A symbol with missing sessions cannot be reproduced day by day. On the dates it does have, only
+    an action that fell into the gap makes a difference.
+    """
+    expected = sessions.groupBy("symbol_id").agg(F.count_distinct("ts").alias("_sessions"))
     return (
         bars.select("symbol_id", "ts", "tri")
         .join(navs.select("symbol_id", "ts", "total_return_nav"), ["symbol_id", "ts"])
         .groupBy("symbol_id")
-        .agg(F.max(F.abs(F.try_divide("total_return_nav", "tri") - 1.0)).alias("max_dev"))
+        .agg(
+            F.count("*").alias("_seen"),
+            F.max(F.abs(F.try_divide("total_return_nav", "tri") - 1.0)).alias("max_dev"),
+        )
+        .join(expected, "symbol_id")
+        .select("symbol_id", (F.col("_sessions") - F.col("_seen")).alias("missing"), "max_dev")
     )
