@@ -11,6 +11,7 @@ from panelkite.functions import crosssection, recursive
 from panelkite.functions import factors as fx
 from panelkite.operators.panel import densify
 from panelkite.plans import testbed as tb
+from panelkite.session import settle
 
 KEY = ["symbol_id", "ts"]
 W20 = "(PARTITION BY symbol_id ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -292,25 +293,30 @@ def arith_chain(spark, sf_dir):
     )
 
 
-RANK_SQL = f"""m AS (SELECT symbol_id, ts, {r(f'close / nullif(lag(close, 4) OVER {BY}, 0) - 1', 3)} AS mom
-  FROM panel)
+def rank_sql(order: str) -> str:
+    return f"""m AS (SELECT symbol_id, ts,
+    {r(f'close / nullif(lag(close, 4) OVER {BY}, 0) - 1', 3)} AS mom FROM panel)
 SELECT symbol_id, ts, CASE WHEN mom IS NOT NULL THEN
-  rank() OVER (PARTITION BY ts, mom IS NULL ORDER BY mom DESC)
-  + (count(*) OVER (PARTITION BY ts, mom) - 1) / 2.0::DOUBLE END AS rank_desc,
-  CASE WHEN mom IS NOT NULL THEN
-  rank() OVER (PARTITION BY ts, mom IS NULL ORDER BY mom)
-  + (count(*) OVER (PARTITION BY ts, mom) - 1) / 2.0::DOUBLE END AS rank_asc
+  rank() OVER (PARTITION BY ts, mom IS NULL ORDER BY mom {order})
+  + (count(*) OVER (PARTITION BY ts, mom) - 1) / 2.0::DOUBLE END AS rank
 FROM m"""
 
 
-@query("xs_rank", with_(WEEKLY, RANK_SQL))
+def scored(spark, sf_dir):
+    """Momentum with three decimals, so that many symbols tie."""
+    mom = rounded(fx.momentum("close", 4), 3).alias("mom")
+    return settle(weekly(spark, sf_dir).select(*KEY, mom), "scored")
+
+
+@query("xs_rank", with_(WEEKLY, rank_sql("DESC")))
 def xs_rank(spark, sf_dir):
-    scored = weekly(spark, sf_dir).select(
-        *KEY, rounded(fx.momentum("close", 4), 3).alias("mom")
-    )
-    down = crosssection.cross_sectional_rank(scored, "mom", "rank_desc")
-    up = crosssection.cross_sectional_rank(down, "mom", "rank_asc", ascending=True)
-    return up.select(*KEY, "rank_desc", "rank_asc")
+    return crosssection.cross_sectional_rank(scored(spark, sf_dir), "mom").select(*KEY, "rank")
+
+
+@query("xs_rank_ascending", with_(WEEKLY, rank_sql("")))
+def xs_rank_ascending(spark, sf_dir):
+    ranked = crosssection.cross_sectional_rank(scored(spark, sf_dir), "mom", ascending=True)
+    return ranked.select(*KEY, "rank")
 
 
 @query(

@@ -10,16 +10,13 @@ from panelkite.operators import cleaning as cl
 from panelkite.plans import testbed as tb
 from panelkite.sources import synthetic as sy
 
-U = "((('0x' || substr(md5({0}), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE"
 
-
-def u(text: str) -> str:
-    return "(" + U.format(text) + ")"
+def u(text: str, slot: int = 0) -> str:
+    return f"((('0x' || substr(md5({text}), {13 * slot + 1}, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)"
 
 
 def z(text: str) -> str:
-    uu, vv = u(f"{text} || '|u'"), u(f"{text} || '|v'")
-    return f"(sqrt(-2.0::DOUBLE * ln({uu})) * cos({vv} * (2 * 3.141592653589793::DOUBLE)))"
+    return f"(sqrt(-2.0::DOUBLE * ln({u(text)})) * cos({u(text, 1)} * (2 * 3.141592653589793::DOUBLE)))"
 
 
 GEN = f"""
@@ -81,12 +78,12 @@ def parts(spark, sf_dir):
 
 @query(
     "generated_panel",
-    with_(GEN, f"""pv AS (SELECT *, CASE WHEN halt THEN close ELSE close * (1 + ({u("'7|' || symbol_id || '|' || idx || '|o'")} - 0.5) * 0.016) END AS op
+    with_(GEN, f"""pv AS (SELECT *, CASE WHEN halt THEN close ELSE close * (1 + ({u("'7|' || symbol_id || '|' || idx || '|a'")} - 0.5) * 0.016) END AS op
       FROM gen WHERE NOT fail)""")
     + f"""SELECT symbol_id, ts, {r('close')} AS close, {r('tri')} AS tri, {r('op')} AS open,
-       {r(f'''CASE WHEN halt THEN close ELSE greatest(op, close) * (1 + {u("'7|' || symbol_id || '|' || idx || '|h'")} * 0.01) END''')} AS high,
-       {r(f'''CASE WHEN halt THEN close ELSE least(op, close) * (1 - {u("'7|' || symbol_id || '|' || idx || '|l'")} * 0.01) END''')} AS low,
-       CASE WHEN halt THEN 0 ELSE round(1e6 * exp(({u("'7|' || symbol_id || '|' || idx || '|v'")} - 0.5) * 0.6)) END AS volume,
+       {r(f'''CASE WHEN halt THEN close ELSE greatest(op, close) * (1 + {u("'7|' || symbol_id || '|' || idx || '|a'", 1)} * 0.01) END''')} AS high,
+       {r(f'''CASE WHEN halt THEN close ELSE least(op, close) * (1 - {u("'7|' || symbol_id || '|' || idx || '|b'")} * 0.01) END''')} AS low,
+       CASE WHEN halt THEN 0 ELSE round(1e6 * exp(({u("'7|' || symbol_id || '|' || idx || '|b'", 1)} - 0.5) * 0.6)) END AS volume,
        NOT halt AS traded FROM pv""",
 )
 def generated_panel(spark, sf_dir):

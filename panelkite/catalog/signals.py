@@ -11,6 +11,7 @@ from panelkite.functions import factors as fx
 from panelkite.operators import panel as pn
 from panelkite.operators import signals as sg
 from panelkite.plans import testbed as tb
+from panelkite.session import settle
 
 BY = "(PARTITION BY symbol_id ORDER BY ts)"
 CUM = "(PARTITION BY symbol_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -90,7 +91,7 @@ MOM63 = f"close / nullif(lag(close, 63) OVER {BY}, 0) - 1"
 
 def momentum_weights(spark, sf_dir):
     bars = tb.bars_daily(spark, sf_dir)
-    return sg.target_weights(pn.densify(bars), pn.session_index(bars))
+    return settle(sg.target_weights(pn.densify(bars), pn.session_index(bars), bars), "weights")
 
 
 MOMENTUM_SQL = weights_sql(MOM63, 63, "1", 3, 0.0, "panel")
@@ -110,14 +111,16 @@ CROSS_SQL = weights_sql(MOM63, 63, "state", 3, 0.1, "st")
 def cross_weights(spark, sf_dir):
     bars = tb.bars_daily(spark, sf_dir)
     up, down = crossing()
-    return sg.target_weights(
+    weights = sg.target_weights(
         pn.densify(bars),
         pn.session_index(bars),
+        bars,
         entry=up,
         exit_=down,
         lookback=20,
         cash_floor=0.1,
     )
+    return settle(weights, "weights")
 
 
 @query(
@@ -141,6 +144,7 @@ def ranked_universe_weights(spark, sf_dir):
     weights = sg.target_weights(
         pn.densify(bars),
         pn.session_index(bars),
+        bars,
         score=rounded(fx.momentum("close", 12)),
         lookback=12,
         top_n=20,

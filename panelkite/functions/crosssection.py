@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkite.session import settle
+
 
 def _splitters(distinct: DataFrame, by: str, value: str, pieces: int) -> DataFrame:
     """Up to pieces-1 cut points per date: the values with the smallest hashes.
@@ -32,11 +34,13 @@ def cross_sectional_rank(
     """Rank of `value` among the rows of each `by`, ties averaged, NULL unranked.
 
     Equal values are counted before any shuffle, and the distinct values of a date are cut into
-    ranges that are ranked apart, so neither a large date nor a common value ends in one task.
+    ranges that are ranked apart, so neither a large date nor a common value ends in one task. The
+    counts are written once, as three steps read them; `df` itself is evaluated twice.
     """
     if not isinstance(ascending, bool):
         raise ValueError("ascending must be a bool")
     counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_same"))
+    counts = settle(counts, "rank-counts")
     cuts = _splitters(counts, by, value, pieces)
     v = F.col(value)
     piece = F.size(F.filter("_cuts", lambda c: (c < v) if ascending else (c > v)))

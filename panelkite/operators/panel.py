@@ -34,32 +34,32 @@ def session_index(bars: DataFrame) -> DataFrame:
 def densify(bars: DataFrame, values: Sequence[str] = ("close",)) -> DataFrame:
     """One row per symbol and session: (symbol_id, ts, idx, traded, *values).
 
-    Cells without a bar have NULL values and traded=false. Grid and bars meet in one shuffle by
-    symbol_id that also serves every later window over the symbol. `bars` has at most one row per
+    Cells without a bar have NULL values and traded=false. Only the bars that exist are shuffled, by
+    symbol_id; each then fills the sessions up to its symbol's next bar, and the first one those
+    before it. Later windows over the symbol need no further shuffle. `bars` has at most one row per
     (symbol_id, ts), so every symbol ends with one row per session and none is larger than another.
     """
-    grid = bars.select("symbol_id").distinct().select(
-        "symbol_id", F.posexplode(session_list(bars).scalar()).alias("idx", "ts")
-    )
-    empty = [F.lit(None).cast(bars.schema[c].dataType).alias(c) for c in values]
-    cells = grid.select("symbol_id", "ts", "idx", F.lit(False).alias("traded"), *empty)
-    rows = bars.select(
-        "symbol_id",
-        "ts",
-        F.lit(None).cast("int").alias("idx"),
-        tradable(bars).alias("traded"),
-        *values,
+    index = session_index(bars)
+    days = session_list(bars).scalar()
+    w = Window.partitionBy("symbol_id").orderBy("_at")
+    # one row per session date: bounded by the calendar
+    known = bars.select("symbol_id", "ts", tradable(bars).alias("traded"), *values).join(
+        F.broadcast(index.withColumnRenamed("idx", "_at")), "ts"
     )
+    first = F.when(F.lag("_at").over(w).isNull(), F.lit(0)).otherwise(F.col("_at"))
+    last = F.coalesce(F.lead("_at").over(w), F.size(F.col("_days"))) - 1
+    own = F.col("idx") == F.col("_at")
     return (
-        cells.unionByName(rows)
-        .repartition("symbol_id")
-        .groupBy("symbol_id", "ts")
-        .agg(
-            F.max("idx").alias("idx"),
-            F.max("traded").alias("traded"),
-            *[F.max(c).alias(c) for c in values],
+        known.withColumn("_days", days)
+        .select("symbol_id", "traded", *values, "_at", "_days", first.alias("_a"), last.alias("_b"))
+        .select("symbol_id", "traded", *values, "_at", "_days", F.explode(F.sequence("_a", "_b")).alias("idx"))
+        .select(
+            "symbol_id",
+            F.element_at("_days", F.col("idx") + 1).alias("ts"),
+            "idx",
+            (own & F.col("traded")).alias("traded"),
+            *[F.when(own, F.col(c)).alias(c) for c in values],
         )
-        .where("idx IS NOT NULL")
     )
 
 

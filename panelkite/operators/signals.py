@@ -81,6 +81,7 @@ def top_n_weights(
 def target_weights(
     panel: DataFrame,
     sessions: DataFrame,
+    universe: DataFrame,
     entry: Column | None = None,
     exit_: Column | None = None,
     score: Column | None = None,
@@ -90,7 +91,7 @@ def target_weights(
     cash_floor: float = 0.0,
     rule: str = "W-MON",
 ) -> DataFrame:
-    """(ts, symbol_id, weight) for every rebalance date and symbol.
+    """(ts, symbol_id, weight) for every rebalance date and symbol of `universe`.
 
     A symbol is eligible when it can trade, has a score, its quote is fresh and its state is long.
     Dates without one hold cash: all their weights are 0. Without an entry rule every symbol is
@@ -114,7 +115,8 @@ def target_weights(
     ).join(F.broadcast(dates), "ts", "left_semi")
     eligible = at_dates.where("traded AND score IS NOT NULL AND _fresh AND _held = 1")
     chosen = top_n_weights(eligible, "score", top_n, cash_floor)
-    grid = panel.select("ts", "symbol_id").join(F.broadcast(dates), "ts", "left_semi")
+    all_dates = dates.agg(F.array_sort(F.collect_set("ts"))).scalar()
+    grid = universe.select("symbol_id").distinct().select("symbol_id", F.explode(all_dates).alias("ts"))
     # at most top_n rows per rebalance date
     return grid.join(F.broadcast(chosen), ["ts", "symbol_id"], "left").select(
         "ts", "symbol_id", F.coalesce("weight", F.lit(0.0)).alias("weight")

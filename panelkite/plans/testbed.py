@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelkite.session import settle
+
 N_SYMBOLS = 8
 N_EXCHANGES = 3
 
@@ -46,19 +48,19 @@ def weekday_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of eight symbols."""
-    return _bars(weekday_items(spark, sf_dir))
+    """Daily bars of eight symbols, as a written table: lineitem is read once."""
+    return settle(_bars(weekday_items(spark, sf_dir)), "bars-daily")
 
 
 def bars_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars, one symbol per supplier: the wide panel."""
+    """Weekly bars, one symbol per supplier, as a written table: the wide panel."""
     items = table(spark, sf_dir, "lineitem").select(
         "l_extendedprice",
         "l_quantity",
         F.col("l_suppkey").alias("symbol_id"),
         F.date_trunc("week", "l_shipdate").cast("date").alias("ts"),
     )
-    return _bars(items)
+    return settle(_bars(items), "bars-weekly")
 
 
 def corporate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,13 +213,13 @@ def mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("equal").alias("run_id"), F.lit(0.15).alias("weight")),
         )
     )
-    return daily.join(totals, "ts").select("ts", "name", both)
+    return settle(daily.join(totals, "ts").select("ts", "name", both), "mix-weights")
 
 
 def mix_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event-type curves, once per portfolio."""
     runs = F.explode(F.array(F.lit("activity"), F.lit("equal"))).alias("run_id")
-    return curves_by_type(spark, sf_dir).select(runs, "name", "ts", "equity")
+    return settle(curves_by_type(spark, sf_dir).select(runs, "name", "ts", "equity"), "mix-curves")
 
 
 def activity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,3 +39,15 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="panelkite-")
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it back.
+
+    For a result that several branches of a plan read: without it every branch repeats the scans
+    and shuffles below. The table outlives lost executors, and its measured size lets Spark choose
+    joins.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from panelkite.schema import AUDIT_COLUMNS
 
 MISSING = "<NA>"
 SEPARATOR = "\x1f"
-LANES = 16  # a sha-256 digest as sixteen 16-bit numbers
+PIECES = 6  # ten hex digits each, added as two 20-bit halves
 
 
 def dtype_class(dtype: T.DataType) -> str:
@@ -57,15 +57,20 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """
     flat = normalise(df)
     digests = flat.select(row_digest(flat).alias("_h"))
-    lanes = [
-        F.coalesce(
-            F.sum(F.conv(F.substring("_h", 4 * i + 1, 4), 16, 10).cast("bigint")), F.lit(0)
-        ).alias(f"_{i}")
-        for i in range(LANES)
-    ]
-    total = digests.agg(F.count("*").alias("rows"), *lanes)
+    numbers = digests.select(
+        *[
+            F.conv(F.substring("_h", 10 * i + 1, 10), 16, 10).cast("bigint").alias(f"_{i}")
+            for i in range(PIECES)
+        ]
+    )
+    halves = []
+    for i in range(PIECES):
+        halves.append(F.shiftright(f"_{i}", 20))
+        halves.append(F.col(f"_{i}").bitwiseAND(F.lit(2**20 - 1)))
+    lanes = [F.coalesce(F.sum(h), F.lit(0)).alias(f"_s{i}") for i, h in enumerate(halves)]
+    total = numbers.agg(F.count("*").alias("rows"), *lanes)
     text = F.concat_ws(
-        SEPARATOR, F.lit(header(df)), F.col("rows").cast("string"), *[F.col(f"_{i}").cast("string") for i in range(LANES)]
+        SEPARATOR, F.lit(header(df)), F.col("rows").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(2 * PIECES)]
     )
     return total.select(F.sha2(text, 256).alias("fingerprint"), "rows")
 

@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def uniform(*parts: Column) -> Column:
-    """In (0, 1), fixed by the parts: the first 13 hex digits of their md5."""
-    digits = F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10)
+def digest(*parts: Column) -> Column:
+    """Hex text fixed by the parts; `uniform` and `normal` read numbers from it."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+
+
+def uniform(hexes: Column | str, slot: int = 0) -> Column:
+    """In (0, 1), from 13 hex digits; a digest has two slots of them."""
+    digits = F.conv(F.substring(hexes, 13 * slot + 1, 13), 16, 10)
     return (digits.cast("double") + 0.5) / float(2**52)
 
 
-def normal(*parts: Column) -> Column:
+def normal(hexes: Column | str) -> Column:
     """Standard normal by the Box-Muller transform."""
-    u, v = uniform(*parts, F.lit("u")), uniform(*parts, F.lit("v"))
-    return F.sqrt(-2.0 * F.ln(u)) * F.cos(v * (2 * 3.141592653589793))
+    return F.sqrt(-2.0 * F.ln(uniform(hexes))) * F.cos(uniform(hexes, 1) * (2 * 3.141592653589793))
 
 
 def price_panel(
@@ -54,7 +58,7 @@ def price_panel(
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     halted = F.coalesce("_halt", F.lit(False))
     g = F.when(halted | (F.col("idx") == 0), 1.0).otherwise(
-        F.exp(F.col("mu") + F.col("sigma") * normal(F.lit(seed), F.col("symbol_id"), F.col("idx")))
+        F.exp(F.col("mu") + F.col("sigma") * normal(digest(F.lit(seed), F.col("symbol_id"), F.col("idx"))))
     )
     first = F.col("idx") == 0
     r = F.when(first, 1.0).otherwise(F.coalesce("split_ratio", F.lit(1.0)))
@@ -66,18 +70,22 @@ def price_panel(
         .withColumn("_paid", F.sum(F.col("_d") / F.col("_a")).over(so_far))
         .withColumn("close", F.col("_a") * (F.col("init_price") - F.col("_paid")))
     )
-    u = [uniform(F.lit(seed), F.col("symbol_id"), F.col("idx"), F.lit(t)) for t in "ohlv"]
-    open_ = F.col("close") * (1.0 + (u[0] - 0.5) * 0.016)
-    high = F.greatest(open_, "close") * (1.0 + u[1] * 0.01)
-    low = F.least(open_, "close") * (1.0 - u[2] * 0.01)
-    volume = F.round(1e6 * F.exp((u[3] - 0.5) * 0.6))
+    noise = {t: digest(F.lit(seed), F.col("symbol_id"), F.col("idx"), F.lit(t)) for t in "ab"}
+    high = F.greatest("_open", "close") * (1.0 + uniform("a", 1) * 0.01)
+    low = F.least("_open", "close") * (1.0 - uniform("b") * 0.01)
+    volume = F.round(1e6 * F.exp((uniform("b", 1) - 0.5) * 0.6))
+    seen = (
+        grown.where(F.col("_fail").isNull())
+        .withColumns(noise)
+        .withColumn("_open", F.col("close") * (1.0 + (uniform("a") - 0.5) * 0.016))
+    )
 
     def unless_halted(c: Column, other: Column) -> Column:
         return F.when(F.col("_halt"), other).otherwise(c)
 
-    return grown.where(F.col("_fail").isNull()).select(
+    return seen.select(
         *key,
-        unless_halted(open_, F.col("close")).alias("open"),
+        unless_halted(F.col("_open"), F.col("close")).alias("open"),
         unless_halted(high, F.col("close")).alias("high"),
         unless_halted(low, F.col("close")).alias("low"),
         "close",
@@ -92,7 +100,7 @@ def rate_series(pairs: DataFrame, sessions: DataFrame, seed: int = 0) -> DataFra
     days = sessions.agg(F.array_sort(F.collect_set("ts"))).scalar()
     w = Window.partitionBy("base", "quote").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     step = F.col("drift") / 252.0 + F.col("sigma") * normal(
-        F.lit(seed), F.concat("base", "quote"), F.col("idx")
+        digest(F.lit(seed), F.concat("base", "quote"), F.col("idx"))
     )
     return (
         pairs.select("*", F.posexplode(days).alias("idx", "ts"))
@@ -107,7 +115,7 @@ def macro_levels(series: DataFrame, start: str, end: str, seed: int = 0) -> Data
     """Monthly levels: series (series_id, unit, init_value, drift, sigma, lag), released `lag` days later."""
     months = F.sequence(F.trunc(F.lit(start).cast("date"), "month"), F.lit(end).cast("date"), F.expr("interval 1 month"))
     w = Window.partitionBy("series_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.col("drift") / 12.0 + F.col("sigma") * normal(F.lit(seed), F.col("series_id"), F.col("idx"))
+    step = F.col("drift") / 12.0 + F.col("sigma") * normal(digest(F.lit(seed), F.col("series_id"), F.col("idx")))
     return (
         series.select("*", F.posexplode(months).alias("idx", "_m"))
         .withColumn("ts", F.last_day("_m"))
@@ -134,7 +142,7 @@ def yearly_fundamentals(symbols: DataFrame, first: int, last: int, seed: int = 0
             "period_end",
             "as_of_date",
             F.lit("revenue").alias("item"),
-            (base * F.exp(0.05 + 0.08 * normal(F.lit(seed), F.col("symbol_id"), F.col("_y")))).alias("value"),
+            (base * F.exp(0.05 + 0.08 * normal(digest(F.lit(seed), F.col("symbol_id"), F.col("_y"))))).alias("value"),
             (F.col("as_of_date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(9))).alias(
                 "available_utc"
             ),
