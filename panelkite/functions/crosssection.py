@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from panelkite.session import settle
 
 
-def _splitters(distinct: DataFrame, by: str, value: str, pieces: int) -> DataFrame:
+def _cuts(counts: DataFrame, by: str, value: str, pieces: int) -> DataFrame:
     """Up to pieces-1 cut points per date: the values with the smallest hashes.
 
-    The hash depends on the row alone, so a recomputed task gives the same cut points. The
+    The hash depends on the value alone, so a recomputed task gives the same cut points. The
     row-number filter prunes before the shuffle, so at most `pieces` rows per date and task move.
+    The count in the order never decides; it keeps this branch on the same shuffle as `counts`.
     """
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.col(value)), F.col(value))
+    w = Window.partitionBy(by).orderBy(F.xxhash64(F.col(value)), F.col(value), F.col("_same"))
     return (
-        distinct.withColumn("_n", F.row_number().over(w))
+        counts.withColumn("_n", F.row_number().over(w))
         .where(F.col("_n") < pieces)
         .groupBy(by)
         .agg(F.collect_list(value).alias("_cuts"))
@@ -29,23 +30,23 @@ def cross_sectional_rank(
     out: str = "rank",
     by: str = "ts",
     ascending: bool = False,
-    pieces: int = 32,
+    pieces: int = 16,
 ) -> DataFrame:
     """Rank of `value` among the rows of each `by`, ties averaged, NULL unranked.
 
     Equal values are counted before any shuffle, and the distinct values of a date are cut into
     ranges that are ranked apart, so neither a large date nor a common value ends in one task. The
-    counts are written once, as three steps read them; `df` itself is evaluated twice.
+    counted pieces are written once, as two steps read them; `df` itself is evaluated twice.
     """
     if not isinstance(ascending, bool):
         raise ValueError("ascending must be a bool")
     counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_same"))
-    counts = settle(counts, "rank-counts")
-    cuts = _splitters(counts, by, value, pieces)
     v = F.col(value)
     piece = F.size(F.filter("_cuts", lambda c: (c < v) if ascending else (c > v)))
     # one short array per date: small enough to broadcast for any number of symbols
-    cut = counts.join(F.broadcast(cuts), by, "left").withColumn("_piece", piece).drop("_cuts")
+    cuts = F.broadcast(_cuts(counts, by, value, pieces))
+    cut = counts.join(cuts, by, "left").select(by, value, "_same", piece.alias("_piece"))
+    cut = settle(cut, "rank-pieces")
     w_off = Window.partitionBy(by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(by, "_piece")

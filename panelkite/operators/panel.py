@@ -39,23 +39,21 @@ def densify(bars: DataFrame, values: Sequence[str] = ("close",)) -> DataFrame:
     before it. Later windows over the symbol need no further shuffle. `bars` has at most one row per
     (symbol_id, ts), so every symbol ends with one row per session and none is larger than another.
     """
-    index = session_index(bars)
+    index = session_index(bars).withColumnRenamed("idx", "_at")
     days = session_list(bars).scalar()
     w = Window.partitionBy("symbol_id").orderBy("_at")
-    # one row per session date: bounded by the calendar
-    known = bars.select("symbol_id", "ts", tradable(bars).alias("traded"), *values).join(
-        F.broadcast(index.withColumnRenamed("idx", "_at")), "ts"
-    )
     first = F.when(F.lag("_at").over(w).isNull(), F.lit(0)).otherwise(F.col("_at"))
-    last = F.coalesce(F.lead("_at").over(w), F.size(F.col("_days"))) - 1
     own = F.col("idx") == F.col("_at")
     return (
-        known.withColumn("_days", days)
-        .select("symbol_id", "traded", *values, "_at", "_days", first.alias("_a"), last.alias("_b"))
-        .select("symbol_id", "traded", *values, "_at", "_days", F.explode(F.sequence("_a", "_b")).alias("idx"))
+        bars.select("symbol_id", "ts", tradable(bars).alias("traded"), *values)
+        # one row per session date: bounded by the calendar
+        .join(F.broadcast(index), "ts")
+        .select("symbol_id", "traded", *values, "_at", first.alias("_a"), F.lead("_at").over(w).alias("_next"))
+        .withColumn("_b", F.coalesce("_next", F.size(days)) - 1)
+        .select("symbol_id", "traded", *values, "_at", F.explode(F.sequence("_a", "_b")).alias("idx"))
         .select(
             "symbol_id",
-            F.element_at("_days", F.col("idx") + 1).alias("ts"),
+            F.element_at(days, F.col("idx") + 1).alias("ts"),
             "idx",
             (own & F.col("traded")).alias("traded"),
             *[F.when(own, F.col(c)).alias(c) for c in values],
