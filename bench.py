@@ -25,10 +25,14 @@ HEADLINE = (
 ).split()
 
 
-def run(spark, name: str, sf_dir: str) -> float:
+def run(spark, name: str, sf_dir: str) -> tuple[float, int]:
+    """Seconds, and shuffles plus broadcasts of the planned query."""
     start = time.perf_counter()
-    registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    df = registry.QUERIES[name](spark, sf_dir)
+    df.write.format("noop").mode("overwrite").save()
+    seconds = time.perf_counter() - start
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return seconds, plan.count("Exchange")
 
 
 def main() -> None:
@@ -48,7 +52,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     registry.load_all()
     run(spark, "sma_20", sf_dir)  # start the JVM's compiler, not timed
-    timings = {name: round(run(spark, name, sf_dir), 3) for name in HEADLINE}
+    results = {name: run(spark, name, sf_dir) for name in HEADLINE}
+    timings = {name: round(seconds, 3) for name, (seconds, _) in results.items()}
     print(
         json.dumps(
             {
@@ -56,6 +61,7 @@ def main() -> None:
                 "value": round(sum(timings.values()), 3),
                 "unit": "sec",
                 "queries": timings,
+                "exchanges": {name: n for name, (_, n) in results.items()},
                 "sf": os.path.basename(sf_dir.rstrip("/")),
             }
         )

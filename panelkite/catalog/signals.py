@@ -175,8 +175,10 @@ def event_panel(spark, sf_dir):
         PANEL,
         CROSS,
         SIGNAL,
-        CROSS_SQL.replace("WHERE n <= 3)", "WHERE n <= 3 AND symbol_id = 3)"),
-        EVENTS_SQL,
+        CROSS_SQL,
+        """full_weights AS (SELECT ts, symbol_id, CASE WHEN abs(weight - 0.3) < 1e-9 THEN weight ELSE 0.0 END AS weight
+             FROM weights)""",
+        EVENTS_SQL.replace("FROM weights", "FROM full_weights"),
         "tot AS (SELECT ts, sum(weight) AS t FROM ev GROUP BY ts)",
         "st0 AS (SELECT min(ts) AS a FROM tot WHERE t > 0)",
         "st1 AS (SELECT min(ts) AS b FROM tot, st0 WHERE t = 0 AND ts > a)",
@@ -184,10 +186,10 @@ def event_panel(spark, sf_dir):
     + f"SELECT ts, symbol_id, {r('weight')} AS weight FROM ev, st0, st1 WHERE ts BETWEEN a AND b",
 )
 def episode(spark, sf_dir):
-    # a portfolio that only ever holds symbol 3, with the whole budget
-    held = (F.col("symbol_id") == 3) & (F.col("weight") > 0)
-    lone = cross_weights(spark, sf_dir).withColumn("weight", F.when(held, 0.9).otherwise(0.0))
-    return sg.first_episode(sg.event_panel(lone)).select(
+    # invested only in weeks with three candidates, in cash otherwise
+    three = F.abs(F.col("weight") - 0.3) < 1e-9
+    weights = cross_weights(spark, sf_dir).withColumn("weight", F.when(three, F.col("weight")).otherwise(0.0))
+    return sg.first_episode(sg.event_panel(weights)).select(
         "ts", "symbol_id", rounded("weight").alias("weight")
     )
 

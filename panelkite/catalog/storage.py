@@ -234,11 +234,11 @@ def fingerprint_sql(source: str, columns: list[tuple[str, str]], where: str = ""
     """Lane sums of the row digests, as in the Spark query."""
     cells = " || chr(31) || ".join(f"coalesce(CAST({c} AS VARCHAR), '<NA>')" for c, _ in columns)
     head = "\x1f".join([c for c, _ in columns] + [t for _, t in columns])
-    numbers = [f"CAST('0x' || substr(h, {10 * i + 1}, 10) AS BIGINT)" for i in range(fp.PIECES)]
+    numbers = [f"CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT)" for i in range(fp.PIECES)]
     lanes = " || chr(31) || ".join(
-        f"CAST(CAST(sum({half}) AS BIGINT) AS VARCHAR)"
+        f"CAST(CAST(sum(({n} >> {shift}) & {fp.MASK}) AS BIGINT) AS VARCHAR)"
         for n in numbers
-        for half in (f"{n} >> 20", f"{n} & 1048575")
+        for shift in (40, 20, 0)
     )
     return f"""SELECT sha256('{head}' || chr(31) || count(*)::VARCHAR || chr(31) || {lanes}) AS fingerprint,
        count(*) AS "rows" FROM (SELECT sha256({cells}) AS h FROM {source} {where})"""

@@ -174,7 +174,8 @@ def normalize_fx_direction(fx: DataFrame, base_currency: str = "CNY") -> DataFra
     lo, hi = F.least("base", "quote"), F.greatest("base", "quote")
     return (
         fx.withColumns({"_lo": lo, "_hi": hi})
-        .join(_orientation(fx, base_currency), ["_lo", "_hi"], "left")
+        # one row per pair of currencies, of which there are some hundreds
+        .join(F.broadcast(_orientation(fx, base_currency)), ["_lo", "_hi"], "left")
         .withColumn("_turn", F.coalesce(turn, F.lit(False)))
         .withColumn("rate", F.when(F.col("_turn"), F.try_divide(F.lit(1.0), "rate")).otherwise(F.col("rate")))
         .withColumn("_base", F.when(F.col("_turn"), F.col("quote")).otherwise(F.col("base")))

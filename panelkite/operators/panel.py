@@ -107,11 +107,10 @@ def session_status(bars: DataFrame, symbols: DataFrame, calendar: DataFrame) ->
     days = spans.join(symbols.select("symbol_id", "exchange"), "symbol_id").select(
         "symbol_id", "exchange", F.explode(F.sequence("_a", "_b")).alias("ts")
     )
-    # per exchange and day: bounded by the calendar, not by the bars
     opens = calendar.where("is_open").select("exchange", "ts", F.lit(True).alias("_open"))
     seen = bars.select("symbol_id", "ts", F.col("traded").alias("_traded"))
     return (
-        days.join(F.broadcast(opens), ["exchange", "ts"], "left")
+        days.join(opens, ["exchange", "ts"], "left")
         .join(seen, ["symbol_id", "ts"], "left")
         .select(
             "symbol_id",
@@ -135,7 +134,7 @@ def expected_sessions(symbols: DataFrame, calendar: DataFrame, start: Column, en
         "symbol_id", "exchange", F.explode(F.sequence(start, end)).alias("ts")
     )
     opens = calendar.where("is_open").select("exchange", "ts").distinct()
-    return days.join(F.broadcast(opens), ["exchange", "ts"], "left_semi").select("symbol_id", "ts")
+    return days.join(opens, ["exchange", "ts"], "left_semi").select("symbol_id", "ts")
 
 
 def unobserved_sessions(

@@ -48,7 +48,7 @@ def fallback_score(window: int = 63) -> Column:
 
 
 def top_n_weights(
-    eligible: DataFrame, score: str = "score", top_n: int = 3, cash_floor: float = 0.0, pieces: int = 32
+    eligible: DataFrame, score: str = "score", top_n: int = 3, cash_floor: float = 0.0, pieces: int = 64
 ) -> DataFrame:
     """Equal weights of the best `top_n` rows per date: (ts, symbol_id, weight).
 

@@ -12,7 +12,8 @@ from panelkite.schema import AUDIT_COLUMNS
 
 MISSING = "<NA>"
 SEPARATOR = "\x1f"
-PIECES = 6  # ten hex digits each, added as two 20-bit halves
+PIECES = 4  # fifteen hex digits each, added as three 20-bit lanes
+MASK = 2**20 - 1
 
 
 def dtype_class(dtype: T.DataType) -> str:
@@ -59,18 +60,17 @@ def fingerprint(df: DataFrame) -> DataFrame:
     digests = flat.select(row_digest(flat).alias("_h"))
     numbers = digests.select(
         *[
-            F.conv(F.substring("_h", 10 * i + 1, 10), 16, 10).cast("bigint").alias(f"_{i}")
+            F.conv(F.substring("_h", 15 * i + 1, 15), 16, 10).cast("bigint").alias(f"_{i}")
             for i in range(PIECES)
         ]
     )
-    halves = []
-    for i in range(PIECES):
-        halves.append(F.shiftright(f"_{i}", 20))
-        halves.append(F.col(f"_{i}").bitwiseAND(F.lit(2**20 - 1)))
-    lanes = [F.coalesce(F.sum(h), F.lit(0)).alias(f"_s{i}") for i, h in enumerate(halves)]
+    parts = [
+        F.shiftright(f"_{i}", shift).bitwiseAND(F.lit(MASK)) for i in range(PIECES) for shift in (40, 20, 0)
+    ]
+    lanes = [F.coalesce(F.sum(p), F.lit(0)).alias(f"_s{i}") for i, p in enumerate(parts)]
     total = numbers.agg(F.count("*").alias("rows"), *lanes)
     text = F.concat_ws(
-        SEPARATOR, F.lit(header(df)), F.col("rows").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(2 * PIECES)]
+        SEPARATOR, F.lit(header(df)), F.col("rows").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(len(lanes))]
     )
     return total.select(F.sha2(text, 256).alias("fingerprint"), "rows")
 

@@ -26,17 +26,17 @@ def ledger_rows(tables: Mapping[str, DataFrame], snapshot_id: str, source: str)
     """One ok row per table: row count, last date and content fingerprint."""
     parts = []
     for name, df in tables.items():
-        mark = F.max("ts") if "ts" in df.columns else F.lit(None).cast("date")
-        stats = df.agg(mark.cast("date").alias("watermark"))
+        mark = F.lit(None).cast("date")
+        if "ts" in df.columns:
+            mark = df.agg(F.max("ts").cast("date")).scalar()
         parts.append(
             fingerprint(df)
-            .join(stats)
             .select(
                 F.lit(snapshot_id).alias("snapshot_id"),
                 F.lit(source).alias("source"),
                 F.lit(name).alias("dataset"),
                 "rows",
-                "watermark",
+                mark.alias("watermark"),
                 F.col("fingerprint").alias("file_hash"),
                 F.lit("ok").alias("status"),
             )

@@ -22,6 +22,15 @@ def normal(hexes: Column | str) -> Column:
     return F.sqrt(-2.0 * F.ln(uniform(hexes))) * F.cos(uniform(hexes, 1) * (2 * 3.141592653589793))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash by `key` into the full number of partitions.
+
+    For a small table whose rows each become a whole series: the rows are shuffled before they
+    multiply, the series need no shuffle after, and the fixed number keeps them from being merged.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def price_panel(
     symbols: DataFrame,
     sessions: DataFrame,
@@ -40,7 +49,7 @@ def price_panel(
     """
     # one row per exchange and day, held as one sorted array per exchange
     days = sessions.groupBy("exchange").agg(F.array_sort(F.collect_set("ts")).alias("_days"))
-    grid = symbols.join(days, "exchange").select(
+    grid = spread(symbols.join(days, "exchange"), "symbol_id").select(
         "symbol_id", "init_price", "mu", "sigma", F.posexplode("_days").alias("idx", "ts")
     )
     key = ["symbol_id", "ts"]
@@ -98,7 +107,9 @@ def price_panel(
 def rate_series(pairs: DataFrame, sessions: DataFrame, seed: int = 0) -> DataFrame:
     """Currency rates: pairs (base, quote, init_rate, drift, sigma) on the given days, known a day later."""
     days = sessions.agg(F.array_sort(F.collect_set("ts"))).scalar()
-    w = Window.partitionBy("base", "quote").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    # the pair as one key, so that the window finds its rows already together
+    pairs = spread(pairs.withColumn("_pair", F.concat_ws("/", "base", "quote")), "_pair")
+    w = Window.partitionBy("_pair").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     step = F.col("drift") / 252.0 + F.col("sigma") * normal(
         digest(F.lit(seed), F.concat("base", "quote"), F.col("idx"))
     )
@@ -117,7 +128,7 @@ def macro_levels(series: DataFrame, start: str, end: str, seed: int = 0) -> Data
     w = Window.partitionBy("series_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     step = F.col("drift") / 12.0 + F.col("sigma") * normal(digest(F.lit(seed), F.col("series_id"), F.col("idx")))
     return (
-        series.select("*", F.posexplode(months).alias("idx", "_m"))
+        spread(series, "series_id").select("*", F.posexplode(months).alias("idx", "_m"))
         .withColumn("ts", F.last_day("_m"))
         .withColumn("value", F.col("init_value") + F.sum(step).over(w))
         .select(
