@@ -26,6 +26,7 @@ from panelkite.operators import quality as qc
 from panelkite.operators import signals as sg
 from panelkite.operators.panel import densify
 from panelkite.plans import testbed as tb
+from panelkite.session import settle
 
 KEY = ["symbol_id", "ts"]
 BY = "(PARTITION BY symbol_id ORDER BY ts)"
@@ -530,7 +531,7 @@ def dq_signals(spark, sf_dir):
     ),
 )
 def dq_weights(spark, sf_dir):
-    odd = momentum_weights(spark, sf_dir).withColumn("weight", F.col("weight") * 1.5 - 0.1)
+    odd = settle(momentum_weights(spark, sf_dir), "weights").withColumn("weight", F.col("weight") * 1.5 - 0.1)
     return ct.weight_violations(odd, as_of="2000-12-31", max_row_sum=0.5)
 
 

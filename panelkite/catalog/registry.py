@@ -25,6 +25,7 @@ FAMILIES = (
     "vendors",
     "storage",
     "generated",
+    "flows",
 )
 
 

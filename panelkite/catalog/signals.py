@@ -91,7 +91,7 @@ MOM63 = f"close / nullif(lag(close, 63) OVER {BY}, 0) - 1"
 
 def momentum_weights(spark, sf_dir):
     bars = tb.bars_daily(spark, sf_dir)
-    return settle(sg.target_weights(pn.densify(bars), pn.session_index(bars), bars), "weights")
+    return sg.target_weights(pn.densify(bars), pn.session_index(bars), bars)
 
 
 MOMENTUM_SQL = weights_sql(MOM63, 63, "1", 3, 0.0, "panel")
@@ -111,7 +111,7 @@ CROSS_SQL = weights_sql(MOM63, 63, "state", 3, 0.1, "st")
 def cross_weights(spark, sf_dir):
     bars = tb.bars_daily(spark, sf_dir)
     up, down = crossing()
-    weights = sg.target_weights(
+    return sg.target_weights(
         pn.densify(bars),
         pn.session_index(bars),
         bars,
@@ -120,7 +120,6 @@ def cross_weights(spark, sf_dir):
         lookback=20,
         cash_floor=0.1,
     )
-    return settle(weights, "weights")
 
 
 @query(
@@ -164,7 +163,8 @@ ev AS MATERIALIZED (SELECT * FROM weights WHERE ts IN (SELECT ts FROM moved))"""
     + f"SELECT ts, symbol_id, {r('weight')} AS weight FROM ev",
 )
 def event_panel(spark, sf_dir):
-    return sg.event_panel(cross_weights(spark, sf_dir)).select(
+    weights = settle(cross_weights(spark, sf_dir), "weights")
+    return sg.event_panel(weights).select(
         "ts", "symbol_id", rounded("weight").alias("weight")
     )
 
@@ -188,7 +188,9 @@ def event_panel(spark, sf_dir):
 def episode(spark, sf_dir):
     # invested only in weeks with three candidates, in cash otherwise
     three = F.abs(F.col("weight") - 0.3) < 1e-9
-    weights = cross_weights(spark, sf_dir).withColumn("weight", F.when(three, F.col("weight")).otherwise(0.0))
+    weights = settle(cross_weights(spark, sf_dir), "weights").withColumn(
+        "weight", F.when(three, F.col("weight")).otherwise(0.0)
+    )
     return sg.first_episode(sg.event_panel(weights)).select(
         "ts", "symbol_id", rounded("weight").alias("weight")
     )

@@ -303,3 +303,45 @@ def snapshot_identity(spark, sf_dir):
 )
 def ledger_rows(spark, sf_dir):
     return lg.ledger_rows(bundle(spark, sf_dir), "s9", "vendor")
+
+
+@query(
+    "latest_close_adj",
+    with_(
+        BARS,
+        LEDGER,
+        FUND_FACTORS,
+        """n AS (SELECT b.symbol_id, b.ts, close, coalesce(adj_factor, 1.0)
+             / first_value(coalesce(adj_factor, 1.0)) OVER (PARTITION BY b.symbol_id ORDER BY b.ts) AS norm
+           FROM bars b LEFT JOIN factors a ON a.symbol_id = b.symbol_id AND a.ts = b.ts)""",
+    )
+    + f"""SELECT symbol_id, ts, {r('close * norm', 4)} AS close_adj, 's2' AS snapshot_id FROM n""",
+)
+def latest_close_adj(spark, sf_dir):
+    """Adjusted closes stored for three snapshots; only the newest good one is read."""
+    target = scratch_dir(spark, "close-adj")
+    bars, factors = tb.bars_daily(spark, sf_dir), tb.fund_factors(spark, sf_dir)
+    for snapshot in ("s1", "s2", "s3"):
+        sn.materialize_close_adj(bars, target, snapshot, factors=factors)
+    rows = lg.latest_rows(spark.read.parquet(target), tb.ledger(spark, sf_dir))
+    return rows.select("symbol_id", "ts", rounded("close_adj", 4).alias("close_adj"), "snapshot_id")
+
+
+@query(
+    "latest_dataset",
+    """WITH last AS (SELECT o_orderpriority AS p, max(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'O'
+         GROUP BY 1)
+       SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey =
+         (SELECT o_custkey FROM orders JOIN last ON k = o_orderkey WHERE p = '1-URGENT')""",
+)
+def latest_dataset(spark, sf_dir):
+    """Rows of the snapshot (here: customer) with the newest good run of one dataset (priority)."""
+    orders = tb.table(spark, sf_dir, "orders")
+    ledger = orders.select(
+        F.col("o_custkey").alias("snapshot_id"),
+        F.col("o_orderpriority").alias("dataset"),
+        F.when(F.col("o_orderstatus") == "O", "ok").otherwise("failed").alias("status"),
+        F.col("o_orderkey").alias("finished_at"),
+    )
+    rows = orders.withColumn("snapshot_id", F.col("o_custkey"))
+    return lg.latest_rows(rows, ledger, "1-URGENT").select("o_orderkey", "o_custkey")
