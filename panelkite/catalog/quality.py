@@ -32,12 +32,12 @@ KEY = ["symbol_id", "ts"]
 BY = "(PARTITION BY symbol_id ORDER BY ts)"
 
 
-def found_sql(check: str, source: str, key: str, count: str = "count(*)", order: str | None = None) -> str:
+def found_sql(check: str, source: str, key: str, count: str = "count(*)") -> str:
     """The result row of one rule; `source` holds the violations."""
     return f"""SELECT '{check}' AS "check", coalesce({count}, 0) = 0 AS ok,
        CAST(coalesce({count}, 0) AS BIGINT) AS violations,
        coalesce((SELECT string_agg(k, ';' ORDER BY k) FROM (
-         SELECT {key} AS k FROM {source} ORDER BY {order or 'symbol_id, ts'} LIMIT 5)), '') AS samples
+         SELECT {key} AS k FROM {source} ORDER BY k LIMIT 5)), '') AS samples
        FROM {source}"""
 
 
@@ -92,7 +92,7 @@ ORDER_SEQ = """bad AS (SELECT DISTINCT symbol_id FROM (
 
 @query(
     "dq_sorted",
-    "WITH " + ORDER_SEQ + "\n" + found_sql("sorted_by_ts", "bad", "symbol_id::VARCHAR", order="symbol_id"),
+    "WITH " + ORDER_SEQ + "\n" + found_sql("sorted_by_ts", "bad", "symbol_id::VARCHAR"),
 )
 def dq_sorted(spark, sf_dir):
     arrivals = tb.table(spark, sf_dir, "orders").select(

@@ -26,10 +26,16 @@ def fill_resolution(panel: DataFrame, decisions: DataFrame, fill_at: str = "open
         .orderBy(F.col("idx").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    marked = panel.join(
-        decisions.select("symbol_id", "ts", F.col("weight"), F.lit(True).alias("_decided")),
-        ["symbol_id", "ts"],
-        "left",
+    # panel and decisions meet in one shuffle by symbol, which serves the windows too
+    columns = ("idx", "traded", fill_at)
+    marked = (
+        panel.select("symbol_id", "ts", *columns)
+        .unionByName(decisions.select("symbol_id", "ts", "weight"), allowMissingColumns=True)
+        .repartition("symbol_id")
+        .groupBy("symbol_id", "ts")
+        .agg(*[F.max(c).alias(c) for c in (*columns, "weight")])
+        .where("idx IS NOT NULL")
+        .withColumn("_decided", F.col("weight").isNotNull())
     )
     can_fill = F.col("traded") & (price > 0)
     nearest = F.last(
@@ -75,28 +81,39 @@ def over_invested(weights: DataFrame, keys: Sequence[str] = ("run_id", "ts")) ->
 
 
 def _segments(curves: DataFrame, weights: DataFrame) -> DataFrame:
-    """Dense (run_id, name, ts) rows with the return r, segment number and its target weight."""
-    dates = curves.groupBy("run_id").agg(F.array_sort(F.collect_set("ts")).alias("_days"))
-    names = curves.select("run_id", "name").distinct()
-    grid = names.join(dates, "run_id").select("run_id", "name", F.explode("_days").alias("ts"))
+    """Dense (run_id, name, ts) rows with the return r, segment number and its target weight.
+
+    Segments are counted on the dates of a run alone. Grid, curves and weights then meet in one
+    shuffle by (run_id, name), which also serves the windows after it.
+    """
     resets = weights.select("run_id", "ts").distinct().withColumn("_reset", F.lit(1))
-    w = Window.partitionBy("run_id", "name").orderBy("ts")
-    ret = F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1.0
-    key = ["run_id", "name", "ts"]
-    seg = F.sum(F.coalesce("_reset", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    joined = (
-        grid.join(curves.select(*key, "equity"), key, "left")
-        .join(weights.select(*key, "weight"), key, "left")
+    upto = Window.partitionBy("run_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    # dates of a run: bounded by the calendar
+    days = (
+        curves.select("run_id", "ts")
+        .distinct()
         .join(resets, ["run_id", "ts"], "left")
+        .select("run_id", "ts", F.sum(F.coalesce("_reset", F.lit(0))).over(upto).alias("_seg"))
+        .groupBy("run_id")
+        .agg(F.collect_list(F.struct("ts", "_seg")).alias("_days"))
+    )
+    names = curves.select("run_id", "name").distinct()
+    grid = names.join(days, "run_id").select("run_id", "name", F.inline("_days"))
+    key = ["run_id", "name", "ts"]
+    cells = (
+        grid.unionByName(curves.select(*key, "equity"), allowMissingColumns=True)
+        .unionByName(weights.select(*key, "weight"), allowMissingColumns=True)
+        .repartition("run_id", "name")
+        .groupBy(*key)
+        .agg(*[F.max(c).alias(c) for c in ("_seg", "equity", "weight")])
+        .where("_seg IS NOT NULL")
     )
+    w = Window.partitionBy("run_id", "name").orderBy("ts")
+    ret = F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1.0
     in_seg = Window.partitionBy("run_id", "name", "_seg").orderBy("ts")
     return (
-        joined.select(
-            *key, "weight", F.coalesce(ret, F.lit(0.0)).alias("r"), seg.alias("_seg")
-        )
-        .withColumn(
-            "_w", F.coalesce(F.first("weight").over(in_seg), F.lit(0.0))
-        )
+        cells.select(*key, "weight", "_seg", F.coalesce(ret, F.lit(0.0)).alias("r"))
+        .withColumn("_w", F.coalesce(F.first("weight").over(in_seg), F.lit(0.0)))
         .withColumn(
             "_g",
             F.product(1.0 + F.col("r")).over(in_seg.rowsBetween(Window.unboundedPreceding, 0)),

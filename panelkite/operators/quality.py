@@ -1,7 +1,7 @@
 """Data-quality rules.
 
-A rule is a DataFrame of violating rows; `finding` turns it into one row
-(check, ok, violations, detail, samples). Nothing is collected: counts and at most five samples
+A rule is a DataFrame of violating rows; `summarise` turns the violations of one or more rules into
+rows (check, ok, violations, detail, samples). Nothing is collected: counts and at most five samples
 are computed by Spark.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelkite.operators.joins import union_frames
 from panelkite.operators.panel import expected_sessions
+from panelkite.session import settle
 
 # Fixed thresholds of the rules.
 JUMP_SIGMA = 8.0
@@ -24,33 +25,61 @@ FX_STALE_RUN = 10
 PRICES = ("open", "high", "low", "close")
 
 
-def finding(check: str, violations: DataFrame, keys: Sequence[str], count: Column | None = None) -> DataFrame:
-    """One result row; samples are the five smallest keys as text."""
+def violation_rows(
+    check: str, violations: DataFrame, keys: Sequence[str], n: Column | None = None
+) -> DataFrame:
+    """(check, key, n): the violations of one rule with their key as text."""
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    return violations.select(
+        F.lit(check).alias("check"), text.alias("key"), (F.lit(1).cast("long") if n is None else n).alias("n")
+    )
+
+
+def summarise(violations: DataFrame, checks: Sequence[str]) -> DataFrame:
+    """One row per check, also for those without a violation.
+
+    The violations are written first: they are read twice, for the counts and for the five
+    smallest keys, while the tables behind them are read once.
+    """
+    rows = settle(violations, "violations")
+    names = rows.sparkSession.createDataFrame([(c,) for c in checks], "check STRING")
+    counts = rows.groupBy("check").agg(F.sum("n").alias("violations"))
+    first = Window.partitionBy("check").orderBy("key")
     samples = (
-        violations.select(*keys)
-        .orderBy(*keys)
-        .limit(5)
-        .agg(F.array_sort(F.collect_list(text)).alias("samples"))
-        .scalar()
+        rows.select("check", "key")
+        .withColumn("_n", F.row_number().over(first))
+        .where("_n <= 5")
+        .groupBy("check")
+        .agg(F.array_sort(F.collect_list("key")).alias("samples"))
     )
-    n = F.coalesce(F.count("*") if count is None else count, F.lit(0).cast("long"))
-    return violations.agg(n.alias("violations")).select(
-        F.lit(check).alias("check"),
-        (F.col("violations") == 0).alias("ok"),
-        "violations",
-        F.concat(F.lit(f"{check}: "), F.col("violations").cast("string")).alias("detail"),
-        samples.alias("samples"),
+    n = F.coalesce("violations", F.lit(0).cast("long"))
+    return (
+        names.join(counts, "check", "left")
+        .join(samples, "check", "left")
+        .select(
+            "check",
+            (n == 0).alias("ok"),
+            n.alias("violations"),
+            F.concat(F.col("check"), F.lit(": "), n.cast("string")).alias("detail"),
+            F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
+        )
     )
 
 
+def finding(
+    check: str, violations: DataFrame, keys: Sequence[str], n: Column | None = None
+) -> DataFrame:
+    """The result row of one rule."""
+    return summarise(violation_rows(check, violations, keys, n), [check])
+
+
 def skipped(anchor: DataFrame, check: str) -> DataFrame:
     """A rule that could not run for lack of its table; it is not a pass."""
-    return anchor.limit(0).agg(F.count("*").alias("violations")).select(
-        F.lit(check).alias("check"),
+    return anchor.sparkSession.createDataFrame([(check,)], "check STRING").select(
+        "check",
         F.lit(True).alias("ok"),
-        "violations",
-        F.lit(f"{check}: skipped, not passed").alias("detail"),
+        F.lit(0).cast("long").alias("violations"),
+        F.concat(F.col("check"), F.lit(": skipped, not passed")).alias("detail"),
         F.array().cast("array<string>").alias("samples"),
     )
 
@@ -58,14 +87,32 @@ def skipped(anchor: DataFrame, check: str) -> DataFrame:
 # --- rules on bars -----------------------------------------------------------------------------
 
 
+def _has_bad_price() -> Column:
+    return F.coalesce(F.least(*PRICES) <= 0, F.lit(False))
+
+
+def _breaks_ohlc() -> Column:
+    low = F.col("low") > F.least("open", "close")
+    return F.coalesce(low | (F.col("high") < F.greatest("open", "close")), F.lit(False))
+
+
 def non_positive_prices(bars: DataFrame) -> DataFrame:
-    return bars.where(F.coalesce(F.least(*PRICES) <= 0, F.lit(False)))
+    return bars.where(_has_bad_price())
 
 
 def bad_ohlc(bars: DataFrame) -> DataFrame:
-    return bars.where(
-        (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close"))
+    return bars.where(_breaks_ohlc())
+
+
+def price_rule_rows(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Both rules on single bars in one pass."""
+    broken = F.array_compact(
+        F.array(
+            F.when(_has_bad_price(), "positive_prices"), F.when(_breaks_ohlc(), "ohlc_relations")
+        )
     )
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    return bars.select(F.explode(broken).alias("check"), text.alias("key"), F.lit(1).cast("long").alias("n"))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -75,7 +122,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def check_unique_keys(bars: DataFrame, keys: Sequence[str] = ("symbol_id", "ts", "snapshot_id")) -> DataFrame:
     """All rows of duplicated keys count."""
-    return finding("unique_keys", duplicate_keys(bars, keys), keys, F.sum("rows"))
+    return finding("unique_keys", duplicate_keys(bars, keys), keys, F.col("rows"))
 
 
 def unsorted_symbols(bars: DataFrame, seq: str, block: int = 1_000_000) -> DataFrame:
@@ -202,23 +249,27 @@ def run_all_checks(
 ) -> DataFrame:
     """All rules, one row each; rules without their table report as skipped."""
     key = ["symbol_id", "ts"]
+    unique = [*key, "snapshot_id"]
+    ran = ["positive_prices", "ohlc_relations", "unique_keys", "sorted_by_ts", "price_jumps"]
     rows = [
-        finding("positive_prices", non_positive_prices(bars), key),
-        finding("ohlc_relations", bad_ohlc(bars), key),
-        check_unique_keys(bars),
-        finding("sorted_by_ts", unsorted_symbols(bars, seq), ["symbol_id"]),
-        finding("price_jumps", price_jumps(bars if adjusted is None else adjusted), key),
+        price_rule_rows(bars, key),
+        violation_rows("unique_keys", duplicate_keys(bars, unique), unique, F.col("rows")),
+        violation_rows("sorted_by_ts", unsorted_symbols(bars, seq), ["symbol_id"]),
+        violation_rows("price_jumps", price_jumps(bars if adjusted is None else adjusted), key),
     ]
+    left_out = []
     if calendar is None or symbols is None:
-        rows.append(skipped(bars, "calendar_gaps"))
+        left_out.append("calendar_gaps")
     else:
-        rows.append(finding("calendar_gaps", calendar_gaps(bars, symbols, calendar), key))
+        ran.append("calendar_gaps")
+        rows.append(violation_rows("calendar_gaps", calendar_gaps(bars, symbols, calendar), key))
     if fx is None:
-        rows += [skipped(bars, "fx_staleness"), skipped(bars, "fx_direction")]
+        left_out += ["fx_staleness", "fx_direction"]
     else:
-        rows.append(finding("fx_staleness", stale_pairs(fx), ["base", "quote"]))
-        rows.append(finding("fx_direction", fx_direction_issues(fx), ["issue", "pair"]))
-    return union_frames(rows)
+        ran += ["fx_staleness", "fx_direction"]
+        rows.append(violation_rows("fx_staleness", stale_pairs(fx), ["base", "quote"]))
+        rows.append(violation_rows("fx_direction", fx_direction_issues(fx), ["issue", "pair"]))
+    return union_frames([summarise(union_frames(rows), ran), *[skipped(bars, c) for c in left_out]])
 
 
 def failed_checks(report: DataFrame) -> list[str]:
