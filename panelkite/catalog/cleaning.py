@@ -19,7 +19,8 @@ FACTORS = """sf AS MATERIALIZED (SELECT b.*, coalesce((SELECT product(a.ratio) F
 
 
 def adjusted_sql(anchor: str) -> str:
-    cols = ", ".join(f"{r(f'{c} * m', 4)} AS {c}_adj" for c in ("open", "high", "low", "close"))
+    # factors reach 2^150 on the larger tables, so prices are compared by their logarithm
+    cols = ", ".join(f"{r(f'ln({c} * m)')} AS log_{c}_adj" for c in ("open", "high", "low", "close"))
     return (
         with_(BARS, ACTIONS, FACTORS, f"am AS (SELECT *, f / {anchor}(f) OVER {WHOLE} AS m FROM sf)")
         + f"SELECT symbol_id, ts, {r('log2(f)')} AS log_factor, {r('log2(m)')} AS log_multiplier, {cols} FROM am"
@@ -33,7 +34,7 @@ def adjusted(spark, sf_dir, method):
         "ts",
         rounded(F.log2("split_factor")).alias("log_factor"),
         rounded(F.log2("adjust_multiplier")).alias("log_multiplier"),
-        *[rounded(f"{c}_adj", 4).alias(f"{c}_adj") for c in cl.PRICES],
+        *[rounded(F.ln(f"{c}_adj")).alias(f"log_{c}_adj") for c in cl.PRICES],
     )
 
 
@@ -50,7 +51,7 @@ def split_adjust_forward(spark, sf_dir):
 @query(
     "split_forward_close",
     with_(BARS, ACTIONS, FACTORS, f"am AS (SELECT *, f / first_value(f) OVER {WHOLE} AS m FROM sf)")
-    + f"""SELECT symbol_id, ts, {r('close * m', 4)} AS close_adj, {r('log2(m)')} AS log_factor,
+    + f"""SELECT symbol_id, ts, {r('ln(close * m)')} AS log_close_adj, {r('log2(m)')} AS log_factor,
        'split_forward' AS method FROM am""",
 )
 def split_forward_close(spark, sf_dir):
@@ -58,7 +59,7 @@ def split_forward_close(spark, sf_dir):
     return out.select(
         "symbol_id",
         "ts",
-        rounded("close_adj", 4).alias("close_adj"),
+        rounded(F.ln("close_adj")).alias("log_close_adj"),
         rounded(F.log2("adj_factor")).alias("log_factor"),
         "method",
     )
@@ -115,7 +116,7 @@ def total_return_index(spark, sf_dir):
         NAV_SQL,
         f"am AS (SELECT symbol_id, ts, f / last_value(f) OVER {WHOLE} AS m FROM sf)",
     )
-    + f"""SELECT symbol_id, ts, close, {r('close * m', 4)} AS close_adj, available_utc, traded,
+    + f"""SELECT symbol_id, ts, close, {r('ln(close * m)')} AS log_close_adj, available_utc, traded,
        {r('ln(nav)')} AS log_nav, CASE WHEN traded THEN 'traded' ELSE 'halted' END AS status
        FROM navs JOIN am USING (symbol_id, ts)""",
 )
@@ -127,7 +128,7 @@ def gold_view(spark, sf_dir):
         "symbol_id",
         "ts",
         "close",
-        rounded("close_adj", 4).alias("close_adj"),
+        rounded(F.ln("close_adj")).alias("log_close_adj"),
         "available_utc",
         "traded",
         rounded(F.ln("total_return_nav")).alias("log_nav"),
