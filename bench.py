@@ -44,8 +44,6 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.sql.files.openCostInBytes": "262144",
-            # keep all cores busy on tables this small
-            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),

@@ -35,7 +35,7 @@ def next_session(spark, sf_dir):
 )
 def lost_weight(spark, sf_dir):
     rich = tb.table(spark, sf_dir, "supplier").where("s_acctbal > 1000")
-    out = jn.lost_weight(momentum_weights(spark, sf_dir), rich.select(F.col("s_suppkey").alias("symbol_id")))
+    out = jn.lost_weight(momentum_weights(tb.bars_daily(spark, sf_dir)), rich.select(F.col("s_suppkey").alias("symbol_id")))
     return out.select("ts", rounded("lost").alias("lost"))
 
 

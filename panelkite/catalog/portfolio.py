@@ -29,8 +29,9 @@ fills AS MATERIALIZED (SELECT c.ts, c.symbol_id, c.weight, c.fill_ts, p.{price}
 
 
 def fills(spark, sf_dir, fill_at="open"):
-    panel = pn.densify(tb.bars_daily(spark, sf_dir), ("open", "close"))
-    return pf.fill_resolution(panel, momentum_weights(spark, sf_dir), fill_at)
+    bars = tb.bars_daily(spark, sf_dir)
+    panel = pn.densify(bars, ("open", "close"))
+    return pf.fill_resolution(panel, momentum_weights(bars), fill_at)
 
 
 FILL_COLUMNS = "ts, symbol_id, fill_ts, fill_price, wait, outcome"

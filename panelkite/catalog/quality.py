@@ -531,7 +531,7 @@ def dq_signals(spark, sf_dir):
     ),
 )
 def dq_weights(spark, sf_dir):
-    odd = settle(momentum_weights(spark, sf_dir), "weights").withColumn("weight", F.col("weight") * 1.5 - 0.1)
+    odd = settle(momentum_weights(tb.bars_daily(spark, sf_dir)), "weights").withColumn("weight", F.col("weight") * 1.5 - 0.1)
     return ct.weight_violations(odd, as_of="2000-12-31", max_row_sum=0.5)
 
 

@@ -89,8 +89,7 @@ weights AS MATERIALIZED (SELECT g.ts, g.symbol_id,
 MOM63 = f"close / nullif(lag(close, 63) OVER {BY}, 0) - 1"
 
 
-def momentum_weights(spark, sf_dir):
-    bars = tb.bars_daily(spark, sf_dir)
+def momentum_weights(bars):
     return sg.target_weights(pn.densify(bars), pn.session_index(bars), bars)
 
 
@@ -102,7 +101,7 @@ MOMENTUM_SQL = weights_sql(MOM63, 63, "1", 3, 0.0, "panel")
     with_(PANEL, MOMENTUM_SQL) + f"SELECT ts, symbol_id, {r('weight')} AS weight FROM weights",
 )
 def weekly_top3_weights(spark, sf_dir):
-    return momentum_weights(spark, sf_dir).select("ts", "symbol_id", rounded("weight").alias("weight"))
+    return momentum_weights(tb.bars_daily(spark, sf_dir)).select("ts", "symbol_id", rounded("weight").alias("weight"))
 
 
 CROSS_SQL = weights_sql(MOM63, 63, "state", 3, 0.1, "st")

@@ -401,12 +401,13 @@ def hk_code(spark, sf_dir):
        'price_return' FROM raw LEFT JOIN ids i ON i.code = raw.ts_code""",
 )
 def us_bars(spark, sf_dir):
-    raw = tb.bars_daily(spark, sf_dir).select(
+    bars = tb.bars_daily(spark, sf_dir)
+    raw = bars.select(
         F.col("ts").cast("string").alias("Date"),
         code_of(F.col("symbol_id")).alias("Ticker"),
         *[F.col(c.lower()).alias(c) for c in abroad.WIDE_PRICES],
     )
-    full = tb.bars_daily(spark, sf_dir).select(
+    full = bars.select(
         F.col("ts").cast("string").alias("Date"),
         code_of(F.col("symbol_id")).alias("Ticker"),
         *[F.col(c.lower()).alias(c) for c in abroad.WIDE_PRICES],

@@ -206,7 +206,7 @@ def test_convert_never_uses_later_rates(frame):
     assert rows[2].total == pytest.approx((120 / 110) * (8 / 7) - 1)
 
 
-def test_pandas_reference_for_jump_sigma(frame):
+def test_jump_sigma_matches_pandas(frame):
     rng = np.random.default_rng(9)
     x = 100 * np.exp(np.cumsum(rng.normal(0, 0.05, 120)))
     r = pd.Series(np.diff(np.log(x)))
