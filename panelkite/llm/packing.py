@@ -8,6 +8,7 @@ a task holds its open windows, one batch of texts and a bounded cache of words.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
@@ -42,45 +43,71 @@ DDL = (
 )
 
 
+class Known(dict):
+    """What `make` gives for a key; beyond `room` keys the older ones go, unless asked for again."""
+
+    def __init__(self, make: Callable, room: int):
+        super().__init__()
+        self.make, self.room, self.old = make, room, {}
+
+    def __missing__(self, key):
+        found = self.old.pop(key, None)
+        self[key] = found = self.make(key) if found is None else found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > self.room:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a cache by word.
 
     The vocabulary treats A-Z as a-z, drops white space and merges nothing across it, so the ids of a
-    text are those of its words between ASCII white space. Unknown words are encoded in one call. The
-    cache has two generations of at most `room` words.
+    text are those of its words between ASCII white space. A word of printable ASCII and Latin letters
+    is in normal form already; its parts (`PARTS`, as in the tokenizer file) go straight to the merge
+    table. Any other word, and any text that may hold a special token, goes through the whole
+    tokenizer. The caches have two generations of at most `room` words.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    SPECIAL = b"<|"
+
+    def __init__(self, path: str, room: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.room, self.new, self.old = room, {}, {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        """The words in one text; each token is given to the word in which it begins."""
-        texts = [w.decode("utf-8") for w in words]
-        at = np.zeros(len(texts) + 1, dtype=np.int64)
-        np.cumsum([len(t) + 1 for t in texts], out=at[1:])
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        begins = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found.offsets))
-        cuts = np.searchsorted(begins, at)
-        raw = np.array(found.ids, dtype="<u4").tobytes()
-        for k, word in enumerate(words):
-            self.new[word] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8").lower().split() for t in texts]
-        if len(self.new) > self.room:
-            self.old, self.new = self.new, {}
-        new, old, unknown = self.new, self.old, []
-        for word in set().union(*split) - new.keys():
-            if word in old:
-                new[word] = old[word]
+        # printable characters for all bytes, as byte-level vocabularies write them
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        self.words = Known(self._word, room)
+        self.parts = Known(self._part, room)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        mapped = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped)])
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        if self.PLAIN.fullmatch(text):
+            return b"".join(map(self.parts.__getitem__, self.PARTS.findall(text.lower())))
+        return self._whole(text)
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        for text in texts:
+            raw = (text or "").encode("utf-8")
+            if self.SPECIAL in raw:
+                yield self._whole(text)
             else:
-                unknown.append(word)
-        for a in range(0, len(unknown), 5000):
-            self._learn(unknown[a : a + 5000])
-        return [b"".join(map(new.__getitem__, words)) for words in split]
+                yield b"".join(map(self.words.__getitem__, raw.lower().split()))
+            self.words.turn()
+            self.parts.turn()
 
 
 class OpenWindows:
