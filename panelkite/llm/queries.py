@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, sharding
+from . import decontam, line_dedup, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,45 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+SQL["op7_decontamination"] = f"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id,
+         regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+  UNION ALL
+  SELECT 'i', item_id,
+         regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT id AS item_id, least(len(w), 10) AS size, list_slice(w, p, p + least(len(w), 10) - 1) AS win
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS p FROM words WHERE side = 'i' AND len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+  SELECT id AS doc_id, size, p, list_slice(w, p, p + size - 1) AS win
+  FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS p
+        FROM words JOIN sizes ON len(w) >= size WHERE side = 'd')
+), hits AS (
+  SELECT DISTINCT doc_id, d.size, p, item_id FROM doc_windows d JOIN item_windows i ON d.size = i.size AND d.win = i.win
+), covered AS (
+  SELECT doc_id, count(DISTINCT at) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + size)) AS at FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered ON covered.doc_id = id LEFT JOIN named ON named.doc_id = id WHERE side = 'd'
+"""
