@@ -107,8 +107,8 @@ WITH words AS (
 ), hits AS (
   SELECT DISTINCT doc_id, d.size, p, item_id FROM doc_windows d JOIN item_windows i ON d.size = i.size AND d.win = i.win
 ), covered AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit
-  FROM (SELECT doc_id, unnest(range(p, p + size)) AS at FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + size)) AS pos FROM hits) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
