@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, ngram_join, packing, sharding
+from . import decontam, langid, line_dedup, ngram_join, packing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def token_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def remainder(of: int):
+    """crc32 of the doc_id as text, modulo `of`."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % of
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -144,3 +149,18 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(d.doc_id, coalesce(min(v), d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.u = d.doc_id GROUP BY d.doc_id
 """
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", *quality_rules.STATS, "base_failed", "kept"
+    )
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = langid.learn(docs.where(remainder(4) != 2))
+    held_out = (remainder(4) == 2).alias("held_out")
+    return langid.identify(docs.select("doc_id", "text"), dictionaries).select("doc_id", held_out, "lang_pred", "score")
