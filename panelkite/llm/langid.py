@@ -31,7 +31,7 @@ def plain(text: str | None) -> bytes:
 
 
 def learn(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """A dictionary for each language of `labelled` (doc_id, text, lang).
+    """A dictionary for each language of `labelled` (doc_id, text, lang), the most frequent first.
 
     Fitted on a bounded sample: of each language, the `docs` texts least in a hash of doc_id, and of
     each the first SAMPLE_CHARS characters. Rows are thinned to a few times that number before the
@@ -52,7 +52,8 @@ def learn(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     found: dict[str, list[bytes]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["at"], r["text"])):
         found.setdefault(r["lang"], []).append(plain(r["text"]))
-    return {lang: b" ".join(texts[:docs])[:DICTIONARY_BYTES] for lang, texts in found.items()}
+    often = sorted(found, key=lambda lang: (-counts[lang], lang))
+    return {lang: b" ".join(found[lang][:docs])[:DICTIONARY_BYTES] for lang in often}
 
 
 def _identify(dictionaries: dict[str, bytes], min_margin: float):
@@ -60,7 +61,7 @@ def _identify(dictionaries: dict[str, bytes], min_margin: float):
         import zstandard as zstd
 
         encoders = {}
-        for lang, content in sorted(dictionaries.items()):
+        for lang, content in dictionaries.items():
             content = content if len(content) >= 8 else content.ljust(8)
             known = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(level=LEVEL)
@@ -95,7 +96,7 @@ def _choose(encoders: dict, text: str | None, min_margin: float) -> tuple[str, f
         piece = letters[a : a + PIECE_BYTES]
         for lang, encoder in encoders.items():
             sizes[lang] += len(encoder.compress(piece))
-    ranked = sorted(sizes, key=lambda lang: (sizes[lang], lang))
+    ranked = sorted(sizes, key=sizes.__getitem__)  # of equal ones, the more frequent first
     best = sizes[ranked[0]]
     second = sizes[ranked[1]] if len(ranked) > 1 else best
     margin = (second - best) / second if len(ranked) > 1 else 1.0
@@ -113,7 +114,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
     A text without a letter, a null one, and any text when nothing was learned is ``und``, with score
     0, and rejected. With one language only, every text with letters is of that language. Ties go to
-    the first name. Rows stay as they are, repeated or not; other columns pass through, those with the
+    the language learned from more rows. Rows stay as they are, repeated or not; other columns pass through, those with the
     names of the results are replaced; an empty table gives an empty one.
     """
     made = ("lang_pred", "score", "margin", "rejected")

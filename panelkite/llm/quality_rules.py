@@ -22,7 +22,7 @@ MIN_GROUP = 100  # documents for which a group's own sketch is used
 FENCE = 3.0  # quartile distances beyond the upper quartile
 #: Distance that a fence keeps from the upper quartile even where the quartiles are equal, so that a
 #: group in which a flaw is rare does not lose texts with a trace of it.
-SLACK = {"symbol_share": 0.05, "dup_line_share": 0.3, "repeat_share": 0.2, "word_length": 3.0}
+SLACK = {"symbol_share": 0.05, "dup_line_share": 0.3, "repeat_share": 0.3, "word_length": 3.0}
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, ngram_join, packing, quality_rules, sharding
+from . import decontam, langid, line_dedup, ngram_join, packing, pii, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionaries = langid.learn(docs.where(remainder(4) != 2))
     held_out = (remainder(4) == 2).alias("held_out")
     return langid.identify(docs.select("doc_id", "text"), dictionaries).select("doc_id", held_out, "lang_pred", "score")
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
+    base, terms = F.col("base"), F.col("terms")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)),
+        F.sha2(pii.labels(base, terms, False), 256).alias("base_sha256"), pii.labels(base, terms, True).alias("spans"),
+    )
