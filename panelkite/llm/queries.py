@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, ngram_join, packing, pii, quality_rules, sharding
+from . import chat, decontam, langid, line_dedup, ngram_join, packing, pii, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,3 +175,30 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)),
         F.sha2(pii.labels(base, terms, False), 256).alias("base_sha256"), pii.labels(base, terms, True).alias("spans"),
     )
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", fixed), (-7, 1, "assistant", fixed)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.summarise(chat.format_conversations(turns))
+
+
+SQL["op6_chat_format"] = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), formatted AS (
+  SELECT *, regexp_replace(text, '(\\\\*(</turn>|### (System|User|Assistant|Tool):))', '\\\\\\1', 'g') AS inner_text FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + length(role) + 2 + length(inner_text) + 9)::BIGINT AS formatted_chars
+FROM formatted GROUP BY conv_id
+"""
