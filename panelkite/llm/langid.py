@@ -56,7 +56,7 @@ def learn(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     return {lang: b" ".join(found[lang][:docs])[:DICTIONARY_BYTES] for lang in often}
 
 
-def _identify(dictionaries: dict[str, bytes], min_margin: float):
+def _identify(dictionaries: dict[str, bytes], min_margin: float, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
 
@@ -69,19 +69,18 @@ def _identify(dictionaries: dict[str, bytes], min_margin: float):
                 level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False
             )
         for batch in batches:
-            columns = batch.columns
-            texts = columns[-1]
+            texts = batch.column("text")
             rows = [_choose(encoders, text.as_py(), min_margin) for text in texts]
             lang, score, margin, rejected = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    *columns[:-1],
+                    *(batch.column(c) for c in kept),
                     pa.array(lang, pa.string()),
                     pa.array(score, pa.float64()),
                     pa.array(margin, pa.float64()),
                     pa.array(rejected, pa.bool_()),
                 ],
-                names=[*batch.schema.names[:-1], "lang_pred", "score", "margin", "rejected"],
+                names=[*kept, "lang_pred", "score", "margin", "rejected"],
             )
 
     return run
@@ -105,8 +104,10 @@ def _choose(encoders: dict, text: str | None, min_margin: float) -> tuple[str, f
     return ranked[0], score, margin, margin < min_margin
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """`docs` without its text, with lang_pred, score, margin and rejected.
+def identify(
+    docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, keep_text: bool = True
+) -> DataFrame:
+    """`docs` with lang_pred, score, margin and rejected; without its text if `keep_text` is false.
 
     `score` compares the encoded sizes of all languages (0 to 1); `margin` is how much smaller the best
     is than the second, as a share of that. A document is rejected if the margin is below
@@ -114,12 +115,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
     A text without a letter, a null one, and any text when nothing was learned is ``und``, with score
     0, and rejected. With one language only, every text with letters is of that language. Ties go to
-    the language learned from more rows. Rows stay as they are, repeated or not; other columns pass through, those with the
-    names of the results are replaced; an empty table gives an empty one.
+    the language learned from more rows. Rows stay as they are, repeated or not; other columns pass
+    through, those with the names of the results are replaced; an empty table gives an empty one.
     """
     made = ("lang_pred", "score", "margin", "rejected")
-    rest = [c for c in docs.columns if c != "text" and c not in made]
-    rows = docs.select(*rest, "text")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    schema = ", ".join([*fields, "lang_pred string", "score double", "margin double", "rejected boolean"])
-    return rows.mapInArrow(_identify(dictionaries, min_margin), schema)
+    rows = docs.drop(*made)
+    fields = [f for f in rows.schema.fields if keep_text or f.name != "text"]
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    schema = ", ".join([*types, "lang_pred string", "score double", "margin double", "rejected boolean"])
+    return rows.mapInArrow(_identify(dictionaries, min_margin, [f.name for f in fields]), schema)

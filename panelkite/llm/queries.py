@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, line_dedup, ngram_join, packing, pii, quality_rules, sharding
+from . import chat, decontam, langid, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, sharding
+from .shared import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -163,7 +164,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = langid.learn(docs.where(remainder(4) != 2))
     held_out = (remainder(4) == 2).alias("held_out")
-    return langid.identify(docs.select("doc_id", "text"), dictionaries).select("doc_id", held_out, "lang_pred", "score")
+    found = langid.identify(docs.select("doc_id", "text"), dictionaries, keep_text=False)
+    return found.select("doc_id", held_out, "lang_pred", "score")
 
 
 @query
@@ -202,3 +204,14 @@ SELECT conv_id, count(*) AS n_turns,
        sum(4 + length(role) + 2 + length(inner_text) + 9)::BIGINT AS formatted_chars
 FROM formatted GROUP BY conv_id
 """
+
+
+@query
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = settled(quality_model.with_statistics(table(spark, sf_dir, "documents")), "statistics")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    model = quality_model.fit(settled(stats.where(remainder(5) != 0).join(labels, "doc_id"), "labelled"))
+    score = F.col("score")
+    return quality_model.scored(stats, model).select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", F.when(score >= 0.3, 1).otherwise(0).alias("predicted")
+    )
