@@ -12,7 +12,8 @@ from panelkite.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = build_session(
         "tests",
         "local[8]",
@@ -21,6 +22,8 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": str(shared / "tables"),
+            "spark.sql.warehouse.dir": str(shared / "warehouse"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

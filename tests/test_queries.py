@@ -8,9 +8,10 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from panelkite.catalog import registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 
 
 @pytest.fixture(scope="module")
@@ -29,5 +30,9 @@ def test_query_matches_sql(spark, duck, name):
     assert diff in ("", "EMPTY"), diff
 
 
+def test_entry_offers_them():
+    assert QUERIES.items() <= entry.queries().items() and SQL.items() <= entry.oracle_sql().items()
+
+
 def test_entry_has_rows(spark):
     assert not entry.entry(spark).isEmpty()
