@@ -21,7 +21,7 @@ HEADLINE = (
     "compose_nav cost_scenarios sma_grid_screen perf_metrics turnover split_adjust_forward "
     "total_return_index gold_view fx_convert_asof session_status dq_all dq_price_jumps dq_bundle_bars "
     "cn_bars dividend_dedupe hk_symbols asof_point_in_time latest_bars upsert_latest "
-    "table_fingerprint generated_panel"
+    "table_fingerprint strategy_equity strategy_metrics"
 ).split()
 
 

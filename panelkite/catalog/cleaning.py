@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelkite.catalog.registry import query, r, rounded
-from panelkite.catalog.tables import ACTIONS, BARS, CURVES_TYPE, FUND_FACTORS, FX, with_
+from panelkite.catalog.tables import ACTIONS, BARS, CURVES_TYPE, FUND_FACTORS, FX, OLD_BARS, OLD_SNAPSHOT, with_
 from panelkite.operators import cleaning as cl
 from panelkite.operators import joins as jn
 from panelkite.operators import portfolio as pf
@@ -110,7 +110,7 @@ def total_return_index(spark, sf_dir):
 @query(
     "gold_view",
     with_(
-        BARS,
+        OLD_BARS,
         ACTIONS,
         FACTORS,
         NAV_SQL,
@@ -122,7 +122,7 @@ def total_return_index(spark, sf_dir):
 )
 def gold_view(spark, sf_dir):
     view = cl.gold_backtest_view(
-        tb.snapshots(spark, sf_dir), tb.corporate_actions(spark, sf_dir), "s2"
+        tb.snapshots(spark, sf_dir), tb.corporate_actions(spark, sf_dir), OLD_SNAPSHOT
     )
     return view.select(
         "symbol_id",

@@ -14,7 +14,9 @@ from panelkite.catalog.tables import (
     FUND_FACTORS,
     FX,
     LEDGER,
+    OLD_SNAPSHOT,
     PANEL,
+    SNAPSHOT_BARS,
     SYMBOLS,
     with_,
 )
@@ -81,7 +83,7 @@ def dq_ohlc_relations(spark, sf_dir):
     + found_sql("unique_keys", "bad", DAY_KEY, "sum(n)"),
 )
 def dq_unique_keys(spark, sf_dir):
-    return shown(qc.check_unique_keys(tb.weekday_items(spark, sf_dir), KEY))
+    return shown(qc.check_unique_keys(tb.trades(spark, sf_dir), KEY))
 
 
 ORDER_SEQ = """bad AS (SELECT DISTINCT symbol_id FROM (
@@ -340,7 +342,7 @@ def dq_bundle_others(spark, sf_dir):
     factors = tb.fund_factors(spark, sf_dir).withColumn("adj_factor", F.col("adj_factor") - 1.04)
     return ct.bundle_invariants(
         {
-            "symbols": tb.weekday_items(spark, sf_dir),
+            "symbols": tb.trades(spark, sf_dir),
             "fund_adj": factors,
             "index_daily": index,
             "macro_series": macro,
@@ -399,7 +401,7 @@ def dq_validate_normalized(spark, sf_dir):
 )
 def dq_primary_keys(spark, sf_dir):
     s = F.lit("s1").alias("snapshot_id")
-    bars = tb.weekday_items(spark, sf_dir).select(*KEY, s)
+    bars = tb.trades(spark, sf_dir).select(*KEY, s)
     rates = tb.fx_rates(spark, sf_dir).select("base", "quote", "ts", s)
     days = tb.table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("exchange"), F.col("o_orderdate").cast("date").alias("ts")
@@ -497,13 +499,14 @@ def dq_value_rules(spark, sf_dir):
 
 @query(
     "dq_single_snapshot",
-    with_(BARS)
-    + """SELECT 'one' AS frame, true AS ok, count(*) AS "rows" FROM bars
-       UNION ALL SELECT 'all', false, 3 * count(*) FROM bars""",
+    with_(BARS, LEDGER, SNAPSHOT_BARS)
+    + f"""SELECT 'one' AS frame, min(snapshot_id) = max(snapshot_id) AS ok, count(*) AS "rows"
+       FROM snapbars WHERE snapshot_id = '{OLD_SNAPSHOT}'
+       UNION ALL SELECT 'all', min(snapshot_id) = max(snapshot_id), count(*) FROM snapbars""",
 )
 def dq_single_snapshot(spark, sf_dir):
     snaps = tb.snapshots(spark, sf_dir)
-    one = ct.single_snapshot(snaps.where("snapshot_id = 's2'")).select(F.lit("one").alias("frame"), "ok", "rows")
+    one = ct.single_snapshot(snaps.where(F.col("snapshot_id") == OLD_SNAPSHOT)).select(F.lit("one").alias("frame"), "ok", "rows")
     return one.unionByName(ct.single_snapshot(snaps).select(F.lit("all").alias("frame"), "ok", "rows"))
 
 

@@ -175,7 +175,7 @@ def event_panel(spark, sf_dir):
         CROSS,
         SIGNAL,
         CROSS_SQL,
-        """full_weights AS (SELECT ts, symbol_id, CASE WHEN abs(weight - 0.3) < 1e-9 THEN weight ELSE 0.0 END AS weight
+        """full_weights AS (SELECT ts, symbol_id, CASE WHEN month(ts) % 2 = 1 THEN weight ELSE 0.0 END AS weight
              FROM weights)""",
         EVENTS_SQL.replace("FROM weights", "FROM full_weights"),
         "tot AS (SELECT ts, sum(weight) AS t FROM ev GROUP BY ts)",
@@ -185,10 +185,10 @@ def event_panel(spark, sf_dir):
     + f"SELECT ts, symbol_id, {r('weight')} AS weight FROM ev, st0, st1 WHERE ts BETWEEN a AND b",
 )
 def episode(spark, sf_dir):
-    # invested only in weeks with three candidates, in cash otherwise
-    three = F.abs(F.col("weight") - 0.3) < 1e-9
+    # invested only in every second month, in cash otherwise
+    odd = F.month("ts") % 2 == 1
     weights = settle(cross_weights(spark, sf_dir), "weights").withColumn(
-        "weight", F.when(three, F.col("weight")).otherwise(0.0)
+        "weight", F.when(odd, F.col("weight")).otherwise(0.0)
     )
     return sg.first_episode(sg.event_panel(weights)).select(
         "ts", "symbol_id", rounded("weight").alias("weight")
@@ -209,8 +209,8 @@ def universe_filter(spark, sf_dir):
 @query(
     "universe_unknown",
     with_(BARS)
-    + """SELECT s_suppkey AS symbol_id FROM supplier WHERE s_suppkey NOT IN (SELECT symbol_id FROM bars)""",
+    + """SELECT c_custkey AS symbol_id FROM customer WHERE c_custkey NOT IN (SELECT symbol_id FROM bars)""",
 )
 def universe_unknown(spark, sf_dir):
-    chosen = tb.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol_id"))
+    chosen = tb.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol_id"))
     return sg.unknown_universe(chosen, tb.bars_daily(spark, sf_dir))

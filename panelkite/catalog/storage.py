@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from panelkite import schema
 from panelkite.catalog.registry import query, r, rounded
 from panelkite.catalog.metrics import CURVE_SQL
-from panelkite.catalog.tables import BARS, CURVES_USER, FUND_FACTORS, FX, LEDGER, with_
+from panelkite.catalog.tables import BARS, CURVES_USER, FUND_FACTORS, FX, LEDGER, SNAPSHOT_BARS, with_
 from panelkite.operators import metrics as mt
 from panelkite.plans import testbed as tb
 from panelkite.session import scratch_dir
+from panelkite.sources.common import stamp
 from panelkite.sources import fingerprint as fp
 from panelkite.sources import ledger as lg
 from panelkite.sources import sinks
@@ -80,7 +81,8 @@ def audit_scan(spark, sf_dir):
 )
 def contract_load(spark, sf_dir):
     target = scratch_dir(spark, "contract")
-    sn.load_contract(tb.bars_daily(spark, sf_dir), "bars_daily", target, "s1")
+    stamped = stamp(tb.bars_daily(spark, sf_dir), "vendor", "s1", "2024-02-01 00:00:00")
+    sn.load_contract(stamped, "bars_daily", target, "s1")
     columns = "symbol_id ts open high low close volume amount currency available_utc snapshot_id".split()
     return spark.read.parquet(target).select(*columns)
 
@@ -147,16 +149,15 @@ def metric_rows(spark, sf_dir):
     return rows.select("run_id", "metric", rounded("value").alias("value"))
 
 
-@query("latest_snapshot", with_(LEDGER) + "SELECT 's2' AS snapshot_id")
+@query("latest_snapshot", with_(LEDGER) + "SELECT s AS snapshot_id FROM newest")
 def latest_snapshot(spark, sf_dir):
     return lg.latest_snapshot(tb.ledger(spark, sf_dir))
 
 
 @query(
     "latest_bars",
-    with_(BARS, LEDGER)
-    + """, latest AS (SELECT arg_max(snapshot_id, finished_at) AS s FROM ledger WHERE status = 'ok')
-       SELECT symbol_id, ts, close, s AS snapshot_id FROM bars CROSS JOIN latest""",
+    with_(BARS, LEDGER, SNAPSHOT_BARS)
+    + "SELECT symbol_id, ts, close, snapshot_id FROM snapbars JOIN newest ON snapshot_id = s",
 )
 def latest_bars(spark, sf_dir):
     rows = lg.latest_rows(tb.snapshots(spark, sf_dir), tb.ledger(spark, sf_dir))
@@ -234,11 +235,11 @@ def fingerprint_sql(source: str, columns: list[tuple[str, str]], where: str = ""
     """Lane sums of the row digests, as in the Spark query."""
     cells = " || chr(31) || ".join(f"coalesce(CAST({c} AS VARCHAR), '<NA>')" for c, _ in columns)
     head = "\x1f".join([c for c, _ in columns] + [t for _, t in columns])
-    numbers = [f"CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT)" for i in range(fp.PIECES)]
+    numbers = [f"CAST('0x' || substr(h, {fp.DIGITS * i + 1}, {fp.DIGITS}) AS BIGINT)" for i in range(fp.PIECES)]
     lanes = " || chr(31) || ".join(
         f"CAST(CAST(sum(({n} >> {shift}) & {fp.MASK}) AS BIGINT) AS VARCHAR)"
         for n in numbers
-        for shift in (40, 20, 0)
+        for shift in fp.SHIFTS
     )
     return f"""SELECT sha256('{head}' || chr(31) || count(*)::VARCHAR || chr(31) || {lanes}) AS fingerprint,
        count(*) AS "rows" FROM (SELECT sha256({cells}) AS h FROM {source} {where})"""
@@ -246,14 +247,25 @@ def fingerprint_sql(source: str, columns: list[tuple[str, str]], where: str = ""
 
 ITEM_COLUMNS = [
     ("l_orderkey", "int64"),
+    ("l_partkey", "int64"),
+    ("l_suppkey", "int64"),
     ("l_linenumber", "int64"),
     ("l_quantity", "float64"),
     ("l_extendedprice", "float64"),
+    ("l_discount", "float64"),
     ("l_tax", "float64"),
     ("l_returnflag", "text"),
+    ("l_linestatus", "text"),
     ("l_shipdate", "datetime"),
 ]
-ORDER_COLUMNS = [("o_orderkey", "int64"), ("o_custkey", "int64"), ("o_orderstatus", "text")]
+ORDER_COLUMNS = [
+    ("o_orderkey", "int64"),
+    ("o_custkey", "int64"),
+    ("o_orderstatus", "text"),
+    ("o_totalprice", "float64"),
+    ("o_orderdate", "datetime"),
+    ("o_orderpriority", "text"),
+]
 
 
 @query("table_fingerprint", fingerprint_sql("lineitem", ITEM_COLUMNS))
@@ -310,20 +322,24 @@ def ledger_rows(spark, sf_dir):
     with_(
         BARS,
         LEDGER,
+        SNAPSHOT_BARS,
         FUND_FACTORS,
-        """n AS (SELECT b.symbol_id, b.ts, close, coalesce(adj_factor, 1.0)
+        """n AS (SELECT b.symbol_id, b.ts, close, snapshot_id, coalesce(adj_factor, 1.0)
              / first_value(coalesce(adj_factor, 1.0)) OVER (PARTITION BY b.symbol_id ORDER BY b.ts) AS norm
-           FROM bars b LEFT JOIN factors a ON a.symbol_id = b.symbol_id AND a.ts = b.ts)""",
+           FROM snapbars b JOIN newest ON snapshot_id = s
+           LEFT JOIN factors a ON a.symbol_id = b.symbol_id AND a.ts = b.ts)""",
     )
-    + f"""SELECT symbol_id, ts, {r('close * norm', 4)} AS close_adj, 's2' AS snapshot_id FROM n""",
+    + f"""SELECT symbol_id, ts, {r('close * norm', 4)} AS close_adj, snapshot_id FROM n""",
 )
 def latest_close_adj(spark, sf_dir):
-    """Adjusted closes stored for three snapshots; only the newest good one is read."""
+    """Adjusted closes stored for the snapshots of two good runs; only the newest is read."""
     target = scratch_dir(spark, "close-adj")
-    bars, factors = tb.bars_daily(spark, sf_dir), tb.fund_factors(spark, sf_dir)
-    for snapshot in ("s1", "s2", "s3"):
-        sn.materialize_close_adj(bars, target, snapshot, factors=factors)
-    rows = lg.latest_rows(spark.read.parquet(target), tb.ledger(spark, sf_dir))
+    bars, factors, ledger = tb.snapshots(spark, sf_dir), tb.fund_factors(spark, sf_dir), tb.ledger(spark, sf_dir)
+    newest = ledger.where("status = 'ok'").orderBy(F.desc("finished_at")).select("snapshot_id").limit(2).collect()
+    for r_ in newest:
+        own = bars.where(F.col("snapshot_id") == r_.snapshot_id).drop("snapshot_id")
+        sn.materialize_close_adj(own, target, r_.snapshot_id, factors=factors)
+    rows = lg.latest_rows(spark.read.parquet(target), ledger)
     return rows.select("symbol_id", "ts", rounded("close_adj", 4).alias("close_adj"), "snapshot_id")
 
 

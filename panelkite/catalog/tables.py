@@ -2,9 +2,9 @@
 
 BARS = """
 items AS MATERIALIZED (
-  SELECT l_suppkey % 8 AS symbol_id, CAST(l_shipdate AS DATE) AS ts, l_suppkey, l_linenumber,
+  SELECT l_suppkey % (SELECT greatest(8, count(*) // 12) FROM supplier) AS symbol_id, CAST(l_shipdate AS DATE) AS ts, l_suppkey, l_linenumber,
          l_quantity, l_extendedprice, l_tax
-  FROM lineitem WHERE isodow(l_shipdate) <= 5),
+  FROM lineitem),
 bars AS MATERIALIZED (
   SELECT *, coalesce(lag(close) OVER (PARTITION BY symbol_id ORDER BY ts), close) AS open,
          volume >= 20 AS traded, CAST(ts + INTERVAL 1 DAY AS TIMESTAMP) AS available_utc
@@ -66,7 +66,7 @@ fx AS MATERIALIZED (
 SYMBOLS = """
 symbols AS MATERIALIZED (
   SELECT symbol_id, 'SYM' || symbol_id AS ticker, 'X' || (symbol_id % 3) AS exchange,
-         CASE WHEN symbol_id <> 7 THEN CAST(min(ts) + CAST(symbol_id * 30 AS INTEGER) AS DATE) END
+         CASE WHEN symbol_id <> 7 THEN CAST(min(ts) + CAST(symbol_id % 8 * 30 AS INTEGER) AS DATE) END
            AS listed_on,
          CASE WHEN symbol_id = 5 THEN DATE '2000-06-30' END AS delisted_on
   FROM items GROUP BY symbol_id)"""
@@ -92,10 +92,31 @@ curves AS MATERIALIZED (
 
 LEDGER = """
 ledger AS MATERIALIZED (
-  SELECT snapshot_id, 'bars_daily' AS dataset, status,
-         CAST(last_ts + CAST(days AS INTEGER) AS TIMESTAMP) AS finished_at
-  FROM (SELECT max(CAST(l_shipdate AS DATE)) AS last_ts FROM lineitem)
-  CROSS JOIN (VALUES ('s1', 'ok', 1), ('s2', 'ok', 2), ('s3', 'failed', 3)) v(snapshot_id, status, days))"""
+  SELECT 's' || year(o_orderdate) AS snapshot_id, 'bars_daily' AS dataset, year(o_orderdate) AS run_year,
+         CASE WHEN count(*) FILTER (o_orderstatus = 'F') >= count(*) FILTER (o_orderstatus = 'O')
+              THEN 'ok' ELSE 'failed' END AS status,
+         CAST(max(o_orderdate) AS TIMESTAMP) AS finished_at
+  FROM orders GROUP BY 1, 3),
+newest AS MATERIALIZED (
+  SELECT arg_max(snapshot_id, finished_at) AS s, arg_max(run_year, finished_at) AS y FROM ledger WHERE status = 'ok')"""
+
+SNAPSHOT_BARS = """
+snapbars AS MATERIALIZED (
+  SELECT b.* REPLACE (round(close + (run_year - year(ts)) + 1.23e-9, 6) AS close), snapshot_id, run_year
+  FROM bars b JOIN ledger ON year(ts) <= run_year)"""
+
+
+#: `bars` as one snapshot holds them.
+OLD_SNAPSHOT = "s1999"
+OLD_BARS = ",".join(
+    [
+        BARS.replace("\nbars AS MATERIALIZED", "\nbars0 AS MATERIALIZED"),
+        LEDGER,
+        SNAPSHOT_BARS.replace("FROM bars b", "FROM bars0 b"),
+        "\nbars AS MATERIALIZED (SELECT * EXCLUDE (snapshot_id, run_year) FROM snapbars "
+        f"WHERE snapshot_id = '{OLD_SNAPSHOT}')",
+    ]
+)
 
 
 def with_(*parts: str, recursive: bool = False) -> str:
@@ -107,8 +128,9 @@ factors AS MATERIALIZED (
   FROM items WHERE l_linenumber <= 3 GROUP BY symbol_id, ts)"""
 
 MIX = """
-daily AS (SELECT event_type AS name, CAST(ts AS DATE) AS ts, count(*) AS n FROM events
-          WHERE day(ts) % 7 = 3 GROUP BY 1, 2),
+weekly AS (SELECT event_type AS name, date_trunc('week', ts) AS week, count(*) AS n, min(CAST(ts AS DATE)) AS d
+           FROM events GROUP BY 1, 2),
+daily AS (SELECT name, min(d) OVER (PARTITION BY week) AS ts, n FROM weekly),
 mixw AS MATERIALIZED (
   SELECT 'activity' AS run_id, ts, name,
          round(0.9::DOUBLE * n / sum(n) OVER (PARTITION BY ts) + 1.23e-9, 6) AS weight FROM daily

@@ -25,7 +25,7 @@ codes AS MATERIALIZED (
 ids AS MATERIALIZED (
   SELECT ts_code AS code, row_number() OVER (ORDER BY ts_code) AS symbol_id FROM codes WHERE fund_type <> 'REITs')"""
 
-# the eight bar symbols carry the codes of suppliers 0..7
+# a bar symbol carries the code of the supplier with its number; some of those funds have no id
 RAW_BARS = """
 raw AS MATERIALIZED (
   SELECT lpad(symbol_id::VARCHAR, 6, '0') || CASE WHEN symbol_id % 2 = 0 THEN '.SH' ELSE '.SZ' END AS ts_code, *
@@ -93,10 +93,10 @@ def symbol_ids_appended(spark, sf_dir):
     with_(BARS, CODES, RAW_BARS)
     + """SELECT i.symbol_id, ts, open, high, low, close, volume, amount, 'CNY' AS currency,
        CAST(ts AS TIMESTAMP) + INTERVAL 7 HOUR AS close_utc, available_utc
-       FROM raw LEFT JOIN ids i ON i.code = raw.ts_code""",
+       FROM raw JOIN ids i ON i.code = raw.ts_code""",
 )
 def cn_bars(spark, sf_dir):
-    return cn.bars(raw_bars(spark, sf_dir), ids(spark, sf_dir))
+    return jn.mapped(cn.bars(raw_bars(spark, sf_dir), ids(spark, sf_dir)))
 
 
 @query(
@@ -125,7 +125,7 @@ rawdiv AS MATERIALIZED (
        CAST(least(coalesce(ann, ex_date), ex_date) AS TIMESTAMP) AS available_utc
        FROM (SELECT *, row_number() OVER (PARTITION BY ts_code, ex_date
                ORDER BY ann NULLS LAST, pay_date NULLS LAST, cash) AS n FROM rawdiv) d
-       LEFT JOIN ids ON code = ts_code WHERE n = 1""",
+       JOIN ids ON code = ts_code WHERE n = 1""",
 )
 def dividend_dedupe(spark, sf_dir):
     ship = F.col("l_shipdate").cast("date")
@@ -139,7 +139,7 @@ def dividend_dedupe(spark, sf_dir):
         F.when(F.col("l_linestatus") == "F", " 实施 ").otherwise("预案").alias("div_proc"),
         F.col("l_tax").alias("div_cash"),
     )
-    return cn.dividends(raw, ids(spark, sf_dir))
+    return jn.mapped(cn.dividends(raw, ids(spark, sf_dir)))
 
 
 @query(
@@ -170,11 +170,11 @@ def cn_unknown_suffix(spark, sf_dir):
 @query(
     "cn_adjustment_factors",
     with_(BARS, CODES, RAW_BARS)
-    + f"""SELECT i.symbol_id, ts, {r('close / 1000')} AS adj_factor FROM raw LEFT JOIN ids i ON i.code = raw.ts_code""",
+    + f"""SELECT i.symbol_id, ts, {r('close / 1000')} AS adj_factor FROM raw JOIN ids i ON i.code = raw.ts_code""",
 )
 def cn_adjustment_factors(spark, sf_dir):
     raw = raw_bars(spark, sf_dir).withColumn("adj_factor", rounded(F.col("close") / 1000))
-    return cn.adjustment_factors(raw, ids(spark, sf_dir))
+    return jn.mapped(cn.adjustment_factors(raw, ids(spark, sf_dir)))
 
 
 @query(
@@ -224,10 +224,10 @@ def cn_index_bars(spark, sf_dir):
     with_(BARS, CODES, RAW_BARS)
     + """SELECT 'lag' AS variant, i.symbol_id, ts, open, high, low, close, volume, amount, 'CNY' AS currency,
        CAST(ts AS TIMESTAMP) + INTERVAL 7 HOUR AS close_utc, available_utc
-       FROM raw LEFT JOIN ids i ON i.code = raw.ts_code
+       FROM raw JOIN ids i ON i.code = raw.ts_code
        UNION ALL SELECT 'own', i.symbol_id, ts, open, high, low, close, volume, amount, 'CNY',
        CAST(ts AS TIMESTAMP) + INTERVAL 7 HOUR, CAST(ts AS TIMESTAMP) + INTERVAL 10 HOUR
-       FROM raw LEFT JOIN ids i ON i.code = raw.ts_code""",
+       FROM raw JOIN ids i ON i.code = raw.ts_code""",
 )
 def cn_header_bars(spark, sf_dir):
     names = {v: k for k, v in cn.HEADERS.items()}
@@ -239,7 +239,7 @@ def cn_header_bars(spark, sf_dir):
     known = ids(spark, sf_dir)
     own = raw.withColumn(cn.AVAILABLE_HEADER, F.concat(F.col(names["ts"]), F.lit("T18:00:00+08:00")))
     lagged = cn.bars_with_headers(raw, known).withColumn("variant", F.lit("lag"))
-    return lagged.unionByName(cn.bars_with_headers(own, known).withColumn("variant", F.lit("own")))
+    return jn.mapped(lagged.unionByName(cn.bars_with_headers(own, known).withColumn("variant", F.lit("own"))))
 
 
 MACRO_SQL = """
@@ -396,9 +396,9 @@ def hk_code(spark, sf_dir):
     with_(BARS, CODES, RAW_BARS)
     + f"""SELECT i.symbol_id, ts, open, high, low, {r('close * 0.9')} AS close, volume,
        {r('close * volume', 2)} AS amount, 'USD' AS currency, available_utc AS close_utc, available_utc,
-       'total_return' AS return_kind FROM raw LEFT JOIN ids i ON i.code = raw.ts_code
+       'total_return' AS return_kind FROM raw JOIN ids i ON i.code = raw.ts_code
        UNION ALL SELECT i.symbol_id, ts, open, high, low, close, 0.0, 0.0, 'USD', available_utc, available_utc,
-       'price_return' FROM raw LEFT JOIN ids i ON i.code = raw.ts_code""",
+       'price_return' FROM raw JOIN ids i ON i.code = raw.ts_code""",
 )
 def us_bars(spark, sf_dir):
     bars = tb.bars_daily(spark, sf_dir)
@@ -416,7 +416,7 @@ def us_bars(spark, sf_dir):
     )
     known = ids(spark, sf_dir)
     both = abroad.wide_bars(full, known).unionByName(abroad.wide_bars(raw, known))
-    return both.withColumn("amount", rounded("amount", 2))
+    return jn.mapped(both).withColumn("amount", rounded("amount", 2))
 
 
 @query(
@@ -431,7 +431,6 @@ def fx_series(spark, sf_dir):
         .where("base = 'click'")
         .select(F.col("ts").cast("string").alias("Date"), F.col("rate").alias("Close"))
     )
-    assert abroad.kind_of(raw) == "fx_rates"
     return abroad.fx_series(raw, "USD", "CNY")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkite.schema import null_nan
 from panelkite.session import settle
 
 
@@ -32,7 +33,7 @@ def cross_sectional_rank(
     ascending: bool = False,
     pieces: int = 16,
 ) -> DataFrame:
-    """Rank of `value` among the rows of each `by`, ties averaged, NULL unranked.
+    """Rank of `value` among the rows of each `by`, ties averaged, NULL and NaN unranked.
 
     Equal values are counted before any shuffle, and the distinct values of a date are cut into
     ranges that are ranked apart, so neither a large date nor a common value ends in one task. The
@@ -40,6 +41,8 @@ def cross_sectional_rank(
     """
     if not isinstance(ascending, bool):
         raise ValueError("ascending must be a bool")
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        df = df.withColumn(value, null_nan(F.col(value)))
     counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_same"))
     v = F.col(value)
     piece = F.size(F.filter("_cuts", lambda c: (c < v) if ascending else (c > v)))

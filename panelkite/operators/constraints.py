@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkite import schema
+from panelkite.operators.cleaning import fx_collisions
 from panelkite.operators.joins import union_frames
 from panelkite.operators.quality import PRICES
 
@@ -106,6 +107,48 @@ def bundle_invariants(tables: Mapping[str, DataFrame]) -> DataFrame:
     return union_frames(rows)
 
 
+def ingest_gate(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """All that may stop an ingest, as (check, violations): invariants, NULLs and value rules.
+
+    Required columns count as broken where NULL; those stamped at ingest may still be absent. A code
+    that no id is known for has a NULL symbol_id, an unknown suffix or market a NULL exchange or
+    ticker, so both are found here. Fractions that are not a number are broken too.
+    """
+    parts = [bundle_invariants(tables)]
+    for name, df in tables.items():
+        if name not in schema.COLUMNS:
+            continue
+        have = set(df.columns)
+        rules = {f"{name}.{c} is null": F.col(c).isNull() for c in schema.required(name) if c in have}
+        numbers = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+        rules |= {f"{name}.{c} is not a number": F.isnan(c) for c in numbers}
+        lacking = [c for c in schema.KEYS[name] if c not in have and c != "snapshot_id"]
+        if lacking:
+            raise ValueError(f"{name} lacks the key columns {lacking}")
+        parts.append(count_rules(df, rules))
+        values = {k: rule for k, rule in value_rules(name).items() if RULE_COLUMNS[k] <= have}
+        if values:
+            parts.append(count_rules(df, {f"{name}.{k}": rule for k, rule in values.items()}))
+    if "fx_rates" in tables:
+        found = fx_collisions(tables["fx_rates"]).agg(F.count("*").alias("violations"))
+        parts.append(found.select(F.lit("fx_rates.quoted both ways").alias("check"), "violations"))
+    return union_frames(parts)
+
+
+def link_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows whose parent is missing, for every link of the contract between tables that are given."""
+    parts = [
+        foreign_key_violations(
+            tables[child], tables[parent].select(F.col(key).alias(column)), column, f"{child}.{column} in {parent}"
+        )
+        for (child, column), (parent, key) in schema.LINKS.items()
+        if child in tables and parent in tables
+    ]
+    if not parts:
+        raise ValueError("no linked tables to check")
+    return union_frames(parts)
+
+
 def halted_with_volume(bars: DataFrame) -> DataFrame:
     return bars.where(~F.col("traded") & (F.col("volume") != 0))
 
@@ -157,6 +200,22 @@ def _member(table: str, column: str) -> Column:
     return ~F.col(column).isin(schema.ENUMS[(table, column)])
 
 
+#: Columns that a value rule reads.
+RULE_COLUMNS = {
+    "delisted_before_listed": {"delisted_on", "listed_on"},
+    "invest_type": {"invest_type"},
+    "kind": {"kind"},
+    "split_without_ratio": {"kind", "ratio"},
+    "dividend_without_cash": {"kind", "cash"},
+    "rate_not_positive": {"rate"},
+    "closed_with_close_time": {"is_open", "session_close_utc"},
+    "known_before_period_end": {"as_of_date", "period_end"},
+    "available_before_known": {"available_utc", "as_of_date"},
+    "status": {"status"},
+    "method": {"method"},
+}
+
+
 def value_rules(table: str) -> dict[str, Column]:
     """Value constraints of a table; a NULL comparison passes, as in SQL."""
     c = F.col
@@ -179,6 +238,7 @@ def value_rules(table: str) -> dict[str, Column]:
             "available_before_known": c("available_utc") < c("as_of_date").cast("timestamp_ntz"),
         },
         "ingest_runs": lambda: {"status": _member("ingest_runs", "status")},
+        "runs": lambda: {"status": _member("runs", "status")},
         "close_adj": lambda: {"method": _member("close_adj", "method")},
     }
     return rules[table]() if table in rules else {}

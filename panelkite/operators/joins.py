@@ -17,6 +17,11 @@ def map_symbols(df: DataFrame, code: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(F.col("code").alias(code), "symbol_id"), code, "left")
 
 
+def mapped(df: DataFrame) -> DataFrame:
+    """Rows whose code has an id; `unmapped_codes` of the raw rows counts the refused ones."""
+    return df.where(F.col("symbol_id").isNotNull())
+
+
 def unmapped_codes(df: DataFrame, code: str, ids: DataFrame) -> DataFrame:
     """Distinct codes without an id, with their row counts."""
     return (
@@ -104,18 +109,17 @@ def cross_rate_breaks(fx: DataFrame, base: str, via: str, quote: str, rtol: floa
 
 
 def next_session(decisions: DataFrame, sessions: DataFrame, ts: str = "ts") -> DataFrame:
-    """Attach the first session strictly after `ts`; NULL at the end of the sample.
+    """Attach the first session strictly after `ts`; NULL at the end of the sample and without a date.
 
     `sessions` has one row per date, so its ordered list is short; decisions may fall on any day.
     """
     later = sessions.agg(F.array_sort(F.collect_set("ts")).alias("_days"))
-    dates = decisions.select(ts).distinct()
-    return decisions.join(
-        dates.withColumn("_days", later.scalar()).select(
-            ts, F.get(F.filter("_days", lambda d: d > F.col(ts)), F.lit(0)).alias("next_ts")
-        ),
-        ts,
+    dates = decisions.select(ts).where(F.col(ts).isNotNull()).distinct()
+    following = dates.withColumn("_days", later.scalar()).select(
+        ts, F.get(F.filter("_days", lambda d: d > F.col(ts)), F.lit(0)).alias("next_ts")
     )
+    # one row per date of the calendar
+    return decisions.join(F.broadcast(following), ts, "left")
 
 
 def lost_weight(weights: DataFrame, universe: DataFrame) -> DataFrame:

@@ -36,21 +36,28 @@ def densify(bars: DataFrame, values: Sequence[str] = ("close",)) -> DataFrame:
 
     Cells without a bar have NULL values and traded=false. Only the bars that exist are shuffled, by
     symbol_id; each then fills the sessions up to its symbol's next bar, and the first one those
-    before it. Later windows over the symbol need no further shuffle. `bars` has at most one row per
-    (symbol_id, ts), so every symbol ends with one row per session and none is larger than another.
+    before it. Later windows over the symbol need no further shuffle. Two bars of a
+    symbol on one session are refused. Every symbol ends with one row per session, also one whose bars
+    all lie outside the sessions, so none is larger than another.
     """
     index = session_index(bars).withColumnRenamed("idx", "_at")
     days = session_list(bars).scalar()
-    w = Window.partitionBy("symbol_id").orderBy("_at")
-    first = F.when(F.lag("_at").over(w).isNull(), F.lit(0)).otherwise(F.col("_at"))
-    own = F.col("idx") == F.col("_at")
+    w = Window.partitionBy("symbol_id").orderBy("_at", "ts")
+    # bars outside the sessions sort first; a symbol keeps one of them if it has no other
+    inside = F.count("_at").over(Window.partitionBy("symbol_id"))
+    first = F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("_at"))
+    own = F.coalesce(F.col("idx") == F.col("_at"), F.lit(False))
+    twice = F.raise_error(F.lit("a symbol has two bars on one date"))
+    cells = F.when(F.col("_next") == F.col("_at"), twice).when(F.col("_b") >= F.col("_a"), F.sequence("_a", "_b"))
     return (
         bars.select("symbol_id", "ts", tradable(bars).alias("traded"), *values)
         # one row per session date: bounded by the calendar
-        .join(F.broadcast(index), "ts")
-        .select("symbol_id", "traded", *values, "_at", first.alias("_a"), F.lead("_at").over(w).alias("_next"))
+        .join(F.broadcast(index), "ts", "left")
+        .withColumns({"_inside": inside, "_n": F.row_number().over(w)})
+        .where("_at IS NOT NULL OR (_inside = 0 AND _n = 1)")
+        .select("symbol_id", "ts", "traded", *values, "_at", first.alias("_a"), F.lead("_at").over(w).alias("_next"))
         .withColumn("_b", F.coalesce("_next", F.size(days)) - 1)
-        .select("symbol_id", "traded", *values, "_at", F.explode(F.sequence("_a", "_b")).alias("idx"))
+        .select("symbol_id", "traded", *values, "_at", F.explode(cells).alias("idx"))
         .select(
             "symbol_id",
             F.element_at(days, F.col("idx") + 1).alias("ts"),

@@ -58,7 +58,7 @@ def top_n_weights(
     s, by_score, by_id = F.col(score), [F.col(score).desc(), F.col("symbol_id")], [F.col("symbol_id")]
     part = Window.partitionBy("ts", "_piece")
     first = (
-        eligible.where(s.isNotNull())
+        eligible.where(s.isNotNull() & ~F.isnan(s))
         .select("ts", "symbol_id", s)
         .withColumn("_piece", F.pmod(F.xxhash64("symbol_id"), F.lit(pieces)))
         .withColumn("_odd", F.max(F.abs(s) == float("inf")).over(part))

@@ -9,11 +9,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkite.operators.constraints import bundle_invariants
+from panelkite import schema
+from panelkite.operators.constraints import ingest_gate
 from panelkite.sources.common import stamp
-from panelkite.sources.fingerprint import snapshot_id
-from panelkite.sources.ledger import current_status, ledger_rows
-from panelkite.sources.snapshots import read_table, write_snapshot
+from panelkite.sources.fingerprint import fingerprint, snapshot_id
+from panelkite.sources.ledger import current_status, insert_absent, ledger_rows
+from panelkite.sources.snapshots import read_table, write_table
 
 STATES = "snapshot_id STRING, dataset STRING, status STRING, event_ts TIMESTAMP_NTZ, note STRING"
 DATED = {"bars_daily"}
@@ -33,20 +34,29 @@ def _log(spark: SparkSession, root: str, snapshot: str, tables, status: str, at:
     ).write.mode("append").parquet(f"{root}/_events")
 
 
-def status_of(spark: SparkSession, root: str) -> DataFrame:
-    """Latest state of every (snapshot, dataset)."""
+def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """The table at `path`, empty where it does not exist yet."""
     try:
-        events = spark.read.schema(STATES).parquet(f"{root}/_events")
+        return spark.read.schema(ddl).parquet(path)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        events = spark.createDataFrame([], STATES)
-    return current_status(events)
+        return spark.createDataFrame([], ddl)
+
+
+def status_of(spark: SparkSession, root: str) -> DataFrame:
+    """Latest state of every (snapshot, dataset)."""
+    return current_status(_read(spark, f"{root}/_events", STATES))
+
+
+def ledger_of(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the ledger: the snapshots that readers may follow."""
+    return _read(spark, f"{root}/_ledger", schema.COLUMNS["ingest_runs"])
 
 
 def refuse_broken(tables: Mapping[str, DataFrame]) -> None:
     """Raise when an invariant fails. One small row per rule comes back."""
-    broken = bundle_invariants(tables).where("violations > 0").collect()
+    broken = ingest_gate(tables).where("violations > 0").collect()
     if broken:
         lines = ", ".join(sorted(f"{r.check}={r.violations}" for r in broken))
         raise ValueError(f"refused: {lines}")
@@ -57,32 +67,44 @@ def ingest(
 ) -> IngestResult:
     """Store `tables` as one immutable snapshot named by its content.
 
-    The same content again is recognised and not rewritten. The ledger says running before the
-    write and ok after it, or aborted when the write fails; readers follow ok only.
+    A snapshot is published by its ledger rows, which come last: one for each table. The same content
+    again is recognised by them and not rewritten. Without them an earlier attempt was cut short; its
+    tables are kept where their content is right and written anew where not. The events say running
+    before the write and ok after it, or aborted when the write fails.
     """
     spark = next(iter(tables.values())).sparkSession
     refuse_broken(tables)
     name = snapshot_id(source, tables).first().snapshot_id
-    if all(read_table(spark, root, t, name) is not None for t in tables):
+    listed = ledger_of(spark, root).where(F.col("snapshot_id") == name).select("dataset").collect()
+    if set(tables) <= {r.dataset for r in listed}:
         known = status_of(spark, root).where((F.col("snapshot_id") == name) & (F.col("status") == "ok"))
-        if known.isEmpty():
+        if known.count() < len(tables):
             _log(spark, root, name, tables, "ok", finished_at, "registered again")
         return IngestResult(name, "exists")
     _log(spark, root, name, tables, "running", started_at)
     try:
-        stamped = {
-            t: stamp(df, source, name, started_at if t in DATED else None) for t, df in tables.items()
-        }
-        write_snapshot(stamped, root, name)
+        for t, df in tables.items():
+            if not _holds(read_table(spark, root, t, name), df):
+                write_table(stamp(df, source, name, started_at if t in DATED else None), root, t, name)
     except Exception as exc:
         _log(spark, root, name, tables, "aborted", finished_at, type(exc).__name__)
         raise
     stored = {t: read_table(spark, root, t, name) for t in tables}
-    ledger_rows(stored, name, source).withColumns(
+    rows = ledger_rows(stored, name, source).withColumns(
         {
             "started_at": F.lit(started_at).cast("timestamp_ntz"),
             "finished_at": F.lit(finished_at).cast("timestamp_ntz"),
+            "note": F.lit(None).cast("string"),
         }
-    ).write.mode("append").parquet(f"{root}/_ledger")
+    )
+    fresh = insert_absent(ledger_of(spark, root), rows, ["snapshot_id", "dataset"])
+    fresh.write.mode("append").parquet(f"{root}/_ledger")
     _log(spark, root, name, tables, "ok", finished_at)
     return IngestResult(name, "ok")
+
+
+def _holds(stored: DataFrame | None, df: DataFrame) -> bool:
+    """Whether a stored table has the content of `df`, apart from the columns stamped on it."""
+    if stored is None or not set(df.columns) <= set(stored.columns):
+        return False
+    return fingerprint(stored.select(df.columns)).first() == fingerprint(df).first()

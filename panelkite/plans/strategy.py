@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,13 +75,28 @@ def run_strategy(
     rule: str = "W-MON",
     bps: float = 0.0,
     run_id: str = "run",
+    factors: Sequence[Callable[[DataFrame], DataFrame]] = (),
+    universe: DataFrame | None = None,
 ) -> Mapping[str, DataFrame]:
-    """weights, events, fills, equity and metrics of one strategy over all symbols of `bars`.
+    """weights, events, fills, equity and metrics of one strategy over the symbols of `bars`.
 
-    Without a score the momentum over `window` sessions ranks, by default over the look-back. The
-    panel and the weights are written once, as several results read them.
+    `factors` add columns to the dense panel that entry, exit and score may name: exponential filters,
+    trend lines, ranks. `lookback` is the longest window of rules and factors; it must be given with a
+    score or factors, as warm-up and freshness follow it. `universe` limits the symbols; ids that the
+    bars lack are refused. Without a score the momentum over `window` sessions ranks, by default over
+    the look-back. The panel and the weights are written once, as several results read them.
     """
-    panel = settle(adjusted_panel(bars, actions), "panel")
+    if lookback < 2 and (score is not None or factors):
+        raise ValueError("a score or factors need the look-back of their windows")
+    if universe is not None:
+        unknown = sg.unknown_universe(universe, bars).limit(5).collect()
+        if unknown:
+            raise ValueError(f"symbols without bars: {[r.symbol_id for r in unknown]}")
+        bars = sg.in_universe(bars, universe)
+    panel = adjusted_panel(bars, actions)
+    for add in factors:
+        panel = add(panel)
+    panel = settle(panel, "panel")
     sessions = settle(pn.session_index(bars), "sessions")
     weights = sg.target_weights(
         panel,

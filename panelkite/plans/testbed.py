@@ -1,4 +1,4 @@
-"""Quant tables derived from the driver's star schema (lineitem, orders, events)."""
+"""Market tables derived from the driver's star schema (lineitem, orders, events)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from panelkite.session import settle
 
-N_SYMBOLS = 8
 N_EXCHANGES = 3
 
 
@@ -38,39 +37,58 @@ def _bars(items: DataFrame) -> DataFrame:
     )
 
 
-def weekday_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "lineitem")
-        .withColumn("ts", F.col("l_shipdate").cast("date"))
-        .where(F.dayofweek("ts").between(2, 6))
-        .withColumn("symbol_id", F.col("l_suppkey") % N_SYMBOLS)
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a trade, on its ship date, of the symbol that its supplier belongs to.
+
+    About twelve suppliers make a symbol, so that it trades on most days and the number of symbols
+    grows with the suppliers.
+    """
+    symbols = table(spark, sf_dir, "supplier").agg(F.greatest(F.lit(8), F.floor(F.count("*") / 12))).scalar()
+    return table(spark, sf_dir, "lineitem").withColumns(
+        {"ts": F.col("l_shipdate").cast("date"), "symbol_id": F.col("l_suppkey") % symbols}
     )
 
 
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of eight symbols, as a written table: lineitem is read once."""
-    return settle(_bars(weekday_items(spark, sf_dir)), "bars-daily")
+    """Daily bars of all symbols."""
+    return _bars(trades(spark, sf_dir))
 
 
 def bars_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars, one symbol per supplier, as a written table: the wide panel."""
+    """Weekly bars, one symbol per supplier."""
     items = table(spark, sf_dir, "lineitem").select(
         "l_extendedprice",
         "l_quantity",
         F.col("l_suppkey").alias("symbol_id"),
         F.date_trunc("week", "l_shipdate").cast("date").alias("ts"),
     )
-    return settle(_bars(items), "bars-weekly")
+    return _bars(items)
 
 
 def corporate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits (ratio 2) and dividends, at most one row per symbol, date and kind."""
+    """Splits (ratio 2) and dividends, at most one row per symbol, date and kind.
+
+    A day has a split where one of its trades is of 50 units as a seventh line, a dividend where one
+    is of 49.
+    """
+    line7 = F.col("l_linenumber") == 7
+    marks = F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(kind).alias("kind"), F.col(f"_{kind}").alias("_tax"))
+                for kind in ("split", "dividend")
+            ]
+        )
+    )
     return (
-        weekday_items(spark, sf_dir)
-        .where((F.col("l_linenumber") == 7) & F.col("l_quantity").isin(49, 50))
-        .withColumn("kind", F.when(F.col("l_quantity") == 50, "split").otherwise("dividend"))
-        .groupBy("symbol_id", F.col("ts").alias("ex_date"), "kind")
-        .agg(F.max("l_tax").alias("_tax"))
+        trades(spark, sf_dir)
+        .groupBy("symbol_id", F.col("ts").alias("ex_date"))
+        .agg(
+            F.max(F.when(line7 & (F.col("l_quantity") == 50), F.col("l_tax"))).alias("_split"),
+            F.max(F.when(line7 & (F.col("l_quantity") == 49), F.col("l_tax"))).alias("_dividend"),
+        )
+        .select("symbol_id", "ex_date", marks)
+        .where("_tax IS NOT NULL")
         .select(
             "symbol_id",
             "ex_date",
@@ -102,16 +120,16 @@ def fx_rates(spark: SparkSession, sf_dir: str, reverse: bool = True) -> DataFram
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight symbols; listing from the first weekday trade, symbol 5 delisted in 2000."""
+    """All symbols; listed some time after their first trade, symbol 5 delisted in 2000."""
     return (
-        weekday_items(spark, sf_dir)
+        trades(spark, sf_dir)
         .groupBy("symbol_id")
         .agg(F.min("ts").alias("_first"))
         .select(
             "symbol_id",
             F.concat(F.lit("SYM"), F.col("symbol_id")).alias("ticker"),
             F.concat(F.lit("X"), F.col("symbol_id") % N_EXCHANGES).alias("exchange"),
-            F.when(F.col("symbol_id") != 7, F.date_add("_first", (F.col("symbol_id") * 30).cast("int")))
+            F.when(F.col("symbol_id") != 7, F.date_add("_first", (F.col("symbol_id") % 8 * 30).cast("int")))
             .alias("listed_on"),
             F.when(F.col("symbol_id") == 5, F.lit("2000-06-30").cast("date")).alias("delisted_on"),
         )
@@ -156,54 +174,55 @@ def curves_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The daily bars as they stand in three overlapping snapshots."""
-    ids = F.explode(F.array(F.lit("s1"), F.lit("s2"), F.lit("s3")))
-    return bars_daily(spark, sf_dir).withColumn("snapshot_id", ids)
+    """The daily bars as they stood in yearly snapshots: each holds the bars up to its year's end.
+
+    Closes of earlier snapshots differ, so a wrong pick shows in the values.
+    """
+    runs = ledger(spark, sf_dir).select("snapshot_id", F.substring("snapshot_id", 2, 4).cast("int").alias("_year"))
+    bars = bars_daily(spark, sf_dir).withColumn("_own", F.year("ts"))
+    # one row per year of orders
+    known = bars.join(F.broadcast(runs), F.col("_own") <= F.col("_year"))
+    return known.withColumn("close", _fixed(F.col("close") + (F.col("_year") - F.col("_own")))).drop("_year", "_own")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run ledger of the three snapshots: s2 is the newest that finished well."""
-    last = F.max("l_shipdate").cast("date")
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("snapshot_id"), F.lit(st).alias("status"), F.lit(d).alias("days")
-            )
-            for s, st, d in (("s1", "ok", 1), ("s2", "ok", 2), ("s3", "failed", 3))
-        ]
-    )
+    """Run ledger of the yearly snapshots, from all orders: a year with more open than filled orders failed."""
+    year = F.year("o_orderdate")
+    filled = F.count_if(F.col("o_orderstatus") == "F")
     return (
-        table(spark, sf_dir, "lineitem")
-        .agg(last.alias("_last"))
-        .select("_last", F.inline(rows))
-        .select(
-            "snapshot_id",
-            F.lit("bars_daily").alias("dataset"),
-            "status",
-            F.date_add("_last", F.col("days")).cast("timestamp_ntz").alias("finished_at"),
+        table(spark, sf_dir, "orders")
+        .groupBy(F.concat(F.lit("s"), year).alias("snapshot_id"))
+        .agg(
+            F.when(filled >= F.count_if(F.col("o_orderstatus") == "O"), "ok").otherwise("failed").alias("status"),
+            F.max("o_orderdate").cast("timestamp_ntz").alias("finished_at"),
         )
+        .select("snapshot_id", F.lit("bars_daily").alias("dataset"), "status", "finished_at")
     )
 
 
 def fund_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vendor adjustment factors, absent on some dates."""
+    """Vendor adjustment factors, absent on dates without a trade in the first three lines."""
+    early = F.when(F.col("l_linenumber") <= 3, F.col("l_tax"))
     return (
-        weekday_items(spark, sf_dir)
-        .where("l_linenumber <= 3")
+        trades(spark, sf_dir)
         .groupBy("symbol_id", "ts")
-        .agg(_fixed(1.0 + F.avg("l_tax")).alias("adj_factor"))
+        .agg(_fixed(1.0 + F.avg(early)).alias("adj_factor"))
+        .where("adj_factor IS NOT NULL")
     )
 
 
 def mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly weights of the event types in two portfolios: by activity, and equal."""
-    daily = (
+    """Weekly weights of the event types in two portfolios: by activity, and equal.
+
+    A week's weights come from all its events and stand at its first day with any.
+    """
+    week = F.date_trunc("week", "ts").alias("_week")
+    weekly = (
         table(spark, sf_dir, "events")
-        .groupBy(F.col("event_type").alias("name"), F.col("ts").cast("date").alias("ts"))
-        .agg(F.count("*").alias("_n"))
-        .where(F.dayofmonth("ts") % 7 == 3)
+        .groupBy(F.col("event_type").alias("name"), week)
+        .agg(F.count("*").alias("_n"), F.min(F.col("ts").cast("date")).alias("_first"))
     )
-    totals = daily.groupBy("ts").agg(F.sum("_n").alias("_all"))
+    totals = weekly.groupBy("_week").agg(F.sum("_n").alias("_all"), F.min("_first").alias("ts"))
     both = F.inline(
         F.array(
             F.struct(
@@ -213,7 +232,7 @@ def mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("equal").alias("run_id"), F.lit(0.15).alias("weight")),
         )
     )
-    return settle(daily.join(totals, "ts").select("ts", "name", both), "mix-weights")
+    return settle(weekly.join(totals, "_week").select("ts", "name", both), "mix-weights")
 
 
 def mix_curves(spark: SparkSession, sf_dir: str) -> DataFrame:

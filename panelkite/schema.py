@@ -29,6 +29,23 @@ COLUMNS = {
     "close_adj": "symbol_id BIGINT, ts DATE, close_adj DOUBLE, adj_factor DOUBLE, method STRING, "
     "available_utc TIMESTAMP_NTZ, source STRING, snapshot_id STRING",
     "run_metrics": "run_id STRING, metric STRING, value DOUBLE",
+    "runs": "run_id STRING, spec_id STRING, engine STRING, origin STRING, created_at TIMESTAMP_NTZ, "
+    "data_snapshot_id STRING, env_lock_hash STRING, git_sha STRING, params_json STRING, status STRING",
+}
+
+# Fixed values of the data contract: columns that may be NULL; all others must be given.
+NULLABLE = {
+    "symbols": ["isin", "lot_size", "listed_on", "delisted_on", "name", "invest_type"],
+    "bars_daily": ["open", "high", "low", "close", "volume", "amount", "currency", "close_utc"],
+    "corporate_actions": ["ratio", "cash", "pay_date"],
+    "fx_rates": [],
+    "trading_calendar": ["session_close_utc"],
+    "macro_series": ["value", "unit"],
+    "fundamentals": ["value"],
+    "ingest_runs": ["finished_at", "rows", "watermark", "file_hash", "note"],
+    "close_adj": ["close_adj", "adj_factor"],
+    "run_metrics": [],
+    "runs": [],
 }
 
 KEYS = {
@@ -42,13 +59,24 @@ KEYS = {
     "ingest_runs": ["snapshot_id", "dataset"],
     "close_adj": ["symbol_id", "ts", "snapshot_id"],
     "run_metrics": ["run_id", "metric"],
+    "runs": ["run_id"],
+}
+
+# Fixed values of the data contract: (table, column) -> (parent table, its key).
+LINKS = {
+    ("bars_daily", "symbol_id"): ("symbols", "symbol_id"),
+    ("corporate_actions", "symbol_id"): ("symbols", "symbol_id"),
+    ("fundamentals", "symbol_id"): ("symbols", "symbol_id"),
+    ("close_adj", "symbol_id"): ("symbols", "symbol_id"),
+    ("run_metrics", "run_id"): ("runs", "run_id"),
 }
 
 ENUMS = {
     ("symbols", "invest_type"): ["股票", "债券", "货币", "商品", "qdii", "其他"],
     ("corporate_actions", "kind"): ["dividend", "split"],
-    ("ingest_runs", "status"): ["ok", "running", "aborted", "failed", "partial"],
+    ("ingest_runs", "status"): ["running", "ok", "failed", "partial", "aborted"],
     ("close_adj", "method"): ["fund_adj_forward", "split_forward", "none"],
+    ("runs", "status"): ["ok", "failed", "partial"],
 }
 
 AUDIT_COLUMNS = ["downloaded_at", "snapshot_id"]
@@ -58,8 +86,16 @@ def struct_of(table: str) -> StructType:
     return StructType.fromDDL(COLUMNS[table])
 
 
+def required(table: str) -> list[str]:
+    """Columns of a contract table that must not be NULL."""
+    return [f.name for f in struct_of(table).fields if f.name not in NULLABLE[table]]
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Project to the contract columns: extras drop, absent nullable ones become NULL."""
+    """Project to the contract columns: extras drop, absent nullable ones become NULL.
+
+    Absent required ones become NULL as well; whoever stores the rows checks `required`.
+    """
     have = set(df.columns)
     return df.select(
         *[

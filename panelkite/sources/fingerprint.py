@@ -12,8 +12,10 @@ from panelkite.schema import AUDIT_COLUMNS
 
 MISSING = "<NA>"
 SEPARATOR = "\x1f"
-PIECES = 4  # fifteen hex digits each, added as three 20-bit lanes
-MASK = 2**20 - 1
+PIECES = 8  # eight hex digits each, added as two 16-bit lanes
+DIGITS = 8
+SHIFTS = (16, 0)
+MASK = 2**16 - 1
 
 
 def dtype_class(dtype: T.DataType) -> str:
@@ -60,12 +62,12 @@ def fingerprint(df: DataFrame) -> DataFrame:
     digests = flat.select(row_digest(flat).alias("_h"))
     numbers = digests.select(
         *[
-            F.conv(F.substring("_h", 15 * i + 1, 15), 16, 10).cast("bigint").alias(f"_{i}")
+            F.conv(F.substring("_h", DIGITS * i + 1, DIGITS), 16, 10).cast("bigint").alias(f"_{i}")
             for i in range(PIECES)
         ]
     )
     parts = [
-        F.shiftright(f"_{i}", shift).bitwiseAND(F.lit(MASK)) for i in range(PIECES) for shift in (40, 20, 0)
+        F.shiftright(f"_{i}", shift).bitwiseAND(F.lit(MASK)) for i in range(PIECES) for shift in SHIFTS
     ]
     lanes = [F.coalesce(F.sum(p), F.lit(0)).alias(f"_s{i}") for i, p in enumerate(parts)]
     total = numbers.agg(F.count("*").alias("rows"), *lanes)

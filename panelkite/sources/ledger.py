@@ -45,9 +45,14 @@ def ledger_rows(tables: Mapping[str, DataFrame], snapshot_id: str, source: str)
 
 
 def current_status(events: DataFrame) -> DataFrame:
-    """Latest state per (snapshot_id, dataset) of an append-only event table."""
+    """Latest state per (snapshot_id, dataset) of an append-only event table.
+
+    Of events at one time a final state counts, not the running one, and ok before the others.
+    """
+    final = F.when(F.col("status") == "ok", 2).when(F.col("status") == "running", 0).otherwise(1)
     return events.groupBy("snapshot_id", "dataset").agg(
-        F.max_by("status", "event_ts").alias("status"), F.max("event_ts").alias("event_ts")
+        F.max_by("status", F.struct("event_ts", final, "status")).alias("status"),
+        F.max("event_ts").alias("event_ts"),
     )
 
 
@@ -78,5 +83,10 @@ def upsert_latest(rows: DataFrame, keys: Sequence[str], version: str) -> DataFra
     )
 
 
+def runs_of(runs: DataFrame, run_id: str) -> DataFrame:
+    """The record of one run."""
+    return runs.where(F.col("run_id") == run_id)
+
+
 def run_metrics_of(metrics: DataFrame, run_id: str) -> DataFrame:
     return metrics.where(F.col("run_id") == run_id).orderBy("metric")

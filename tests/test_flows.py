@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from panelkite.functions import crosssection, recursive
 from panelkite.functions import factors as fx
 from panelkite.operators import panel as pn
 from panelkite.plans import ingest as ig
@@ -54,7 +55,7 @@ def test_failed_write_is_recorded(spark, tables, tmp_path, monkeypatch):
     def fail(*_):
         raise OSError("disk")
 
-    monkeypatch.setattr(ig, "write_snapshot", fail)
+    monkeypatch.setattr(ig, "write_table", fail)
     with pytest.raises(OSError):
         ig.ingest(tables, "v", str(tmp_path), *TIMES)
     assert {s for _, s in states(spark, str(tmp_path))} == {"aborted"}
@@ -62,6 +63,60 @@ def test_failed_write_is_recorded(spark, tables, tmp_path, monkeypatch):
     assert ig.ingest(tables, "v", str(tmp_path), *TIMES).status == "ok"
 
 
+@pytest.mark.parametrize("cut", ["one table", "no data file", "wrong rows", "no ledger"])
+def test_cut_short_ingest_is_repeated(spark, tables, tmp_path, cut):
+    root = str(tmp_path / "root")
+    name = ig.ingest(tables, "v", str(tmp_path / "other"), *TIMES).snapshot_id
+    bars = tables["bars_daily"]
+    if cut == "no data file":
+        (tmp_path / "root" / "bars_daily" / f"snapshot_id={name}" / "_temporary").mkdir(parents=True)
+    else:
+        ig.write_table(ig.stamp(bars if cut != "wrong rows" else bars.limit(2), "v", name, TIMES[0]), root, "bars_daily", name)
+    if cut == "no ledger":
+        ig.write_table(ig.stamp(tables["fx_rates"], "v", name), root, "fx_rates", name)
+    for status in ("ok", "exists"):
+        assert ig.ingest(tables, "v", root, *TIMES) == ig.IngestResult(name, status)
+    assert states(spark, root) == {("bars_daily", "ok"), ("fx_rates", "ok")}
+    assert sorted((r.dataset, r["rows"]) for r in ig.ledger_of(spark, root).collect()) == [("bars_daily", 5), ("fx_rates", 1)]
+    assert ig.read_table(spark, root, "bars_daily", name).count() == 5
+
+
+@pytest.mark.parametrize("table, column, value, said", [
+    ("bars_daily", "symbol_id", "CAST(NULL AS BIGINT)", "bars_daily.symbol_id is null=5"),
+    ("bars_daily", "available_utc", "CAST(NULL AS TIMESTAMP_NTZ)", "bars_daily.available_utc is null=5"),
+    ("bars_daily", "close", "CAST('NaN' AS DOUBLE)", "bars_daily.close is not a number=5"),
+    ("fx_rates", "rate", "-1.0D", "fx_rates.rate_not_positive=1"),
+])
+def test_the_gate_fails_closed(spark, tables, tmp_path, table, column, value, said):
+    bad = {**tables, table: tables[table].withColumn(column, F.expr(value))}
+    with pytest.raises(ValueError, match=said):
+        ig.ingest(bad, "v", str(tmp_path), *TIMES)
+    assert ig.ledger_of(spark, str(tmp_path)).isEmpty()
+
+
+def test_rates_quoted_both_ways_are_refused(spark, tables, tmp_path, frame):
+    both = frame([("CNY", "USD", day(0), 0.14), ("USD", "CNY", day(0), 7.0)], "base STRING, quote STRING, ts DATE, rate DOUBLE")
+    with pytest.raises(ValueError, match="quoted both ways=1"):
+        ig.ingest({**tables, "fx_rates": both}, "v", str(tmp_path), *TIMES)
+
+
+def test_leverage_is_refused(frame):
+    curves = frame([("r", "a", day(i), 1.0 + i) for i in range(3)], "run_id STRING, name STRING, ts DATE, equity DOUBLE")
+    weights = frame([("r", day(0), "a", 3.0)], "run_id STRING, ts DATE, name STRING, weight DOUBLE")
+    with pytest.raises(Exception, match="add up to too much"):
+        st.pf.compose(curves, weights).collect()
+
+
+def test_odd_bars_of_a_panel(frame):
+    ddl = "symbol_id BIGINT, ts DATE, open DOUBLE, close DOUBLE, traded BOOLEAN"
+    rows = [(1, day(0), 1.0, 1.0, True), (1, day(2), 2.0, 2.0, True), (2, day(1), 9.0, 9.0, False)]
+    got = {(r.symbol_id, r.ts): r.close for r in pn.densify(frame(rows, ddl)).collect()}
+    assert got == {(1, day(0)): 1.0, (1, day(2)): 2.0, (2, day(0)): None, (2, day(2)): None}
+    for twice in (rows[:1] * 2, rows[1:2] * 2):
+        with pytest.raises(Exception, match="two bars on one date"):
+            pn.densify(frame(rows + twice, ddl)).collect()
+
+
 def test_strategy_holds_the_winner(frame):
     n = 60
     rows = [
@@ -82,6 +137,24 @@ def test_strategy_holds_the_winner(frame):
     assert out["fills"].where("outcome = 'deferred'").isEmpty()
 
 
+def test_factors_and_universe_of_a_strategy(frame):
+    rows = [(s, day(i), 100 * g**i, 100 * g**i, True) for s, g in ((1, 1.01), (2, 1.02), (3, 1.03)) for i in range(40)]
+    bars = frame(rows, "symbol_id BIGINT, ts DATE, open DOUBLE, close DOUBLE, traded BOOLEAN")
+    some = frame([(1,), (2,)], "symbol_id BIGINT")
+    factors = [
+        lambda p: recursive.ema(p, "close", 3, out="fast"),
+        lambda p: recursive.ema(p, "close", 9, out="slow"),
+        lambda p: crosssection.cross_sectional_rank(p, "fast", out="place"),
+    ]
+    rules = {"entry": F.col("fast") > F.col("slow"), "score": -F.col("place"), "lookback": 9, "top_n": 1}
+    out = st.run_strategy(bars, factors=factors, universe=some, **rules)
+    assert {r.symbol_id for r in out["weights"].where("weight > 0").collect()} == {2}
+    with pytest.raises(ValueError, match="without bars"):
+        st.run_strategy(bars, universe=frame([(9,)], "symbol_id BIGINT"), **rules)
+    with pytest.raises(ValueError, match="look-back"):
+        st.run_strategy(bars, factors=factors)
+
+
 def test_costs_lower_the_curve(frame):
     rows = [(1, day(i), 100.0, 100.0, True) for i in range(30)]
     bars = frame(rows, "symbol_id BIGINT, ts DATE, open DOUBLE, close DOUBLE, traded BOOLEAN")
