@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkite.schema import null_nan
-from panelkite.session import settle
+from panelkite.session import partitions_of, settle
 
 
 def _cuts(counts: DataFrame, by: str, value: str, pieces: int) -> DataFrame:
@@ -31,13 +31,14 @@ def cross_sectional_rank(
     out: str = "rank",
     by: str = "ts",
     ascending: bool = False,
-    pieces: int = 16,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Rank of `value` among the rows of each `by`, ties averaged, NULL and NaN unranked.
 
     Equal values are counted before any shuffle, and the distinct values of a date are cut into
-    ranges that are ranked apart, so neither a large date nor a common value ends in one task. The
-    counted pieces are written once, as two steps read them; `df` itself is evaluated twice.
+    `pieces` ranges that are ranked apart, as many as shuffle partitions unless given, so a large date is
+    not ranked in one task. The counted pieces are written once, as two steps read them; `df` itself is
+    evaluated twice.
     """
     if not isinstance(ascending, bool):
         raise ValueError("ascending must be a bool")
@@ -46,8 +47,7 @@ def cross_sectional_rank(
     counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_same"))
     v = F.col(value)
     piece = F.size(F.filter("_cuts", lambda c: (c < v) if ascending else (c > v)))
-    # one short array per date: small enough to broadcast for any number of symbols
-    cuts = F.broadcast(_cuts(counts, by, value, pieces))
+    cuts = _cuts(counts, by, value, pieces or partitions_of(df.sparkSession))
     cut = counts.join(cuts, by, "left").select(by, value, "_same", piece.alias("_piece"))
     cut = settle(cut, "rank-pieces")
     w_off = Window.partitionBy(by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,7 +63,7 @@ def cross_sectional_rank(
     )
     ranks = (
         cut.withColumn("_upto", F.sum("_same").over(w_in))
-        .join(F.broadcast(offsets), [by, "_piece"])
+        .join(offsets, [by, "_piece"])
         .select(
             by,
             value,

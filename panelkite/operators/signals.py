@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkite.functions.factors import momentum, truth
 from panelkite.operators.panel import is_fresh, is_warm, so_far
+from panelkite.session import partitions_of
 
 # The day a weekly period ends on, Monday first.
 WEEK_ENDS = ["W-MON", "W-TUE", "W-WED", "W-THU", "W-FRI", "W-SAT", "W-SUN"]
@@ -48,13 +49,15 @@ def fallback_score(window: int = 63) -> Column:
 
 
 def top_n_weights(
-    eligible: DataFrame, score: str = "score", top_n: int = 3, cash_floor: float = 0.0, pieces: int = 64
+    eligible: DataFrame, score: str = "score", top_n: int = 3, cash_floor: float = 0.0, pieces: int | None = None
 ) -> DataFrame:
     """Equal weights of the best `top_n` rows per date: (ts, symbol_id, weight).
 
     Ties go to the smaller id; a date with any infinite score is chosen by id alone. Each date is
-    first cut down within `pieces` hash groups, so no task ranks all symbols of a date.
+    first cut down within `pieces` hash groups, as many as shuffle partitions unless given, so no task
+    ranks all symbols of a date.
     """
+    pieces = pieces or partitions_of(eligible.sparkSession)
     s, by_score, by_id = F.col(score), [F.col(score).desc(), F.col("symbol_id")], [F.col("symbol_id")]
     part = Window.partitionBy("ts", "_piece")
     first = (
@@ -117,8 +120,7 @@ def target_weights(
     chosen = top_n_weights(eligible, "score", top_n, cash_floor)
     all_dates = dates.agg(F.array_sort(F.collect_set("ts"))).scalar()
     grid = universe.select("symbol_id").distinct().select("symbol_id", F.explode(all_dates).alias("ts"))
-    # at most top_n rows per rebalance date
-    return grid.join(F.broadcast(chosen), ["ts", "symbol_id"], "left").select(
+    return grid.join(chosen, ["ts", "symbol_id"], "left").select(
         "ts", "symbol_id", F.coalesce("weight", F.lit(0.0)).alias("weight")
     )
 

@@ -72,7 +72,7 @@ def stamp(df: DataFrame, source: str, snapshot_id: str, downloaded_at: str | Non
     return df.withColumns(columns)
 
 
-def assign_ids(codes: DataFrame, code: str = "ts_code", base: int = 0, pieces: int = 64) -> DataFrame:
+def assign_ids(codes: DataFrame, code: str = "ts_code", base: int = 0, pieces: int | None = None) -> DataFrame:
     """(code, symbol_id): base + position among the sorted distinct codes.
 
     For the first load of an exchange block; later codes are appended by `append_ids`, because a
