@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import one_row_per_doc, settled
-from .words import WordNumbers, alnum_words, chunks, grams, mixed
+from .words import WordNumbers, alnum_words, chunks, grams, mixed, slices
 
 WINDOW = 10
 GRAM = 5
@@ -69,7 +69,7 @@ def _windows(sizes: list[int], bits: bytes | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = WordNumbers()
         held = None if bits is None else np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
-        for batch in batches:
+        for batch in slices(batches):
             owners, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 found: list[list] = [[], [], [], [], [], []]

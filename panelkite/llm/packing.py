@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import one_row_per_doc, settled
+from .words import chunks, slices
 
 WINDOW = 4096
 END_ID = 2
-BATCH_BYTES = 2_000_000
 
 PIECES = pa.schema(
     [
@@ -169,26 +169,14 @@ def _table(windows: list[tuple[int, list, bool]], part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, PIECES)], schema=PIECES)
 
 
-def by_bytes(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `limit` characters, one row at least."""
-    begin = size = 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= limit:
-            yield begin, k + 1
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def _pack_partition(path: str, window: int, room: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         words, windows, number = WordIds(path), OpenWindows(room, window), part << 32
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in by_bytes(texts, BATCH_BYTES):
+            for a, b in chunks(texts):
                 done = []
                 for doc, tokens in zip(ids[a:b], words.encode(texts[a:b])):
                     tokens += end

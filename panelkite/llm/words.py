@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 CHUNK_CHARS = 2_000_000
+SLICE_ROWS = 1500
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 #: For words of 0-9, a-z and non-ASCII characters: all other ASCII bytes become spaces, A-Z become a-z.
@@ -63,6 +65,13 @@ def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[
         yield begin, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows: a task turns no more of its rows to objects at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def space_words(text: str | None) -> list[bytes]:
     """Runs without ASCII white space, A-Z lower-cased."""
     return (text or "").encode("utf-8").lower().split()
