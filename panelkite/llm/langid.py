@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 48  # texts of each language that its dictionary is cut from
-SAMPLE_CHARS = 4096  # of each
-DICTIONARY_BYTES = 65536
+from .words import slices
+
+SAMPLE_DOCS = 400  # texts of each language that its dictionary is cut from
+SAMPLE_CHARS = 400  # of each
+DICTIONARY_BYTES = 131072
 LEVEL = 6
 PIECE_BYTES = 1000
 MIN_MARGIN = 0.001
@@ -64,11 +66,13 @@ def _identify(dictionaries: dict[str, bytes], min_margin: float, kept: list[str]
         for lang, content in dictionaries.items():
             content = content if len(content) >= 8 else content.ljust(8)
             known = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            known.precompute_compress(level=LEVEL)
-            encoders[lang] = zstd.ZstdCompressor(
-                level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False
-            )
-        for batch in batches:
+            how = zstd.ZstdCompressionParameters.from_level(
+                LEVEL, source_size=PIECE_BYTES, dict_size=len(content), min_match=4,
+                write_content_size=False, write_checksum=False, write_dict_id=False,
+            )
+            known.precompute_compress(compression_params=how)
+            encoders[lang] = zstd.ZstdCompressor(dict_data=known, compression_params=how)
+        for batch in slices(batches):
             texts = batch.column("text")
             rows = [_choose(encoders, text.as_py(), min_margin) for text in texts]
             lang, score, margin, rejected = zip(*rows) if rows else ((), (), (), ())
