@@ -123,9 +123,11 @@ def repeated_lines(docs: DataFrame, batches: int = 4, fanout: int = 3) -> DataFr
         batch = batch + (F.col("doc_id") > cut).cast("int")
     lines = settled(line_digests(docs).withColumn("batch", batch), "lines")
     store, found = LineRuns(spark, fanout), []
-    for b in range(batches):
-        found.append(store.add(lines.where(F.col("batch") == b).drop("batch"), last=b == batches - 1))
-    store.close()
+    try:
+        for b in range(batches):
+            found.append(store.add(lines.where(F.col("batch") == b).drop("batch"), last=b == batches - 1))
+    finally:
+        store.close()
     repeats = found[0]
     for more in found[1:]:
         repeats = repeats.unionByName(more)
