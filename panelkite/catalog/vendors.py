@@ -57,6 +57,19 @@ def ids(spark, sf_dir):
     return cn.fund_ids(fund_list(spark, sf_dir))
 
 
+def with_id(df):
+    """Rows whose code has an id, for the queries of clean rows; nothing that loads a table calls this."""
+    return df.where(F.col("symbol_id").isNotNull())
+
+
+def with_status(df):
+    """Every row, those without an id included, and which of the two a row is."""
+    return df.withColumn("status", F.when(F.col("symbol_id").isNull(), "unmapped").otherwise("mapped"))
+
+
+STATUS = "CASE WHEN i.symbol_id IS NULL THEN 'unmapped' ELSE 'mapped' END AS status"
+
+
 def raw_bars(spark, sf_dir):
     return tb.bars_daily(spark, sf_dir).select(
         code_of(F.col("symbol_id")).alias("ts_code"),
@@ -96,7 +109,18 @@ def symbol_ids_appended(spark, sf_dir):
        FROM raw JOIN ids i ON i.code = raw.ts_code""",
 )
 def cn_bars(spark, sf_dir):
-    return jn.mapped(cn.bars(raw_bars(spark, sf_dir), ids(spark, sf_dir)))
+    return with_id(cn.bars(raw_bars(spark, sf_dir), ids(spark, sf_dir)))
+
+
+@query(
+    "cn_bars_whole",
+    with_(BARS, CODES, RAW_BARS)
+    + f"""SELECT i.symbol_id, ts, open, high, low, close, volume, amount, 'CNY' AS currency,
+       CAST(ts AS TIMESTAMP) + INTERVAL 7 HOUR AS close_utc, available_utc, {STATUS}
+       FROM raw LEFT JOIN ids i ON i.code = raw.ts_code""",
+)
+def cn_bars_whole(spark, sf_dir):
+    return with_status(cn.bars(raw_bars(spark, sf_dir), ids(spark, sf_dir)))
 
 
 @query(
@@ -128,8 +152,25 @@ rawdiv AS MATERIALIZED (
        JOIN ids ON code = ts_code WHERE n = 1""",
 )
 def dividend_dedupe(spark, sf_dir):
+    return with_id(cn.dividends(raw_dividends(spark, sf_dir), ids(spark, sf_dir)))
+
+
+@query(
+    "dividend_dedupe_whole",
+    with_(CODES, RAW_DIVIDENDS)
+    + f"""SELECT i.symbol_id, ex_date, 'dividend' AS kind, CAST(NULL AS DOUBLE) AS ratio, cash, pay_date,
+       CAST(least(coalesce(ann, ex_date), ex_date) AS TIMESTAMP) AS available_utc, {STATUS}
+       FROM (SELECT *, row_number() OVER (PARTITION BY ts_code, ex_date
+               ORDER BY ann NULLS LAST, pay_date NULLS LAST, cash) AS n FROM rawdiv) d
+       LEFT JOIN ids i ON i.code = ts_code WHERE n = 1""",
+)
+def dividend_dedupe_whole(spark, sf_dir):
+    return with_status(cn.dividends(raw_dividends(spark, sf_dir), ids(spark, sf_dir)))
+
+
+def raw_dividends(spark, sf_dir):
     ship = F.col("l_shipdate").cast("date")
-    raw = tb.table(spark, sf_dir, "lineitem").select(
+    return tb.table(spark, sf_dir, "lineitem").select(
         code_of(F.col("l_suppkey")).alias("ts_code"),
         F.date_format(ship, DAY).alias("ex_date"),
         F.when(F.col("l_returnflag") == "N", "None")
@@ -139,7 +180,6 @@ def dividend_dedupe(spark, sf_dir):
         F.when(F.col("l_linestatus") == "F", " 实施 ").otherwise("预案").alias("div_proc"),
         F.col("l_tax").alias("div_cash"),
     )
-    return jn.mapped(cn.dividends(raw, ids(spark, sf_dir)))
 
 
 @query(
@@ -173,8 +213,22 @@ def cn_unknown_suffix(spark, sf_dir):
     + f"""SELECT i.symbol_id, ts, {r('close / 1000')} AS adj_factor FROM raw JOIN ids i ON i.code = raw.ts_code""",
 )
 def cn_adjustment_factors(spark, sf_dir):
+    return with_id(adjustment_rows(spark, sf_dir))
+
+
+@query(
+    "cn_adjustment_factors_whole",
+    with_(BARS, CODES, RAW_BARS)
+    + f"""SELECT i.symbol_id, ts, {r('close / 1000')} AS adj_factor, {STATUS}
+       FROM raw LEFT JOIN ids i ON i.code = raw.ts_code""",
+)
+def cn_adjustment_factors_whole(spark, sf_dir):
+    return with_status(adjustment_rows(spark, sf_dir))
+
+
+def adjustment_rows(spark, sf_dir):
     raw = raw_bars(spark, sf_dir).withColumn("adj_factor", rounded(F.col("close") / 1000))
-    return jn.mapped(cn.adjustment_factors(raw, ids(spark, sf_dir)))
+    return cn.adjustment_factors(raw, ids(spark, sf_dir))
 
 
 @query(
@@ -230,6 +284,24 @@ def cn_index_bars(spark, sf_dir):
        FROM raw JOIN ids i ON i.code = raw.ts_code""",
 )
 def cn_header_bars(spark, sf_dir):
+    return with_id(header_bars(spark, sf_dir))
+
+
+@query(
+    "cn_header_bars_whole",
+    with_(BARS, CODES, RAW_BARS)
+    + f"""SELECT 'lag' AS variant, i.symbol_id, ts, open, high, low, close, volume, amount, 'CNY' AS currency,
+       CAST(ts AS TIMESTAMP) + INTERVAL 7 HOUR AS close_utc, available_utc, {STATUS}
+       FROM raw LEFT JOIN ids i ON i.code = raw.ts_code
+       UNION ALL SELECT 'own', i.symbol_id, ts, open, high, low, close, volume, amount, 'CNY',
+       CAST(ts AS TIMESTAMP) + INTERVAL 7 HOUR, CAST(ts AS TIMESTAMP) + INTERVAL 10 HOUR, {STATUS}
+       FROM raw LEFT JOIN ids i ON i.code = raw.ts_code""",
+)
+def cn_header_bars_whole(spark, sf_dir):
+    return with_status(header_bars(spark, sf_dir))
+
+
+def header_bars(spark, sf_dir):
     names = {v: k for k, v in cn.HEADERS.items()}
     raw = tb.bars_daily(spark, sf_dir).select(
         code_of(F.col("symbol_id")).alias(cn.CODE_HEADER),
@@ -239,7 +311,7 @@ def cn_header_bars(spark, sf_dir):
     known = ids(spark, sf_dir)
     own = raw.withColumn(cn.AVAILABLE_HEADER, F.concat(F.col(names["ts"]), F.lit("T18:00:00+08:00")))
     lagged = cn.bars_with_headers(raw, known).withColumn("variant", F.lit("lag"))
-    return jn.mapped(lagged.unionByName(cn.bars_with_headers(own, known).withColumn("variant", F.lit("own"))))
+    return lagged.unionByName(cn.bars_with_headers(own, known).withColumn("variant", F.lit("own")))
 
 
 MACRO_SQL = """
@@ -401,6 +473,23 @@ def hk_code(spark, sf_dir):
        'price_return' FROM raw JOIN ids i ON i.code = raw.ts_code""",
 )
 def us_bars(spark, sf_dir):
+    return with_id(wide_bars(spark, sf_dir))
+
+
+@query(
+    "us_bars_whole",
+    with_(BARS, CODES, RAW_BARS)
+    + f"""SELECT i.symbol_id, ts, open, high, low, {r('close * 0.9')} AS close, volume,
+       {r('close * volume', 2)} AS amount, 'USD' AS currency, available_utc AS close_utc, available_utc,
+       'total_return' AS return_kind, {STATUS} FROM raw LEFT JOIN ids i ON i.code = raw.ts_code
+       UNION ALL SELECT i.symbol_id, ts, open, high, low, close, 0.0, 0.0, 'USD', available_utc, available_utc,
+       'price_return', {STATUS} FROM raw LEFT JOIN ids i ON i.code = raw.ts_code""",
+)
+def us_bars_whole(spark, sf_dir):
+    return with_status(wide_bars(spark, sf_dir))
+
+
+def wide_bars(spark, sf_dir):
     bars = tb.bars_daily(spark, sf_dir)
     raw = bars.select(
         F.col("ts").cast("string").alias("Date"),
@@ -416,7 +505,7 @@ def us_bars(spark, sf_dir):
     )
     known = ids(spark, sf_dir)
     both = abroad.wide_bars(full, known).unionByName(abroad.wide_bars(raw, known))
-    return jn.mapped(both).withColumn("amount", rounded("amount", 2))
+    return both.withColumn("amount", rounded("amount", 2))
 
 
 @query(

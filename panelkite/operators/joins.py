@@ -17,11 +17,6 @@ def map_symbols(df: DataFrame, code: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(F.col("code").alias(code), "symbol_id"), code, "left")
 
 
-def mapped(df: DataFrame) -> DataFrame:
-    """Rows whose code has an id; `unmapped_codes` of the raw rows counts the refused ones."""
-    return df.where(F.col("symbol_id").isNotNull())
-
-
 def unmapped_codes(df: DataFrame, code: str, ids: DataFrame) -> DataFrame:
     """Distinct codes without an id, with their row counts."""
     return (
