@@ -66,6 +66,16 @@ def pivot_wide(spark, sf_dir):
     return wide.select("ts", *[rounded(F.col(f"`{i}`"), 4).alias(f"s{i}") for i in range(8)])
 
 
+@query(
+    "pivot_long",
+    with_(BARS)
+    + f"""SELECT ts, symbol_id, {r('avg(close)', 4)} AS close FROM bars GROUP BY ts, symbol_id""",
+)
+def pivot_long(spark, sf_dir):
+    """Every cell of the date x symbol layout; `pivot_wide` exports the columns of the first eight symbols."""
+    return pn.cells(tb.bars_daily(spark, sf_dir)).withColumn("close", rounded("close", 4))
+
+
 STATUS = """
 span AS (SELECT symbol_id, min(ts) AS a, max(ts) AS b FROM bars GROUP BY symbol_id),
 days AS (SELECT s.symbol_id, s.exchange, unnest(generate_series(p.a, p.b, INTERVAL 1 DAY))::DATE AS ts

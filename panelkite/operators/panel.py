@@ -104,6 +104,14 @@ def to_wide(df: DataFrame, symbols: Sequence[int], value: str = "close") -> Data
     return df.groupBy("ts").pivot("symbol_id", list(symbols)).agg(F.avg(value))
 
 
+def cells(df: DataFrame, value: str = "close") -> DataFrame:
+    """(ts, symbol_id, value) of every filled cell of the date x symbol layout, for any number of symbols.
+
+    `to_wide` has the same cells for the symbols it is given. Duplicate keys are averaged.
+    """
+    return df.groupBy("ts", "symbol_id").agg(F.avg(value).alias(value))
+
+
 def session_status(bars: DataFrame, symbols: DataFrame, calendar: DataFrame) -> DataFrame:
     """(symbol_id, ts, status) for every natural day a symbol spans.
 

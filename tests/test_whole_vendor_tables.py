@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from panelkite.catalog import vendors
+from panelkite.catalog import panels, vendors
+from panelkite.operators import panel as pn
+from panelkite.plans import testbed as tb
 from panelkite.plans.ingest import refuse_broken
 
 SMALL = "/root/testdata/sf0.001"
@@ -32,3 +34,17 @@ def test_clean_and_refused_dividends_are_all(spark, fewer_ids):
     raw = vendors.raw_dividends(spark, SMALL).where("trim(div_proc) = '实施'").select("ts_code", "ex_date").distinct()
     assert vendors.dividend_dedupe(spark, SMALL).count() == by_status["mapped"]
     assert sum(by_status.values()) == raw.count() and by_status["unmapped"] > 0
+
+
+def test_every_symbol_has_its_cells(spark):
+    keys = tb.bars_daily(spark, SMALL).select("ts", "symbol_id").distinct()
+    cells = panels.pivot_long(spark, SMALL)
+    assert cells.count() == keys.count() and keys.exceptAll(cells.select("ts", "symbol_id")).isEmpty()
+
+
+def test_wide_and_long_cells_agree_beyond_eight_symbols(frame):
+    rows = [(s, f"2024-01-0{d}", float(10 * s + d)) for s in range(12) for d in (1, 2)]
+    bars = frame([*rows, (11, "2024-01-01", 113.0)], "symbol_id BIGINT, ts DATE, close DOUBLE")
+    found = {(r.ts.day, r.symbol_id): r.close for r in pn.cells(bars).collect()}
+    wide = pn.to_wide(bars, range(12)).collect()
+    assert found == {(r.ts.day, s): r[str(s)] for r in wide for s in range(12)} and found[1, 11] == 112.0
