@@ -523,6 +523,19 @@ def fx_series(spark, sf_dir):
     return abroad.fx_series(raw, "USD", "CNY")
 
 
+@query(
+    "fx_series_pairs",
+    with_(FX)
+    + "SELECT base, quote, ts, rate, CAST(ts + INTERVAL 1 DAY AS TIMESTAMP) AS available_utc FROM fx0",
+)
+def fx_series_pairs(spark, sf_dir):
+    """The series of every pair; `fx_series` is one of them under a fixed name."""
+    raw = tb.fx_rates(spark, sf_dir, reverse=False).select(
+        "base", "quote", F.col("ts").cast("string").alias("Date"), F.col("rate").alias("Close")
+    )
+    return abroad.fx_series(raw, F.col("base"), F.col("quote"))
+
+
 @query(
     "macro_units",
     with_(FX)

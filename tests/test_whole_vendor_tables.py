@@ -48,3 +48,10 @@ def test_wide_and_long_cells_agree_beyond_eight_symbols(frame):
     found = {(r.ts.day, r.symbol_id): r.close for r in pn.cells(bars).collect()}
     wide = pn.to_wide(bars, range(12)).collect()
     assert found == {(r.ts.day, s): r[str(s)] for r in wide for s in range(12)} and found[1, 11] == 112.0
+
+
+def test_every_pair_has_its_series(spark):
+    rates = tb.fx_rates(spark, SMALL, reverse=False).select("base", "quote", "ts", "rate")
+    series = vendors.fx_series_pairs(spark, SMALL).select("base", "quote", "ts", "rate")
+    assert rates.select("base").distinct().count() > 1
+    assert rates.exceptAll(series).isEmpty() and series.exceptAll(rates).isEmpty()
