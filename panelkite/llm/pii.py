@@ -1,9 +1,10 @@
 """Personal data: pattern spans, and terms that give their owners away.
 
-The patterns find the protected values. How strongly a term near a value reveals it is estimated from
-the whole corpus: with p over contexts, the pointwise mutual information log p(value, term) / p(value)
-p(term), as a share of the value's own information -log p(value). A term that discloses more than a
-threshold is generalised, and beyond a second one removed.
+The patterns find the protected values. How strongly a term in a text with a value reveals it is
+estimated from the whole corpus: with p over distinct texts, the pointwise mutual information
+log p(value, term) / p(value) p(term), as a share of the value's own information -log p(value). A term
+that discloses more than a threshold is generalised, and beyond a second one removed, if chance does not
+explain how often the two are together.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ PATTERNS = {
 #: Cheap tests that a text without any match of a kind fails.
 MAY_HAVE = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]"}
 
-CONTEXT = 48  # code points on either side of a value whose whole words are its context
-MIN_TOGETHER = 3  # different contexts that a value and a term must share
+CHANCE = 0.01  # bound on the probability that any term is marked by chance
 GENERALISE = 0.5
 REMOVE = 0.8
 TERM = "term"
@@ -85,6 +85,7 @@ def located(text: Column, pattern: str) -> Column:
 
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+MARK = "array<struct<start:int,end:int,disclosure:double>>"
 
 
 def _spans_of(text: Column, k: int) -> Column:
@@ -99,100 +100,146 @@ def pattern_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(_spans_of(text, k) for k in range(len(KINDS)))))
 
 
-def _mentions(found: DataFrame) -> DataFrame:
-    """One row for each value and each word of its context: places, and a hash of the context."""
-    one = found.where(F.size("base") > 0).select("doc_id", "_text", "text", "base", F.explode("base").alias("s"))
-    left = F.greatest(F.col("s.start") - CONTEXT, F.lit(0))
-    before = F.substring(F.col("text"), left + 1, F.col("s.start") - left)
-    after = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT))
-    sides = one.select(
-        "doc_id", "_text", "base", F.col("s.k").alias("k"), ascii_lower(F.col("s.value")).alias("value"),
-        left.alias("left"), F.col("s.end").alias("right"), before.alias("before"), after.alias("after"),
-        F.xxhash64(before, after).alias("context"),
-    )
-    # a word at the outer edge of a side may be cut
-    whole = F.concat(
-        F.transform(
-            F.filter(located(F.col("before"), WORD), lambda w: (w["start"] > 0) | (F.col("left") == 0)),
-            lambda w: F.struct((w["start"] + F.col("left")).alias("start"), (w["end"] + F.col("left")).alias("end"), w["value"]),
-        ),
-        F.transform(
-            F.filter(
-                located(F.col("after"), WORD),
-                lambda w: (w["end"] < F.length("after")) | (F.length("after") < CONTEXT),
-            ),
-            lambda w: F.struct((w["start"] + F.col("right")).alias("start"), (w["end"] + F.col("right")).alias("end"), w["value"]),
-        ),
-    )
-    words = sides.select("doc_id", "_text", "base", "k", "value", "context", F.explode(whole).alias("w"))
-    inside = F.exists("base", lambda s: (F.col("w.start") < s["end"]) & (s["start"] < F.col("w.end")))
-    return words.where(~inside).select(
-        "doc_id", "_text", "k", "value", "context", F.lower("w.value").alias("term"),
-        F.col("w.start").alias("start"), F.col("w.end").alias("end"),
+def _outside(text: Column, base: Column) -> Column:
+    """The text with its values left out."""
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("parts"))
+
+    def add(acc, s):
+        part = F.substring(text, acc["end"] + 1, F.greatest(s["start"] - acc["end"], F.lit(0)))
+        return F.struct(
+            F.greatest(acc["end"], s["end"]).alias("end"), F.array_append(acc["parts"], part).alias("parts")
+        )
+
+    done = F.aggregate(base, start, add)
+    return F.concat_ws(" ", done["parts"], F.substring(text, done["end"] + 1, F.length(text)))
+
+
+def _terms_of(text: Column) -> Column:
+    """The distinct words of a text, lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def _values_of(base: Column) -> Column:
+    return F.array_distinct(F.transform(base, lambda s: F.struct(s["k"], ascii_lower(s["value"]).alias("value"))))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """One row for each row of `found`, value and term outside all values."""
+    # a word that touches a value may leave a part that is no word of the text
+    terms = F.array_intersect(_terms_of(_outside(F.col("text"), F.col("base"))), _terms_of(F.col("text")))
+    return (
+        found.select("doc_id", "_text", "share", F.explode(_values_of(F.col("base"))).alias("v"), terms.alias("terms"))
+        .select("doc_id", "_text", "share", "v.k", "v.value", F.explode("terms").alias("term"))
     )
 
 
-def disclosures(docs: DataFrame, found: DataFrame, mentions: DataFrame) -> DataFrame:
+def _texts(shares: Column) -> Column:
+    """Distinct texts from the shares of their copies, which sum to one for each text."""
+    return F.round(F.sum(shares)).cast("long").alias("texts")
+
+
+def with_share(docs: DataFrame) -> DataFrame:
+    """`docs` with `share`, one over the number of rows with the same text."""
+    one, two = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    keyed = docs.withColumns({"_a": one, "_b": two})
+    copies = keyed.groupBy("_a", "_b").agg(F.count("*").alias("n")).where("n > 1")
+    copies = settled(copies, "copies")
+    return keyed.join(copies, ["_a", "_b"], "left").withColumn("share", 1 / F.coalesce("n", F.lit(1))).drop("_a", "_b", "n")
+
+
+def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(k, value, term, disclosure) of the terms that reveal a value by GENERALISE or more.
 
-    Documents are the contexts of values and terms alone, all of them; a value and a term are together
-    in a context window, and windows of the same wording count once, so copies of a text prove
-    nothing. A value that is in every document has no information to disclose.
+    All counts are of distinct texts: with the value, with the term, with both anywhere, and in all;
+    copies of a text prove nothing. Low counts count by what they prove: were the term dealt to texts
+    at random, both would be together so often with at most exp(-with_value * d) of probability (d the
+    divergence of the shares of texts with the term, among those with the value and among all); that,
+    times all values and all terms, must not exceed CHANCE. A value that is in every text has no
+    information to disclose.
     """
-    pairs = (
-        mentions.select("k", "value", "term", "context").distinct()
-        .groupBy("k", "value", "term").agg(F.count("*").alias("together"))
-        .where(F.col("together") >= MIN_TOGETHER)
-    )
-    values = (
-        found.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["k"], ascii_lower(s["value"]).alias("value"))))).alias("v"))
-        .groupBy("v.k", "v.value").agg(F.count("*").alias("with_value"))
+    pairs = _pairs(found).groupBy("k", "value", "term").agg(_texts(F.col("share")).alias("together"))
+    values = settled(
+        found.select("share", F.explode(_values_of(F.col("base"))).alias("v"))
+        .groupBy("v.k", "v.value").agg(_texts(F.col("share")).alias("with_value")),
+        "with-value",
     )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    terms = (
-        docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-        .where(F.col("with_term") >= MIN_TOGETHER)
+    terms = settled(
+        docs.select("share", F.explode(_terms_of(F.col("text"))).alias("term"))
+        .groupBy("term").agg(_texts(F.col("share")).alias("with_term")),
+        "with-term",
     )
-    total = docs.agg(F.count("*").alias("total"))  # one row
-    counted = pairs.join(values, ["k", "value"]).join(terms, "term").join(F.broadcast(total))
+    total = docs.agg(_texts(F.col("share")).alias("total"))  # one row
+    tests = values.agg(F.count("*").alias("n_values")).crossJoin(terms.agg(F.count("*").alias("n_terms")))  # one row
+    counted = (
+        pairs.join(values, ["k", "value"]).join(terms, "term").join(F.broadcast(total)).join(F.broadcast(tests))
+    )
     shared = F.log(F.col("together") * F.col("total") / (F.col("with_value") * F.col("with_term")))
     own = F.log(F.col("total") / F.col("with_value"))
-    return counted.where(own > 0).select("k", "value", "term", (shared / own).alias("disclosure")).where(
-        F.col("disclosure") >= GENERALISE
+    with_both, overall = F.col("together") / F.col("with_value"), F.col("with_term") / F.col("total")
+    without = F.when(with_both < 1, (1 - with_both) * F.log((1 - with_both) / (1 - overall))).otherwise(0.0)
+    by_chance = -F.col("with_value") * (with_both * F.log(with_both / overall) + without)
+    proven = by_chance + F.log("n_values") + F.log("n_terms") <= F.log(F.lit(CHANCE))
+    return counted.where((own > 0) & (shared > 0) & proven).select(
+        "k", "value", "term", (shared / own).alias("disclosure")
+    ).where(F.col("disclosure") >= GENERALISE)
+
+
+def _marked(text: Column, base: Column, terms: Column) -> Column:
+    """(start, end, disclosure) of all words of a text that are in the map `terms` and outside `base`."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    between = F.transform(F.split(text, WORD, -1), lambda x: F.length(x))
+    empty = F.struct(F.lit(0).alias("end"), F.array().cast(MARK).alias("spans"))
+
+    def add(acc, piece):
+        start = acc["end"] + piece["gap"]
+        end = start + F.length(piece["word"])
+        span = F.struct(start.alias("start"), end.alias("end"), piece["disclosure"].alias("disclosure"))
+        spans = F.when(piece["disclosure"].isNull(), acc["spans"]).otherwise(F.array_append(acc["spans"], span))
+        return F.struct(end.alias("end"), spans.alias("spans"))
+
+    pieces = F.transform(
+        F.slice(F.arrays_zip(between.alias("gap"), words.alias("word")), 1, F.size(words)),
+        lambda p: F.struct(p["gap"], p["word"], F.try_element_at(terms, F.lower(p["word"])).alias("disclosure")),
     )
+    spans = F.aggregate(pieces, empty, add, lambda acc: acc["spans"])
+    inside = lambda w: F.exists(base, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
+    return F.filter(spans, lambda w: ~inside(w))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, _text, base, terms): spans of each row of `docs`, in code points, ends exclusive.
 
     `base` are the pattern matches (start, k, end, value), k the place in KINDS, by start and k; `terms`
-    are words (start, end, disclosure) near a value that disclose it, none of them inside a base span,
-    by start. `_text` is a hash of the text, which with doc_id tells rows apart.
+    are all words (start, end, disclosure) of a text that disclose a value in it, none of them inside a
+    base span, by start. `_text` is a hash of the text, which with doc_id tells rows apart.
 
     A null or empty text has no spans. Rows without a doc_id are rows like others; rows that are equal
     get equal spans and each comes back. An empty table gives an empty one. Other columns are not read.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text", pattern_spans(F.col("text")).alias("base"))
+    shared = with_share(docs)
+    found = shared.select(
+        "doc_id", F.xxhash64("text").alias("_text"), "share", "text", pattern_spans(F.col("text")).alias("base")
+    )
     with_data = settled(found.where(F.size("base") > 0), "values")
-    mentions = settled(_mentions(with_data), "mentions")
-    revealing = settled(disclosures(docs, with_data, mentions), "terms")
-    terms = (
-        mentions.join(revealing, ["k", "value", "term"])
-        .groupBy("doc_id", "_text", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    revealing = settled(disclosures(shared, with_data), "terms")
+    by_term = (
+        _pairs(with_data).join(revealing, ["k", "value", "term"])
+        .groupBy("doc_id", "_text", "term").agg(F.max("disclosure").alias("disclosure"))
         .groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"))
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("by_term"))
+    )
+    spans = with_data.select("doc_id", "_text", "text", "base").dropDuplicates(["doc_id", "_text"])
+    marked = spans.join(by_term, spans["doc_id"].eqNullSafe(by_term["_id"]) & (spans["_text"] == by_term["_t"]), "left").select(
+        F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "base",
+        F.when(F.col("by_term").isNotNull(), _marked(F.col("text"), F.col("base"), F.col("by_term"))).alias("terms"),
     )
-    spans = with_data.select("doc_id", "_text", "base").distinct()
-    marked = spans.join(terms, spans["doc_id"].eqNullSafe(terms["_id"]) & (spans["_text"] == terms["_t"]), "left").select(
-        F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "base", "terms"
-    )
     rows = docs.select("doc_id", F.xxhash64("text").alias("_text"))
-    none = "array<struct<start:int,k:int,end:int,value:string>>", "array<struct<start:int,end:int,disclosure:double>>"
+    none = "array<struct<start:int,k:int,end:int,value:string>>"
     return rows.join(marked, rows["doc_id"].eqNullSafe(marked["_id"]) & (rows["_text"] == marked["_t"]), "left").select(
         "doc_id", "_text",
-        F.coalesce("base", F.array().cast(none[0])).alias("base"),
-        F.coalesce("terms", F.array().cast(none[1])).alias("terms"),
+        F.coalesce("base", F.array().cast(none)).alias("base"),
+        F.coalesce("terms", F.array().cast(MARK)).alias("terms"),
     )
 
 
