@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, sharding
+from . import chat, decontam, langid, line_dedup, merkle, ngram_join, packing, pii, quality_model, quality_rules, sharding
 from .shared import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,79 @@ def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored(stats, model).select(
         "doc_id", (remainder(5) == 0).alias("held_out"), "score", F.when(score >= 0.3, 1).otherwise(0).alias("predicted")
     )
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+#: CTE `crcs`: the table of CRC-32, as a list.
+CRC_SQL = """bytes AS (
+  SELECT i, list_reduce([i::BIGINT] || range(0, 8),
+                        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) t(i)
+), crcs AS (
+  SELECT list(v ORDER BY i) AS a FROM bytes
+)"""
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, with `crcs` among the tables."""
+    codes = f"list_transform(range(1, len({text}) + 1), lambda p: ascii(({text})[p])::BIGINT)"
+    step = "lambda c, b: xor(c >> 8, a[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, {step}), 4294967295)"
+
+
+def _tree_sql(name: str, group: str, nodes: str) -> str:
+    """CTEs `name` and `name`_segs: all nodes of a tree of eights, and what flanks each of them."""
+    run = f"(PARTITION BY {group}, lvl, pos // 8 ORDER BY pos ROWS BETWEEN "
+    return f"""{name} AS (
+  {nodes}
+  UNION ALL
+  SELECT {group}, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8
+  FROM {name} WHERE n > 1 GROUP BY {group}, lvl, pos // 8, n
+), {name}_segs AS (
+  SELECT {group}, lvl, pos,
+         coalesce(string_agg(h, '') OVER {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name} WHERE n > 1
+)"""
+
+
+SQL["op12_merkle_manifest"] = f"""
+WITH RECURSIVE {CRC_SQL}, hashed AS (
+  SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+         CASE WHEN {_crc_sql("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf_sql(f"translate(text, {LETTERS})")}
+              ELSE {_leaf_sql("text")} END AS found
+  FROM documents, crcs
+), leaves AS (
+  SELECT *, coalesce('=' || lang, '') AS g,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed
+), {_tree_sql("tree", "g", "SELECT g, 0::BIGINT AS lvl, pos, leaf AS h, n FROM leaves")}, langs AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), {_tree_sql("top", "w", "SELECT 0 AS w, 0::BIGINT AS lvl, pos, subroot AS h, n FROM langs")}, steps AS (
+  SELECT x.g, x.pos, s.lvl, s.l, s.r
+  FROM leaves x JOIN tree_segs s ON s.g = x.g AND s.pos = x.pos // pow(8, s.lvl)::BIGINT
+  UNION ALL
+  SELECT x.g, x.pos, 1000 + s.lvl, s.l, s.r
+  FROM leaves x JOIN langs y ON y.g = x.g JOIN top_segs s ON s.pos = y.pos // pow(8, s.lvl)::BIGINT
+), proofs AS (
+  SELECT g, pos, list(l || '|' || r ORDER BY lvl) AS segs, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof
+  FROM steps GROUP BY g, pos
+), folded AS (
+  SELECT x.doc_id, x.leaf, y.subroot, (SELECT h FROM top WHERE n = 1) AS root,
+         coalesce(proof, sha256('')) AS proof_sha256,
+         CASE WHEN segs IS NULL THEN x.found
+              ELSE list_reduce([x.found] || segs, lambda h, s: sha256(replace(s, '|', h))) END AS folded_root
+  FROM leaves x JOIN langs y ON y.g = x.g LEFT JOIN proofs p ON p.g = x.g AND p.pos = x.pos
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""

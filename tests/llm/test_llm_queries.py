@@ -16,6 +16,9 @@ COLUMNS = {
     "op7": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op9": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op10": "doc_id held_out lang_pred score",
+    "op11": "doc_id held_out score predicted",
+    "op12": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
