@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, line_dedup, merkle, ngram_join, packing, pii, quality_model, quality_rules, sharding
+from . import (
+    chat,
+    decontam,
+    langid,
+    line_dedup,
+    merkle,
+    ngram_join,
+    packing,
+    pii,
+    quality_model,
+    quality_rules,
+    sharding,
+    toxicity,
+)
 from .shared import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,6 +230,16 @@ def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = "crc32(encode(CAST(doc_id AS STRING), 'utf-8')) % 4 <> 2"
+    scored = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
