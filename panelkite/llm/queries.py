@@ -18,6 +18,7 @@ from . import (
     pii,
     quality_model,
     quality_rules,
+    repair,
     sharding,
     toxicity,
 )
@@ -314,3 +315,79 @@ WITH RECURSIVE {CRC_SQL}, hashed AS (
 )
 SELECT *, folded_root = root AS verified FROM folded
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+#: What an initial leads to from a state, and the role that may be given there.
+_NEXT_SQL = "(0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)"
+_SPACE_END = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+SQL["op13_conversation_repair"] = f"""
+WITH RECURSIVE {CRC_SQL}, named AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+), hit AS (
+  SELECT *, {_crc_sql("name")} % 20 AS hit FROM named, crcs
+), rows0 AS (
+  SELECT g, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE hit <> 0
+), rows1 AS (
+  SELECT *, row_number() OVER w AS pos, lag(role) OVER w AS prev,
+         row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+  FROM rows0 WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text), copy)
+), faults AS (
+  SELECT *, {_SPACE_END} = '' AS blank, {_SPACE_END} <> '' AND nth > 1 AS duplicate,
+         {_SPACE_END} <> '' AND nth = 1 AND right({_SPACE_END}, 1) NOT IN ('.', '!', '?') AS truncated,
+         prev IS NOT NULL AND prev[1] || role[1] NOT IN ('su', 'ua', 'au') AS illegal
+  FROM rows1
+), moves(state, initial, next) AS (
+  VALUES {_NEXT_SQL}
+), gives(state, role, next) AS (
+  VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)
+), inserted(state, reached, cost, audit, body) AS (
+  SELECT state, state, 0, '', [] FROM gives
+  UNION ALL SELECT state, next, 3, 'I', [role || ':'] FROM gives
+  UNION ALL SELECT a.state, b.next, 6, 'II', [a.role || ':', b.role || ':'] FROM gives a JOIN gives b ON b.state = a.next
+), ways AS (
+  SELECT g, 1::BIGINT AS pos, 0 AS state, 0::BIGINT AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS body
+  FROM (SELECT DISTINCT g FROM rows0)
+  UNION ALL
+  SELECT g, pos + 1, next, min(cost), arg_min(audit, (cost, audit)), arg_min(body, (cost, audit)) FROM (
+    SELECT w.g, w.pos, e.next, w.cost + i.cost + e.cost AS cost, w.audit || i.audit || e.audit AS audit,
+           w.body || i.body || e.body AS body
+    FROM ways w JOIN inserted i ON i.state = w.state JOIN faults f ON f.g = w.g AND f.pos = w.pos,
+    LATERAL (
+      SELECT i.reached AS next, 4 AS cost, 'D' AS audit, CAST([] AS VARCHAR[]) AS body
+      UNION ALL
+      SELECT m.next, CASE WHEN f.truncated THEN 3 ELSE 0 END, 'K', [f.role || ':' || f.text]
+      FROM moves m WHERE m.state = i.reached AND m.initial = f.role[1] AND NOT f.blank AND NOT f.duplicate
+      UNION ALL
+      SELECT v.next, CASE WHEN f.truncated THEN 6 ELSE 3 END, 'R', [v.role || ':' || f.text]
+      FROM gives v WHERE v.state = i.reached AND NOT f.blank AND NOT f.duplicate
+    ) e
+  ) GROUP BY g, pos, next
+), ended AS (
+  SELECT w.g, min(w.cost + i.cost) AS cost, arg_min(w.audit || i.audit, (w.cost + i.cost, w.audit || i.audit)) AS audit,
+         arg_min(w.body || i.body, (w.cost + i.cost, w.audit || i.audit)) AS body
+  FROM ways w JOIN inserted i ON i.state = w.state AND i.reached IN (0, 3)
+  JOIN (SELECT g, max(pos) + 1 AS pos FROM faults GROUP BY g) n ON n.g = w.g AND n.pos = w.pos
+  GROUP BY w.g
+), counted AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (illegal) AS illegal
+  FROM faults GROUP BY g
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(body, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, g FROM named) o LEFT JOIN counted USING (g) LEFT JOIN ended USING (g)
+"""
