@@ -315,18 +315,25 @@ def _solved(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     ended = "conv string, cost long, illegal long, leave int, ends string"
     crossed = "conv string, pos long, enter int, leave int, ends string"
     placed = settled(numbered(segments, "conv", ["block"], "segment-order"), "segments")
-    levels = [placed]
+    # Most conversations are one segment and need no crossings from above.
+    whole_ones, levels = placed.where("total = 1"), [placed.where("total > 1")]
     while not levels[-1].where("pos > 0").isEmpty():
         below = levels[-1].withColumn("parent", F.floor(F.col("pos") / FAN))
         joined = below.drop("block", "total").groupBy("conv", "parent").applyInArrow(_joined, f"conv string, pos long, {ITEM}")
         levels.append(settled(joined, "joined-segments"))
-    top = settled(levels[-1].drop("block", "total").mapInArrow(_ended, ended), "ended")
-    states = top.select("conv", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("enter"), "leave", "ends")
+    last = [frame.drop("block", "total") for frame in (whole_ones, levels[-1])]
+    tops = [settled(frame.mapInArrow(_ended, ended), "ended") for frame in last]
+    entered = [
+        top.select("conv", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("enter"), "leave", "ends") for top in tops
+    ]
+    states = entered[1]
     for level in reversed(levels[:-1]):
         below = level.drop("block", "total").withColumn("parent", F.floor(F.col("pos") / FAN))
         above = states.withColumnRenamed("pos", "parent").groupBy("conv", "parent")
         states = settled(below.groupBy("conv", "parent").cogroup(above).applyInArrow(_handed_down, crossed), "crossed")
-    return top.select("conv", "cost", "illegal"), placed.select("conv", "pos", "block").join(states, ["conv", "pos"])
+    states = entered[0].unionByName(states)
+    found = tops[0].unionByName(tops[1]).select("conv", "cost", "illegal")
+    return found, placed.select("conv", "pos", "block").join(states, ["conv", "pos"])
 
 
 # --- digests -----------------------------------------------------------------------------------
