@@ -9,6 +9,7 @@ a task holds its open windows, one batch of texts and a bounded cache of words.
 from __future__ import annotations
 
 import re
+import struct
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
@@ -74,11 +75,13 @@ class WordIds:
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     SPECIAL = b"<|"
+    MARKS = b".,;:!?"
 
     def __init__(self, path: str, room: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         # printable characters for all bytes, as byte-level vocabularies write them
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
@@ -91,23 +94,46 @@ class WordIds:
 
     def _part(self, part: str) -> bytes:
         mapped = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped)])
+        tokens = self.model.tokenize(mapped)
+        if len(tokens) == 1:
+            return tokens[0].id.to_bytes(4, "little")
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters only: one part
+            return self.parts[word.decode("ascii")]
+        head = word[:-1]
+        if head.isalpha() and word[-1] in self.MARKS:  # and a mark behind them, which is a part too
+            return self.parts[head.decode("ascii")] + self.parts[chr(word[-1])]
         text = word.decode("utf-8")
         if self.PLAIN.fullmatch(text):
             return b"".join(map(self.parts.__getitem__, self.PARTS.findall(text.lower())))
         return self._whole(text)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text; `texts` are bounded in size, as caches are cut down between calls only."""
+        self.words.turn()
+        self.parts.turn()
+        known = self.words.__getitem__
         for text in texts:
             raw = (text or "").encode("utf-8")
             if self.SPECIAL in raw:
                 yield self._whole(text)
             else:
-                yield b"".join(map(self.words.__getitem__, raw.lower().split()))
-            self.words.turn()
-            self.parts.turn()
+                yield b"".join(map(known, raw.lower().split()))
+
+
+def worker_ids(path: str) -> WordIds:
+    """The encoder of this Python process: the tasks that Spark gives it share its bounded caches.
+
+    It hangs on the `tokenizers` module, as the code of this package comes anew with every task.
+    """
+    import tokenizers
+
+    encoders = vars(tokenizers).setdefault("_encoders_by_path", {})
+    if path not in encoders:
+        encoders[path] = WordIds(path)
+    return encoders[path]
 
 
 class OpenWindows:
@@ -172,7 +198,7 @@ def _table(windows: list[tuple[int, list, bool]], part: int) -> pa.RecordBatch:
 def _pack_partition(path: str, window: int, room: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        words, windows, number = WordIds(path), OpenWindows(room, window), part << 32
+        words, windows, number = worker_ids(path), OpenWindows(room, window), part << 32
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
