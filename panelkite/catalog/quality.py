@@ -444,20 +444,23 @@ def dq_foreign_keys(spark, sf_dir):
         FX,
         SYMBOLS,
         LEDGER,
-        "act AS (SELECT *, CASE WHEN cash > 0.03 THEN NULL ELSE cash END AS c2 FROM actions)",
+        """act AS (SELECT *, CASE WHEN cash > 0.03 THEN NULL ELSE cash END AS c2,
+             CASE WHEN day(ex_date) > 20 THEN NULL ELSE ratio END AS r2,
+             CASE WHEN day(ex_date) < 5 THEN 'merger' ELSE kind END AS k2 FROM actions)""",
     )
     + counts(
         ("symbols.delisted_before_listed", "SELECT count(*) FROM symbols WHERE listed_on > DATE '1995-03-01'"),
         ("symbols.invest_type", "SELECT count(*) FROM symbols WHERE symbol_id > 5"),
-        ("corporate_actions.kind", "SELECT 0"),
-        ("corporate_actions.split_without_ratio", "SELECT 0"),
-        ("corporate_actions.dividend_without_cash", "SELECT count(*) FROM act WHERE kind = 'dividend' AND c2 IS NULL"),
+        ("corporate_actions.kind", "SELECT count(*) FROM act WHERE k2 NOT IN ('dividend', 'split')"),
+        ("corporate_actions.split_without_ratio", "SELECT count(*) FROM act WHERE k2 = 'split' AND r2 IS NULL"),
+        ("corporate_actions.dividend_without_cash", "SELECT count(*) FROM act WHERE k2 = 'dividend' AND c2 IS NULL"),
         ("fx_rates.rate_not_positive", "SELECT count(*) FROM fx0 WHERE rate - 60 <= 0"),
         ("trading_calendar.closed_with_close_time", "SELECT count(*) FROM orders WHERE o_orderstatus <> 'O'"),
         ("fundamentals.known_before_period_end", "SELECT count(*) FROM bars WHERE day(ts) < 10"),
         ("fundamentals.available_before_known", "SELECT count(*) FROM bars WHERE day(ts) > 11"),
         ("ingest_runs.status", "SELECT count(*) FROM orders WHERE o_orderstatus <> 'F'"),
         ("close_adj.method", "SELECT count(*) FROM bars WHERE NOT traded"),
+        ("runs.status", "SELECT count(*) FROM customer WHERE c_acctbal < 0"),
     ),
 )
 def dq_value_rules(spark, sf_dir):
@@ -470,8 +473,13 @@ def dq_value_rules(spark, sf_dir):
         first.alias("delisted_on"),
         F.when(F.col("symbol_id") > 5, "unknown").otherwise("其他").alias("invest_type"),
     )
-    actions = tb.corporate_actions(spark, sf_dir).withColumn(
-        "cash", F.when(F.col("cash") > 0.03, F.lit(None)).otherwise(F.col("cash"))
+    day = F.dayofmonth("ex_date")
+    actions = tb.corporate_actions(spark, sf_dir).withColumns(
+        {
+            "cash": F.when(F.col("cash") > 0.03, F.lit(None)).otherwise(F.col("cash")),
+            "ratio": F.when(day <= 20, F.col("ratio")),
+            "kind": F.when(day < 5, "merger").otherwise(F.col("kind")),
+        }
     )
     rates = tb.fx_rates(spark, sf_dir, reverse=False).withColumn("rate", F.col("rate") - 60)
     calendar = orders.select(
@@ -493,6 +501,9 @@ def dq_value_rules(spark, sf_dir):
         "fundamentals": reports,
         "ingest_runs": runs,
         "close_adj": adjusted,
+        "runs": tb.table(spark, sf_dir, "customer").select(
+            F.when(F.col("c_acctbal") < 0, "lost").otherwise("ok").alias("status")
+        ),
     }
     return jn.union_frames([ct.value_violations(df, name) for name, df in tables.items()])
 

@@ -21,6 +21,7 @@ FAMILIES = (
     "metrics",
     "cleaning",
     "quality",
+    "contract",
     "lookups",
     "vendors",
     "storage",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,7 +126,7 @@ def ingest_gate(tables: Mapping[str, DataFrame]) -> DataFrame:
         if lacking:
             raise ValueError(f"{name} lacks the key columns {lacking}")
         parts.append(count_rules(df, rules))
-        values = {k: rule for k, rule in value_rules(name).items() if RULE_COLUMNS[k] <= have}
+        values = value_rules(name, have)
         if values:
             parts.append(count_rules(df, {f"{name}.{k}": rule for k, rule in values.items()}))
     if "fx_rates" in tables:
@@ -135,20 +135,6 @@ def ingest_gate(tables: Mapping[str, DataFrame]) -> DataFrame:
     return union_frames(parts)
 
 
-def link_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows whose parent is missing, for every link of the contract between tables that are given."""
-    parts = [
-        foreign_key_violations(
-            tables[child], tables[parent].select(F.col(key).alias(column)), column, f"{child}.{column} in {parent}"
-        )
-        for (child, column), (parent, key) in schema.LINKS.items()
-        if child in tables and parent in tables
-    ]
-    if not parts:
-        raise ValueError("no linked tables to check")
-    return union_frames(parts)
-
-
 def halted_with_volume(bars: DataFrame) -> DataFrame:
     return bars.where(~F.col("traded") & (F.col("volume") != 0))
 
@@ -196,52 +182,19 @@ def foreign_key_violations(df: DataFrame, parent: DataFrame, key: str, check: st
     )
 
 
-def _member(table: str, column: str) -> Column:
-    return ~F.col(column).isin(schema.ENUMS[(table, column)])
-
-
-#: Columns that a value rule reads.
-RULE_COLUMNS = {
-    "delisted_before_listed": {"delisted_on", "listed_on"},
-    "invest_type": {"invest_type"},
-    "kind": {"kind"},
-    "split_without_ratio": {"kind", "ratio"},
-    "dividend_without_cash": {"kind", "cash"},
-    "rate_not_positive": {"rate"},
-    "closed_with_close_time": {"is_open", "session_close_utc"},
-    "known_before_period_end": {"as_of_date", "period_end"},
-    "available_before_known": {"available_utc", "as_of_date"},
-    "status": {"status"},
-    "method": {"method"},
-}
-
-
-def value_rules(table: str) -> dict[str, Column]:
-    """Value constraints of a table; a NULL comparison passes, as in SQL."""
-    c = F.col
+def value_rules(table: str, have: Collection[str] | None = None) -> dict[str, Column]:
+    """Value constraints of a table that the columns `have` allow to check; a NULL comparison passes."""
     rules = {
-        "symbols": lambda: {
-            "delisted_before_listed": c("delisted_on") < c("listed_on"),
-            "invest_type": _member("symbols", "invest_type"),
-        },
-        "corporate_actions": lambda: {
-            "kind": _member("corporate_actions", "kind"),
-            "split_without_ratio": (c("kind") == "split") & c("ratio").isNull(),
-            "dividend_without_cash": (c("kind") == "dividend") & c("cash").isNull(),
-        },
-        "fx_rates": lambda: {"rate_not_positive": c("rate") <= 0},
-        "trading_calendar": lambda: {
-            "closed_with_close_time": ~c("is_open") & c("session_close_utc").isNotNull()
-        },
-        "fundamentals": lambda: {
-            "known_before_period_end": c("as_of_date") < c("period_end"),
-            "available_before_known": c("available_utc") < c("as_of_date").cast("timestamp_ntz"),
-        },
-        "ingest_runs": lambda: {"status": _member("ingest_runs", "status")},
-        "runs": lambda: {"status": _member("runs", "status")},
-        "close_adj": lambda: {"method": _member("close_adj", "method")},
+        column: (~F.col(column).isin(members), [column])
+        for (of, column), members in schema.ENUMS.items()
+        if of == table
+    }
+    rules |= {
+        rule: (F.expr(broken), columns)
+        for (of, rule), (broken, columns) in schema.CHECKS.items()
+        if of == table
     }
-    return rules[table]() if table in rules else {}
+    return {name: rule for name, (rule, columns) in rules.items() if have is None or set(columns) <= set(have)}
 
 
 def value_violations(df: DataFrame, table: str) -> DataFrame:

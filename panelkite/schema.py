@@ -48,6 +48,7 @@ NULLABLE = {
     "runs": [],
 }
 
+# Fixed values of the data contract: primary keys.
 KEYS = {
     "symbols": ["symbol_id"],
     "bars_daily": ["symbol_id", "ts", "snapshot_id"],
@@ -71,6 +72,7 @@ LINKS = {
     ("run_metrics", "run_id"): ("runs", "run_id"),
 }
 
+# Fixed values of the data contract: what a column may hold.
 ENUMS = {
     ("symbols", "invest_type"): ["股票", "债券", "货币", "商品", "qdii", "其他"],
     ("corporate_actions", "kind"): ["dividend", "split"],
@@ -79,6 +81,23 @@ ENUMS = {
     ("runs", "status"): ["ok", "failed", "partial"],
 }
 
+# Fixed values of the data contract: (table, rule) -> what breaks it, and the columns that says so.
+CHECKS = {
+    ("symbols", "delisted_before_listed"): ("delisted_on < listed_on", ["delisted_on", "listed_on"]),
+    ("corporate_actions", "split_without_ratio"): ("kind = 'split' AND ratio IS NULL", ["kind", "ratio"]),
+    ("corporate_actions", "dividend_without_cash"): ("kind = 'dividend' AND cash IS NULL", ["kind", "cash"]),
+    ("fx_rates", "rate_not_positive"): ("rate <= 0", ["rate"]),
+    ("trading_calendar", "closed_with_close_time"): (
+        "NOT is_open AND session_close_utc IS NOT NULL",
+        ["is_open", "session_close_utc"],
+    ),
+    ("fundamentals", "known_before_period_end"): ("as_of_date < period_end", ["as_of_date", "period_end"]),
+    ("fundamentals", "available_before_known"): (
+        "CAST(available_utc AS DATE) < as_of_date",
+        ["available_utc", "as_of_date"],
+    ),
+}
+
 AUDIT_COLUMNS = ["downloaded_at", "snapshot_id"]
 
 
@@ -86,9 +105,14 @@ def struct_of(table: str) -> StructType:
     return StructType.fromDDL(COLUMNS[table])
 
 
+def columns_of(table: str) -> dict[str, str]:
+    """Column -> type of a contract table; needs no session."""
+    return dict(column.split() for column in COLUMNS[table].split(", "))
+
+
 def required(table: str) -> list[str]:
     """Columns of a contract table that must not be NULL."""
-    return [f.name for f in struct_of(table).fields if f.name not in NULLABLE[table]]
+    return [c for c in columns_of(table) if c not in NULLABLE[table]]
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
