@@ -91,7 +91,8 @@ def ingest_flow(spark, sf_dir):
     bars = tb.bars_daily(spark, sf_dir).withColumns(
         {"high": F.greatest("high", "open", "close"), "low": F.least("low", "open", "close")}
     )
-    tables = {"bars_daily": bars, "fx_rates": tb.fx_rates(spark, sf_dir)}
+    rates = tb.fx_rates(spark, sf_dir).withColumn("available_utc", F.date_add("ts", 1).cast("timestamp_ntz"))
+    tables = {"bars_daily": bars, "fx_rates": rates}
     times = ("2024-02-01 00:00:00", "2024-02-01 00:05:00")
     ingest(tables, "vendor", root, *times)
     again = ingest(tables, "vendor", root, *times)

@@ -57,13 +57,17 @@ def densify_wide_universe(spark, sf_dir):
 @query(
     "pivot_wide",
     with_(BARS)
-    + "SELECT ts, "
-    + ", ".join(f"{r(f'avg(close) FILTER (WHERE symbol_id = {i})', 4)} AS s{i}" for i in range(8))
-    + " FROM bars GROUP BY ts",
+    + "SELECT ts, symbol_id // 8 AS page, "
+    + ", ".join(f"{r(f'avg(close) FILTER (WHERE symbol_id % 8 = {i})', 4)} AS s{i}" for i in range(8))
+    + " FROM bars GROUP BY ts, symbol_id // 8",
 )
 def pivot_wide(spark, sf_dir):
-    wide = pn.to_wide(tb.bars_daily(spark, sf_dir), range(8))
-    return wide.select("ts", *[rounded(F.col(f"`{i}`"), 4).alias(f"s{i}") for i in range(8)])
+    """All symbols, eight to a page."""
+    paged = tb.bars_daily(spark, sf_dir).withColumns(
+        {"page": F.floor(F.col("symbol_id") / 8), "place": F.col("symbol_id") % 8}
+    )
+    wide = pn.to_wide(paged, range(8), rows=("ts", "page"), columns="place")
+    return wide.select("ts", "page", *[rounded(F.col(f"`{i}`"), 4).alias(f"s{i}") for i in range(8)])
 
 
 @query(
@@ -72,7 +76,7 @@ def pivot_wide(spark, sf_dir):
     + f"""SELECT ts, symbol_id, {r('avg(close)', 4)} AS close FROM bars GROUP BY ts, symbol_id""",
 )
 def pivot_long(spark, sf_dir):
-    """Every cell of the date x symbol layout; `pivot_wide` exports the columns of the first eight symbols."""
+    """Every cell of the date x symbol layout; `pivot_wide` exports them in pages of eight symbols."""
     return pn.cells(tb.bars_daily(spark, sf_dir)).withColumn("close", rounded("close", 4))
 
 

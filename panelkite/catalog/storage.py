@@ -125,28 +125,48 @@ def run_tables(spark, sf_dir):
     return csv.select(F.lit("csv").alias("kind"), "*").unionByName(back.select(F.lit("parquet").alias("kind"), "*"))
 
 
+WIDE_METRICS = """wide AS (SELECT run_id::VARCHAR AS run_id, ratio - 1 AS total_return, mdd AS max_drawdown,
+  sd * sqrt(ppy) AS vol, mu AS mean FROM ann)"""
+
+
 @query(
     "metric_rows",
     with_(
         CURVES_USER,
         CURVE_SQL,
-        """wide AS (SELECT run_id::VARCHAR AS run_id, ratio - 1 AS total_return, mdd AS max_drawdown, sd * sqrt(ppy) AS vol,
-             CASE WHEN run_id % 2 = 0 THEN 'Infinity'::DOUBLE ELSE mu END AS odd FROM ann)""",
+        WIDE_METRICS,
     )
-    + f"""SELECT run_id, metric, {r('value')} AS value FROM (UNPIVOT wide ON total_return, max_drawdown, vol, odd
-       INTO NAME metric VALUE value) WHERE value IS NOT NULL AND isfinite(value)""",
+    + f"""SELECT run_id, metric, {r('value')} AS value FROM (UNPIVOT wide ON total_return, max_drawdown, vol, mean
+       INTO NAME metric VALUE value) WHERE value IS NOT NULL""",
 )
 def metric_rows(spark, sf_dir):
-    odd = F.when(F.col("run_id") % 2 == 0, float("inf")).otherwise(F.avg("ret"))
+    rows = sinks.metric_rows(wide_metrics(spark, sf_dir))
+    return rows.select("run_id", "metric", rounded("value").alias("value"))
+
+
+@query(
+    "metric_refusals",
+    with_(CURVES_USER, CURVE_SQL, WIDE_METRICS)
+    + """SELECT run_id, 'max_drawdown' AS metric, CASE WHEN run_id::BIGINT % 3 = 0 THEN 'NaN' ELSE '-Infinity' END AS value
+       FROM wide WHERE max_drawdown IS NOT NULL AND run_id::BIGINT % 3 < 2""",
+)
+def metric_refusals(spark, sf_dir):
+    """Every third run's drawdown is not a number, another third's is infinite: each is named."""
+    third = F.col("run_id").cast("long") % 3
+    known = F.col("max_drawdown").isNotNull()
+    spoiled = F.when(known & (third == 0), float("nan")).when(known & (third == 1), float("-inf")).otherwise(F.col("max_drawdown"))
+    return sinks.metric_refusals(wide_metrics(spark, sf_dir).withColumn("max_drawdown", spoiled))
+
+
+def wide_metrics(spark, sf_dir):
     ppy = mt.periods_per_year()
     wide = mt.with_returns(tb.curves_by_user(spark, sf_dir)).groupBy("run_id").agg(
         mt.total_return().alias("total_return"),
         mt.max_drawdown().alias("max_drawdown"),
         mt.annualized_volatility(ppy).alias("vol"),
-        odd.alias("odd"),
+        F.avg("ret").alias("mean"),
     )
-    rows = sinks.metric_rows(wide.withColumn("run_id", F.col("run_id").cast("string")))
-    return rows.select("run_id", "metric", rounded("value").alias("value"))
+    return wide.withColumn("run_id", F.col("run_id").cast("string"))
 
 
 @query("latest_snapshot", with_(LEDGER) + "SELECT s AS snapshot_id FROM newest")

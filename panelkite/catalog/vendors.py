@@ -511,16 +511,13 @@ def wide_bars(spark, sf_dir):
 @query(
     "fx_series",
     with_(FX)
-    + """SELECT 'USD' AS base, 'CNY' AS quote, ts, rate, CAST(ts + INTERVAL 1 DAY AS TIMESTAMP) AS available_utc
-       FROM fx0 WHERE base = 'click'""",
+    + """SELECT 'USD' AS base, 'CNY' AS quote, ts, round(avg(rate) + 1.23e-9, 6) AS rate,
+       CAST(ts + INTERVAL 1 DAY AS TIMESTAMP) AS available_utc FROM fx0 GROUP BY ts""",
 )
 def fx_series(spark, sf_dir):
-    raw = (
-        tb.fx_rates(spark, sf_dir, reverse=False)
-        .where("base = 'click'")
-        .select(F.col("ts").cast("string").alias("Date"), F.col("rate").alias("Close"))
-    )
-    return abroad.fx_series(raw, "USD", "CNY")
+    """One pair under a name that the caller gives: its rate is the day's mean over all event types."""
+    raw = tb.fx_rates(spark, sf_dir, reverse=False).groupBy("ts").agg(F.round(F.avg("rate") + 1.23e-9, 6).alias("Close"))
+    return abroad.fx_series(raw.withColumn("Date", F.col("ts").cast("string")).drop("ts"), "USD", "CNY")
 
 
 @query(
@@ -529,7 +526,7 @@ def fx_series(spark, sf_dir):
     + "SELECT base, quote, ts, rate, CAST(ts + INTERVAL 1 DAY AS TIMESTAMP) AS available_utc FROM fx0",
 )
 def fx_series_pairs(spark, sf_dir):
-    """The series of every pair; `fx_series` is one of them under a fixed name."""
+    """The series of every pair of the table."""
     raw = tb.fx_rates(spark, sf_dir, reverse=False).select(
         "base", "quote", F.col("ts").cast("string").alias("Date"), F.col("rate").alias("Close")
     )

@@ -143,15 +143,21 @@ def gold_backtest_view(bars: DataFrame, actions: DataFrame, snapshot_id: str) ->
 
 
 def _orientation(fx: DataFrame, base_currency: str) -> DataFrame:
-    """Per unordered pair: the direction to keep and the rows quoted each way."""
+    """Per unordered pair: the direction to keep, the rows quoted each way and the dates quoted both ways."""
     lo, hi = F.least("base", "quote"), F.greatest("base", "quote")
     pairs = (
         fx.where(F.col("base") != F.col("quote"))
-        .groupBy(lo.alias("_lo"), hi.alias("_hi"))
+        .groupBy(lo.alias("_lo"), hi.alias("_hi"), "ts")
         .agg(
             F.count_if(F.col("base") < F.col("quote")).alias("_up"),
             F.count_if(F.col("base") > F.col("quote")).alias("_down"),
         )
+        .groupBy("_lo", "_hi")
+        .agg(
+            F.sum("_up").alias("_up"),
+            F.sum("_down").alias("_down"),
+            F.count_if((F.col("_up") > 0) & (F.col("_down") > 0)).alias("_clashes"),
+        )
     )
     both = (F.col("_up") > 0) & (F.col("_down") > 0)
     keep_down = (
@@ -167,16 +173,24 @@ def normalize_fx_direction(fx: DataFrame, base_currency: str = "CNY") -> DataFra
     """Quote every pair in one direction: 1 base = rate quote.
 
     Pairs quoted one way stay. For the others a quote in `base_currency` wins, then the side with
-    more rows, then alphabetical order; the losing side is inverted. `fx_collisions` lists dates on
-    which both sides were quoted, which must not be merged silently.
+    more rows, then alphabetical order; the losing side is inverted. A pair with dates on which both
+    sides were quoted would get two rates for a date, so its rows stop the query; `fx_collisions` lists
+    those dates.
     """
+    named = F.concat(F.lit("quoted both ways on one date: "), "base", F.lit("/"), "quote")
+    clash = F.raise_error(named).cast("double")
     turn = F.col("_both") & ((F.col("base") > F.col("quote")) != F.col("_keep_down"))
     lo, hi = F.least("base", "quote"), F.greatest("base", "quote")
     return (
         fx.withColumns({"_lo": lo, "_hi": hi})
         .join(_orientation(fx, base_currency), ["_lo", "_hi"], "left")
         .withColumn("_turn", F.coalesce(turn, F.lit(False)))
-        .withColumn("rate", F.when(F.col("_turn"), F.try_divide(F.lit(1.0), "rate")).otherwise(F.col("rate")))
+        .withColumn(
+            "rate",
+            F.when(F.col("_clashes") > 0, clash)
+            .when(F.col("_turn"), F.try_divide(F.lit(1.0), "rate"))
+            .otherwise(F.col("rate")),
+        )
         .withColumn("_base", F.when(F.col("_turn"), F.col("quote")).otherwise(F.col("base")))
         .withColumn("quote", F.when(F.col("_turn"), F.col("base")).otherwise(F.col("quote")))
         .withColumn("base", F.col("_base"))

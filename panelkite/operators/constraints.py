@@ -107,6 +107,10 @@ def bundle_invariants(tables: Mapping[str, DataFrame]) -> DataFrame:
     return union_frames(rows)
 
 
+#: Required columns that an ingest stamps on the rows itself.
+STAMPED = ("source", *schema.AUDIT_COLUMNS)
+
+
 def ingest_gate(tables: Mapping[str, DataFrame]) -> DataFrame:
     """All that may stop an ingest, as (check, violations): invariants, NULLs and value rules.
 
@@ -119,12 +123,12 @@ def ingest_gate(tables: Mapping[str, DataFrame]) -> DataFrame:
         if name not in schema.COLUMNS:
             continue
         have = set(df.columns)
+        absent = [c for c in schema.required(name) if c not in {*have, *STAMPED}]
+        if absent:
+            raise ValueError(f"{name} lacks the required columns {absent}")
         rules = {f"{name}.{c} is null": F.col(c).isNull() for c in schema.required(name) if c in have}
         numbers = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
         rules |= {f"{name}.{c} is not a number": F.isnan(c) for c in numbers}
-        lacking = [c for c in schema.KEYS[name] if c not in have and c != "snapshot_id"]
-        if lacking:
-            raise ValueError(f"{name} lacks the key columns {lacking}")
         parts.append(count_rules(df, rules))
         values = value_rules(name, have)
         if values:

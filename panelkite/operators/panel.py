@@ -99,9 +99,18 @@ def carried_halts(panel: DataFrame) -> DataFrame:
     )
 
 
-def to_wide(df: DataFrame, symbols: Sequence[int], value: str = "close") -> DataFrame:
-    """Date x symbol layout for export; duplicate keys are averaged."""
-    return df.groupBy("ts").pivot("symbol_id", list(symbols)).agg(F.avg(value))
+def to_wide(
+    df: DataFrame,
+    symbols: Sequence[int],
+    value: str = "close",
+    rows: Sequence[str] = ("ts",),
+    columns: str = "symbol_id",
+) -> DataFrame:
+    """Date x symbol layout for export; duplicate keys are averaged.
+
+    Where symbols are too many for columns, `rows` and `columns` may spread them over pages.
+    """
+    return df.groupBy(*rows).pivot(columns, list(symbols)).agg(F.avg(value))
 
 
 def cells(df: DataFrame, value: str = "close") -> DataFrame:

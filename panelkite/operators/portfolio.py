@@ -130,13 +130,14 @@ def compose(
     Weights (run_id, ts, name, weight) apply from their date's own return on and drift until the
     next rebalance; the rest is cash at zero return. Within a segment that starts at value V the
     portfolio is V * (1 - sum w + sum w*G), G the growth of each name since the segment began, so
-    days need no sequential walk. Weights that add up to more than `max_weight` are refused.
+    days need no sequential walk. Gross weights, long and short together, of more than `max_weight` are
+    refused.
     """
     seg = _segments(curves, weights)
     grown = 1.0 + F.sum(F.col("_w") * (F.col("_g") - 1.0))
     levered = F.raise_error(F.lit("weights of one date add up to too much")).cast("double")
     daily = seg.groupBy("run_id", "_seg", "ts").agg(
-        F.when(F.sum("_w") > max_weight + 1e-9, levered).otherwise(grown).alias("_f")
+        F.when(F.sum(F.abs("_w")) > max_weight + 1e-9, levered).otherwise(grown).alias("_f")
     )
     ends = daily.groupBy("run_id", "_seg").agg(F.max_by("_f", "ts").alias("_end"))
     before = Window.partitionBy("run_id").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)

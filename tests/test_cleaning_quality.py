@@ -77,6 +77,10 @@ def test_fx_direction_prefers_base_currency(frame):
 def test_fx_collision_is_listed(frame):
     fx = frame([("USD", "CNY", day(0), 7.0), ("CNY", "USD", day(0), 0.14), ("CNY", "USD", day(1), 0.14)], FX)
     assert [r.ts for r in cl.fx_collisions(fx).collect()] == [day(0)]
+    with pytest.raises(Exception, match="quoted both ways on one date"):
+        cl.normalize_fx_direction(fx).collect()
+    apart = fx.where(F.col("ts") != day(0)).unionByName(frame([("USD", "CNY", day(2), 7.0)], FX))
+    assert {(r.base, r.ts) for r in cl.normalize_fx_direction(apart).collect()} == {("USD", day(1)), ("USD", day(2))}
 
 
 def test_four_session_states(frame):

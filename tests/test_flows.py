@@ -25,7 +25,7 @@ def tables(frame):
     rows = [(1, day(i), 10.0, 11.0, 9.0, 10.5, dt.datetime(2024, 3, 1)) for i in range(5)]
     bars = frame(rows, "symbol_id BIGINT, ts DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, available_utc TIMESTAMP_NTZ")
     rates = frame([("USD", "CNY", day(0), 7.0)], "base STRING, quote STRING, ts DATE, rate DOUBLE")
-    return {"bars_daily": bars, "fx_rates": rates}
+    return {"bars_daily": bars, "fx_rates": rates.withColumn("available_utc", F.col("ts").cast("timestamp_ntz"))}
 
 
 def states(spark, root):
@@ -96,10 +96,18 @@ def test_the_gate_fails_closed(spark, tables, tmp_path, table, column, value, sa
 
 def test_rates_quoted_both_ways_are_refused(spark, tables, tmp_path, frame):
     both = frame([("CNY", "USD", day(0), 0.14), ("USD", "CNY", day(0), 7.0)], "base STRING, quote STRING, ts DATE, rate DOUBLE")
+    both = both.withColumn("available_utc", F.col("ts").cast("timestamp_ntz"))
     with pytest.raises(ValueError, match="quoted both ways=1"):
         ig.ingest({**tables, "fx_rates": both}, "v", str(tmp_path), *TIMES)
 
 
+def test_tables_without_a_required_column_are_refused(spark, tables, tmp_path):
+    late = {**tables, "fx_rates": tables["fx_rates"].drop("available_utc")}
+    with pytest.raises(ValueError, match="lacks the required columns"):
+        ig.ingest(late, "v", str(tmp_path), *TIMES)
+    assert ig.status_of(spark, str(tmp_path)).isEmpty()
+
+
 def test_leverage_is_refused(frame):
     curves = frame([("r", "a", day(i), 1.0 + i) for i in range(3)], "run_id STRING, name STRING, ts DATE, equity DOUBLE")
     weights = frame([("r", day(0), "a", 3.0)], "run_id STRING, ts DATE, name STRING, weight DOUBLE")
@@ -107,6 +115,16 @@ def test_leverage_is_refused(frame):
         st.pf.compose(curves, weights).collect()
 
 
+def test_gross_leverage_is_refused(frame):
+    """Long and short weights do not cancel: 2 and -1 are 3 times the portfolio."""
+    curves = frame([("r", n, day(i), 1.0 + i) for i in range(3) for n in "ab"], "run_id STRING, name STRING, ts DATE, equity DOUBLE")
+    ddl = "run_id STRING, ts DATE, name STRING, weight DOUBLE"
+    with pytest.raises(Exception, match="add up to too much"):
+        st.pf.compose(curves, frame([("r", day(0), "a", 2.0), ("r", day(0), "b", -1.0)], ddl)).collect()
+    fine = frame([("r", day(0), "a", 0.6), ("r", day(0), "b", -0.4)], ddl)
+    assert [r.equity for r in st.pf.compose(curves, fine).orderBy("ts").collect()] == pytest.approx([1.0, 1.2, 1.4])
+
+
 def test_odd_bars_of_a_panel(frame):
     ddl = "symbol_id BIGINT, ts DATE, open DOUBLE, close DOUBLE, traded BOOLEAN"
     rows = [(1, day(0), 1.0, 1.0, True), (1, day(2), 2.0, 2.0, True), (2, day(1), 9.0, 9.0, False)]

@@ -108,9 +108,20 @@ def test_keyed_tables(frame):
     assert got == {1: "b", 2: "c"}
 
 
-def test_metric_rows_drop_non_numbers(frame):
-    df = frame([("r", 1.0, float("nan"), float("inf"), None, "x")], "run_id STRING, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, e STRING")
-    assert [(r.metric, r.value) for r in sinks.metric_rows(df).collect()] == [("a", 1.0)]
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf")])
+def test_metrics_that_are_not_finite_are_refused(frame, bad):
+    df = frame([("r", 1.0, bad, None), ("q", 2.0, None, 3)], "run_id STRING, a DOUBLE, b DOUBLE, c INT")
+    with pytest.raises(Exception, match="metric b is not finite"):
+        sinks.metric_rows(df).collect()
+    assert [(r.run_id, r.metric) for r in sinks.metric_refusals(df).collect()] == [("r", "b")]
+    fine = sinks.metric_rows(df.where("run_id = 'q'")).collect()
+    assert sorted((r.metric, r.value) for r in fine) == [("a", 2.0), ("c", 3.0)]
+
+
+@pytest.mark.parametrize("kind, value", [("STRING", "net of costs"), ("BOOLEAN", True)])
+def test_metrics_that_are_no_numbers_are_refused(frame, kind, value):
+    with pytest.raises(ValueError, match="must be numbers"):
+        sinks.metric_rows(frame([("r", 1.0, value)], f"run_id STRING, a DOUBLE, note {kind}"))
 
 
 def test_conform_adds_and_drops_columns(frame):
