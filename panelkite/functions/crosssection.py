@@ -8,21 +8,7 @@ from pyspark.sql import functions as F
 from panelkite.schema import null_nan
 from panelkite.session import partitions_of, settle
 
-
-def _cuts(counts: DataFrame, by: str, value: str, pieces: int) -> DataFrame:
-    """Up to pieces-1 cut points per date: the values with the smallest hashes.
-
-    The hash depends on the value alone, so a recomputed task gives the same cut points. The
-    row-number filter prunes before the shuffle, so at most `pieces` rows per date and task move.
-    The count in the order never decides; it keeps this branch on the same shuffle as `counts`.
-    """
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.col(value)), F.col(value), F.col("_same"))
-    return (
-        counts.withColumn("_n", F.row_number().over(w))
-        .where(F.col("_n") < pieces)
-        .groupBy(by)
-        .agg(F.collect_list(value).alias("_cuts"))
-    )
+NUMERIC = ("double", "float", "long", "integer", "short", "byte")
 
 
 def cross_sectional_rank(
@@ -35,39 +21,40 @@ def cross_sectional_rank(
 ) -> DataFrame:
     """Rank of `value` among the rows of each `by`, ties averaged, NULL and NaN unranked.
 
-    Equal values are counted before any shuffle, and the distinct values of a date are cut into
-    `pieces` ranges that are ranked apart, as many as shuffle partitions unless given, so a large date is
-    not ranked in one task. The counted pieces are written once, as two steps read them; `df` itself is
-    evaluated twice.
+    One range shuffle puts the rows in order of (by, value) over `pieces` partitions, as many as shuffle
+    partitions unless given, so a large date is not ranked in one task. Equal values share a partition;
+    a row's place in its partition, and the rows of its date in the partitions before, make the rank.
+    Nothing is joined on values. The ordered rows are written once, as the partitions are counted first;
+    `df` is evaluated once, but for the sample of its last stage that the ranges are cut from.
+
+    Rows without a value, however many, are spread at random behind the dates.
     """
     if not isinstance(ascending, bool):
         raise ValueError("ascending must be a bool")
-    if df.schema[value].dataType.typeName() in ("double", "float"):
+    kind = df.schema[value].dataType.typeName()
+    if kind in ("double", "float"):
         df = df.withColumn(value, null_nan(F.col(value)))
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_same"))
     v = F.col(value)
-    piece = F.size(F.filter("_cuts", lambda c: (c < v) if ascending else (c > v)))
-    cuts = _cuts(counts, by, value, pieces or partitions_of(df.sparkSession))
-    cut = counts.join(cuts, by, "left").select(by, value, "_same", piece.alias("_piece"))
-    cut = settle(cut, "rank-pieces")
-    w_off = Window.partitionBy(by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(by, "_piece")
-        .agg(F.sum("_same").alias("_rows"))
-        .select(by, "_piece", F.coalesce(F.sum("_rows").over(w_off), F.lit(0)).alias("_before"))
-    )
-    w_in = (
-        Window.partitionBy(by, "_piece")
-        .orderBy(v.asc() if ascending else v.desc())
-        .rowsBetween(Window.unboundedPreceding, 0)
+    anywhere = F.xxhash64(F.monotonically_increasing_id()).cast(df.schema[value].dataType) if kind in NUMERIC else v
+    keyed = df.withColumns({"_by": F.when(v.isNotNull(), F.col(by)), "_value": F.coalesce(v, anywhere)})
+    order = [F.col("_by"), F.col("_value").asc() if ascending else F.col("_value").desc()]
+    # the ranges cluster equal (_by, _value), so the window needs no shuffle of its own
+    ties = Window.partitionBy("_by", "_value")
+    placed = (
+        keyed.repartitionByRange(pieces or partitions_of(df.sparkSession), *order)
+        .sortWithinPartitions(*order)
+        .withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+        .withColumns({"_first": F.min("_place").over(ties), "_same": F.count("*").over(ties)})
+        .drop("_value", "_place")
     )
-    ranks = (
-        cut.withColumn("_upto", F.sum("_same").over(w_in))
-        .join(offsets, [by, "_piece"])
-        .select(
-            by,
-            value,
-            (F.col("_before") + F.col("_upto") - (F.col("_same") - 1) / 2.0).alias(out),
-        )
+    rows = settle(placed, "ranked-rows")
+    before = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # at most a row per date and one more per partition
+    starts = (
+        rows.where("_by IS NOT NULL")
+        .groupBy("_by", "_part")
+        .agg(F.min("_first").alias("_start"), F.count("*").alias("_n"))
+        .select("_by", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start")).alias("_shift"))
     )
-    return df.join(ranks, [by, value], "left").select(*df.columns, out)
+    rank = F.col("_shift") + F.col("_first") + (F.col("_same") + 1) / 2.0
+    return rows.join(starts, ["_by", "_part"], "left").select(*df.columns, rank.alias(out))

@@ -53,7 +53,7 @@ def table_violations(df: DataFrame, table: str) -> DataFrame:
         df = df.groupBy(*keys).agg((F.count("*") - 1).alias("_more"), *counts)
         parts[f"{table}.{KEY_RULE}"] = F.sum(F.when(whole, F.col("_more")))
     else:
-        df = df.agg(*counts)
+        df = df.agg(F.count("*").alias("_rows"), *counts)
     zero = F.lit(0).cast("long")
     parts = {name: F.coalesce(total, zero) for name, total in parts.items()}
     parts |= {f"{table}.{c} is absent": F.lit(1).cast("long") for c in absent}
@@ -82,7 +82,9 @@ def link_violations(tables: Mapping[str, DataFrame]) -> DataFrame | None:
                 for (child, column), name in zip(children, names)
             ]
         )
-        orphans = keys.join(tables[parent].select(key), key, "left_anti")
+        # an outer join, as an anti join would be pushed into the union and read the parent once per child
+        known = tables[parent].select(key, F.lit(True).alias("_known"))
+        orphans = keys.join(known, key, "left").where(F.col("_known").isNull())
         found = orphans.groupBy().pivot("check", names).agg(F.sum("_n"))
         zero = F.lit(0).cast("long")
         rows = [
