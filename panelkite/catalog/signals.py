@@ -8,10 +8,10 @@ from panelkite.catalog.factors import CROSS, daily
 from panelkite.catalog.registry import query, r, rounded
 from panelkite.catalog.tables import BARS, PANEL, SYMBOLS, WEEKLY, with_
 from panelkite.functions import factors as fx
+from panelkite.operators import holdings as hd
 from panelkite.operators import panel as pn
 from panelkite.operators import signals as sg
 from panelkite.plans import testbed as tb
-from panelkite.session import settle
 
 BY = "(PARTITION BY symbol_id ORDER BY ts)"
 CUM = "(PARTITION BY symbol_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -107,20 +107,18 @@ def weekly_top3_weights(spark, sf_dir):
 CROSS_SQL = weights_sql(MOM63, 63, "state", 3, 0.1, "st")
 
 
-def cross_weights(spark, sf_dir):
+def cross_holdings(spark, sf_dir):
     bars = tb.bars_daily(spark, sf_dir)
     up, down = crossing()
-    return sg.target_weights(
-        pn.densify(bars),
-        pn.session_index(bars),
-        bars,
-        entry=up,
-        exit_=down,
-        lookback=20,
-        cash_floor=0.1,
+    return sg.target_holdings(
+        pn.densify(bars), pn.session_index(bars), entry=up, exit_=down, lookback=20, cash_floor=0.1
     )
 
 
+def cross_weights(spark, sf_dir):
+    return hd.export(cross_holdings(spark, sf_dir), tb.bars_daily(spark, sf_dir))
+
+
 @query(
     "ma_cross_weights",
     with_(PANEL, CROSS, SIGNAL, CROSS_SQL) + f"SELECT ts, symbol_id, {r('weight')} AS weight FROM weights",
@@ -162,8 +160,8 @@ ev AS MATERIALIZED (SELECT * FROM weights WHERE ts IN (SELECT ts FROM moved))"""
     + f"SELECT ts, symbol_id, {r('weight')} AS weight FROM ev",
 )
 def event_panel(spark, sf_dir):
-    weights = settle(cross_weights(spark, sf_dir), "weights")
-    return sg.event_panel(weights).select(
+    moved = hd.events(hd.settled(cross_holdings(spark, sf_dir)))
+    return hd.export(moved, tb.bars_daily(spark, sf_dir)).select(
         "ts", "symbol_id", rounded("weight").alias("weight")
     )
 
@@ -187,14 +185,45 @@ def event_panel(spark, sf_dir):
 def episode(spark, sf_dir):
     # invested only in every second month, in cash otherwise
     odd = F.month("ts") % 2 == 1
-    weights = settle(cross_weights(spark, sf_dir), "weights").withColumn(
-        "weight", F.when(odd, F.col("weight")).otherwise(0.0)
-    )
-    return sg.first_episode(sg.event_panel(weights)).select(
+    found = hd.settled(cross_holdings(spark, sf_dir))
+    moved = hd.events(hd.Holdings(found.dates, found.held.where(odd)))
+    return hd.export(hd.first_episode(moved), tb.bars_daily(spark, sf_dir)).select(
         "ts", "symbol_id", rounded("weight").alias("weight")
     )
 
 
+@query(
+    "weight_intervals",
+    with_(
+        PANEL,
+        CROSS,
+        SIGNAL,
+        CROSS_SQL,
+        "nth AS (SELECT ts, row_number() OVER (ORDER BY ts) AS n, lead(ts) OVER (ORDER BY ts) AS nxt FROM reb)",
+        """runs AS (SELECT symbol_id, weight, ts, n, nxt,
+             n - row_number() OVER (PARTITION BY symbol_id, weight ORDER BY n) AS run
+             FROM weights JOIN nth USING (ts) WHERE weight <> 0)""",
+    )
+    + f"""SELECT symbol_id, {r('weight')} AS weight, min(ts) AS from_ts, arg_max_null(nxt, n) AS to_ts
+       FROM runs GROUP BY symbol_id, runs.weight, run""",
+)
+def weight_intervals(spark, sf_dir):
+    found = hd.intervals(hd.settled(cross_holdings(spark, sf_dir)))
+    return found.withColumn("weight", rounded("weight"))
+
+
+@query(
+    "weight_events",
+    with_(PANEL, CROSS, SIGNAL, CROSS_SQL, EVENTS_SQL)
+    + f"""SELECT ts, count(*) FILTER (weight <> 0) AS names, {r('sum(weight)')} AS invested FROM ev GROUP BY ts""",
+)
+def weight_events(spark, sf_dir):
+    """Event dates without the symbol grid: what is held on them, dates in cash included."""
+    moved = hd.events(hd.settled(cross_holdings(spark, sf_dir)))
+    held = moved.held.groupBy("ts").agg(F.count("*").alias("names"), F.sum("weight").alias("invested"))
+    return moved.dates.join(held, "ts", "left").na.fill(0).withColumn("invested", rounded("invested"))
+
+
 @query(
     "universe_filter",
     with_(PANEL, SYMBOLS)

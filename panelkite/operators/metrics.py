@@ -61,8 +61,9 @@ def performance(
     risk_free: float = 0.0,
     ppy: float | None = None,
     weights: DataFrame | None = None,
+    dates: DataFrame | None = None,
 ) -> DataFrame:
-    """One row of metrics per run; with `weights` also turnover and rebalance count."""
+    """One row of metrics per run; with `weights` (and their `dates`) also turnover and rebalance count."""
     per_year = periods_per_year() if ppy is None else F.lit(float(ppy))
     out = with_returns(curves, key).groupBy(key).agg(
         F.min_by("equity", "ts").alias("initial_equity"),
@@ -76,16 +77,19 @@ def performance(
         F.lit(float(risk_free)).alias("risk_free_rate"),
         per_year.alias("annualization_periods"),
     )
-    return out if weights is None else out.join(turnover(weights, key), key, "left")
+    return out if weights is None else out.join(turnover(weights, key, dates=dates), key, "left")
 
 
-def weight_changes(weights: DataFrame, key: str = "run_id", name: str = "symbol_id") -> DataFrame:
+def weight_changes(
+    weights: DataFrame, key: str = "run_id", name: str = "symbol_id", dates: DataFrame | None = None
+) -> DataFrame:
     """Sum of |change of weight| per run and rebalance date; absent weights are 0, the first date is 0.
 
     Each name only meets its own rows: where it was absent on the date before, or is on the date
-    after, the missing side counts as 0, so the date x name grid is not needed.
+    after, the missing side counts as 0, so the date x name grid is not needed. `dates` (run, ts) are the
+    rebalance dates where weights have no rows for zeros; without them, the dates of the weights.
     """
-    dates = weights.select(key, "ts").distinct()
+    dates = (weights if dates is None else dates).select(key, "ts").distinct()
     by_date = Window.partitionBy(key).orderBy("ts")
     order = dates.withColumn("_n", F.row_number().over(by_date)).withColumn(
         "_next", F.lead("ts").over(by_date)
@@ -114,13 +118,16 @@ def weight_changes(weights: DataFrame, key: str = "run_id", name: str = "symbol_
             )
         ),
     )
+    parts = parts.unionByName(dates.withColumn("change", F.lit(0.0)))
     return parts.groupBy(key, "ts").agg(F.sum("change").alias("change"))
 
 
-def turnover(weights: DataFrame, key: str = "run_id", name: str = "symbol_id") -> DataFrame:
+def turnover(
+    weights: DataFrame, key: str = "run_id", name: str = "symbol_id", dates: DataFrame | None = None
+) -> DataFrame:
     """Total |change of weight| and the number of rebalances that moved anything."""
     return (
-        weight_changes(weights, key, name)
+        weight_changes(weights, key, name, dates)
         .groupBy(key)
         .agg(
             F.sum("change").alias("turnover"),

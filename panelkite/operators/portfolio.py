@@ -80,13 +80,13 @@ def over_invested(weights: DataFrame, keys: Sequence[str] = ("run_id", "ts")) ->
     )
 
 
-def _segments(curves: DataFrame, weights: DataFrame) -> DataFrame:
+def _segments(curves: DataFrame, weights: DataFrame, resets: DataFrame | None = None) -> DataFrame:
     """Dense (run_id, name, ts) rows with the return r, segment number and its target weight.
 
     Segments are counted on the dates of a run alone. Grid, curves and weights then meet in one
     shuffle by (run_id, name), which also serves the windows after it.
     """
-    resets = weights.select("run_id", "ts").distinct().withColumn("_reset", F.lit(1))
+    resets = (weights if resets is None else resets).select("run_id", "ts").distinct().withColumn("_reset", F.lit(1))
     upto = Window.partitionBy("run_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     # dates of a run: bounded by the calendar
     days = (
@@ -123,7 +123,11 @@ def _segments(curves: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def compose(
-    curves: DataFrame, weights: DataFrame, initial: float = 1.0, max_weight: float = 1.0
+    curves: DataFrame,
+    weights: DataFrame,
+    initial: float = 1.0,
+    max_weight: float = 1.0,
+    resets: DataFrame | None = None,
 ) -> DataFrame:
     """Portfolio curve (run_id, ts, equity) of `curves` (run_id, name, ts, equity).
 
@@ -131,9 +135,10 @@ def compose(
     next rebalance; the rest is cash at zero return. Within a segment that starts at value V the
     portfolio is V * (1 - sum w + sum w*G), G the growth of each name since the segment began, so
     days need no sequential walk. Gross weights, long and short together, of more than `max_weight` are
-    refused.
+    refused. `resets` (run_id, ts) are the rebalance dates where weights have no rows for zeros: a date
+    without any weight is all cash.
     """
-    seg = _segments(curves, weights)
+    seg = _segments(curves, weights, resets)
     grown = 1.0 + F.sum(F.col("_w") * (F.col("_g") - 1.0))
     levered = F.raise_error(F.lit("weights of one date add up to too much")).cast("double")
     daily = seg.groupBy("run_id", "_seg", "ts").agg(

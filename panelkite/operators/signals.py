@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkite.functions.factors import momentum, truth
+from panelkite.operators.holdings import Holdings, episode_span, event_dates, export, sparse
 from panelkite.operators.panel import is_fresh, is_warm, so_far
 from panelkite.session import partitions_of
 
@@ -81,10 +82,9 @@ def top_n_weights(
     )
 
 
-def target_weights(
+def target_holdings(
     panel: DataFrame,
     sessions: DataFrame,
-    universe: DataFrame,
     entry: Column | None = None,
     exit_: Column | None = None,
     score: Column | None = None,
@@ -93,13 +93,13 @@ def target_weights(
     top_n: int = 3,
     cash_floor: float = 0.0,
     rule: str = "W-MON",
-) -> DataFrame:
-    """(ts, symbol_id, weight) for every rebalance date and symbol of `universe`.
+) -> Holdings:
+    """What is held at every rebalance date.
 
     A symbol is eligible when it can trade, has a score, its quote is fresh and its state is long.
-    Dates without one hold cash: all their weights are 0. Without an entry rule every symbol is
-    long; without a score the momentum over `window` sessions ranks. `lookback` is the longest
-    window of the rules and, with 5 as the least, the freshness allowance.
+    Dates without one hold cash. Without an entry rule every symbol is long; without a score the
+    momentum over `window` sessions ranks. `lookback` is the longest window of the rules and, with 5 as
+    the least, the freshness allowance.
     """
     dates = rebalance_dates(sessions, rule)
     allowance = max(lookback if score is not None else window, 5)
@@ -117,42 +117,23 @@ def target_weights(
         is_fresh(valid, allowance).alias("_fresh"),
     ).join(F.broadcast(dates), "ts", "left_semi")
     eligible = at_dates.where("traded AND score IS NOT NULL AND _fresh AND _held = 1")
-    chosen = top_n_weights(eligible, "score", top_n, cash_floor)
-    all_dates = dates.agg(F.array_sort(F.collect_set("ts"))).scalar()
-    grid = universe.select("symbol_id").distinct().select("symbol_id", F.explode(all_dates).alias("ts"))
-    return grid.join(chosen, ["ts", "symbol_id"], "left").select(
-        "ts", "symbol_id", F.coalesce("weight", F.lit(0.0)).alias("weight")
-    )
+    return Holdings(dates, top_n_weights(eligible, "score", top_n, cash_floor))
+
+
+def target_weights(panel: DataFrame, sessions: DataFrame, universe: DataFrame, **rules) -> DataFrame:
+    """(ts, symbol_id, weight) of ``target_holdings``, with a zero for each symbol of `universe` not held."""
+    return export(target_holdings(panel, sessions, **rules), universe)
 
 
 def event_panel(weights: DataFrame) -> DataFrame:
     """Rebalance dates whose weights differ from the previous ones; the first is kept."""
-    prev = F.lag("weight").over(Window.partitionBy("symbol_id").orderBy("ts"))
-    moved = weights.withColumn("_moved", F.coalesce(F.col("weight") != prev, F.lit(True)))
-    dates = moved.groupBy("ts").agg(F.max("_moved").alias("_moved")).where("_moved").select("ts")
-    return weights.join(F.broadcast(dates), "ts", "left_semi")
+    # one row per rebalance date
+    return weights.join(F.broadcast(event_dates(sparse(weights))), "ts", "left_semi")
 
 
 def first_episode(events: DataFrame) -> DataFrame:
     """From the first invested date to the first later date in cash; empty when it never clears."""
-    # one entry per rebalance date: bounded by the calendar
-    totals = events.groupBy("ts").agg(F.sum("weight").alias("total"))
-    days = F.collect_list(F.struct("ts", "total"))
-
-    def first(keep) -> Column:
-        return F.array_min(F.transform(F.filter("days", keep), lambda d: d["ts"]))
-
-    span = (
-        totals.agg(days.alias("days"))
-        .select("days", first(lambda d: d["total"] > 0).alias("start"))
-        .select(
-            F.struct(
-                "start",
-                first(lambda d: (d["total"] == 0) & (d["ts"] > F.col("start"))).alias("clear"),
-            )
-        )
-        .scalar()
-    )
+    span = episode_span(sparse(events))
     return events.where(F.col("ts").between(span["start"], span["clear"]))
 
 

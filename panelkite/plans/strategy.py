@@ -12,6 +12,7 @@ from panelkite.operators import panel as pn
 from panelkite.operators import portfolio as pf
 from panelkite.operators import signals as sg
 from panelkite.operators.cleaning import adjust_prices
+from panelkite.operators.holdings import Holdings, events, export, settled
 from panelkite.operators.joins import next_session
 from panelkite.session import settle
 
@@ -25,7 +26,7 @@ def adjusted_panel(bars: DataFrame, actions: DataFrame | None = None) -> DataFra
     return pn.densify(bars, ("open", "close"))
 
 
-def portfolio_curve(panel: DataFrame, weights: DataFrame, sessions: DataFrame, run_id: str = "run") -> DataFrame:
+def portfolio_curve(panel: DataFrame, holdings: Holdings, sessions: DataFrame, run_id: str = "run") -> DataFrame:
     """Curve of a portfolio that moves to the weights at the close they were decided on.
 
     The weights earn from the next session on. Symbols without a quote keep their last one.
@@ -34,17 +35,31 @@ def portfolio_curve(panel: DataFrame, weights: DataFrame, sessions: DataFrame, r
     curves = panel.select(
         F.lit(run_id).alias("run_id"), name.alias("name"), "ts", pn.carry_forward("close").alias("equity")
     ).where("equity IS NOT NULL")
+    run, start = F.lit(run_id).alias("run_id"), F.col("next_ts").alias("ts")
+    resets = next_session(holdings.dates, sessions).where("next_ts IS NOT NULL").select(run, start)
     effective = (
-        next_session(weights, sessions)
+        next_session(holdings.held, sessions)
         .where("next_ts IS NOT NULL")
-        .select(F.lit(run_id).alias("run_id"), F.col("next_ts").alias("ts"), name.alias("name"), "weight")
+        .select(run, start, name.alias("name"), "weight")
     )
-    return pf.compose(curves, effective)
+    # names that are never held add nothing to the sum of gains; one curve is enough for the dates
+    kept = effective.select("name").distinct()
+    return pf.compose(_needed(curves, kept), effective, resets=resets)
 
 
-def net_curve(equity: DataFrame, weights: DataFrame, sessions: DataFrame, bps: float) -> DataFrame:
+def _needed(curves: DataFrame, names: DataFrame) -> DataFrame:
+    """The curves of `names`, and a flat one with every date of the curves."""
+    days = curves.select("run_id", "ts").distinct()
+    flat = days.select("run_id", F.lit("").alias("name"), "ts", F.lit(1.0).alias("equity"))
+    return curves.join(names, "name", "left_semi").unionByName(flat)
+
+
+def net_curve(equity: DataFrame, holdings: Holdings, sessions: DataFrame, bps: float) -> DataFrame:
     """The curve after a one-way cost on everything traded, charged on the day the weights start."""
-    changes = mt.weight_changes(weights.withColumn("run_id", F.lit("run")))
+    run = F.lit("run")
+    changes = mt.weight_changes(
+        holdings.held.withColumn("run_id", run), dates=holdings.dates.withColumn("run_id", run)
+    )
     traded = next_session(changes, sessions).select(
         F.col("next_ts").alias("ts"), F.col("change").alias("traded")
     )
@@ -98,10 +113,9 @@ def run_strategy(
         panel = add(panel)
     panel = settle(panel, "panel")
     sessions = settle(pn.session_index(bars), "sessions")
-    weights = sg.target_weights(
+    holdings = sg.target_holdings(
         panel,
         sessions,
-        bars,
         entry=entry,
         exit_=exit_,
         score=score,
@@ -111,14 +125,20 @@ def run_strategy(
         cash_floor=cash_floor,
         rule=rule,
     )
-    weights = settle(weights, "weights")
-    equity = portfolio_curve(panel, weights, sessions, run_id)
+    holdings = settled(holdings)
+    equity = portfolio_curve(panel, holdings, sessions, run_id)
     if bps:
-        equity = net_curve(equity, weights, sessions, bps)
-    metrics = mt.performance(equity, weights=weights.withColumn("run_id", F.lit(run_id)))
+        equity = net_curve(equity, holdings, sessions, bps)
+    run = F.lit(run_id)
+    metrics = mt.performance(
+        equity, weights=holdings.held.withColumn("run_id", run), dates=holdings.dates.withColumn("run_id", run)
+    )
+    symbols = panel.select("symbol_id").distinct()
+    weights = export(holdings, symbols)
     return {
+        "holdings": holdings,
         "weights": weights,
-        "events": sg.event_panel(weights),
+        "events": export(events(holdings), symbols),
         "fills": pf.fill_resolution(panel, weights),
         "equity": equity,
         "metrics": metrics,
