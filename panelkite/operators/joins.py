@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkite.session import settle
+
 
 def map_symbols(df: DataFrame, code: str, ids: DataFrame) -> DataFrame:
     """Attach symbol_id for vendor code `code`; `ids` is (code, symbol_id).
@@ -38,42 +40,38 @@ def asof_join(
 ) -> DataFrame:
     """Attach the last right row with right_time <= left_time; NULL when none is available yet.
 
-    Rows that become available together resolve to the greatest `latest_by`. The series of a key is
-    cut into time blocks that are searched apart; each block starts from the last value of the
-    blocks before it. A key with most of the rows is thus spread over its blocks.
+    Rows that become available together resolve to the greatest `latest_by`, then to the greatest
+    values. Both sides meet in one shuffle by key and time block and are read through in order of time;
+    left rows pass through it, so `left` is evaluated once. A block starts from the last value of the
+    blocks before it, which takes one row per key and block. A key with most of the rows is thus spread
+    over its blocks. Left rows without a key or a time find nothing, right ones are never found.
     """
-    keys = list(keys)
-    key_block = [*keys, "_b"]
-    updates = right.groupBy(*keys, F.col(right_time).cast("timestamp_ntz").alias("_t")).agg(
-        F.max_by(F.struct(*values), F.col(latest_by)).alias("_v")
-    )
-    probes = left.select(*keys, F.col(left_time).cast("timestamp_ntz").alias("_t")).distinct()
+    names = [f"_k{i}" for i in range(len(keys))]
+    time = lambda c: F.col(c).cast("timestamp_ntz").alias("_t")
+    updates = right.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], time(right_time), F.lit(0).alias("_side"),
+        F.col(latest_by).alias("_order"), F.struct(*values).alias("_v"),
+    ).dropna(subset=[*names, "_t"])
+    probes = left.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], time(left_time), F.lit(1).alias("_side"),
+        F.struct(*left.columns).alias("_row"),
+    )
+    parts = [*names, "_b"]
+    within = Window.partitionBy(*parts).orderBy("_t", "_side", "_order", "_v")
+    seen = F.last("_v", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
     events = (
-        updates.withColumn("_probe", F.lit(0))
-        .unionByName(probes.withColumn("_probe", F.lit(1)), allowMissingColumns=True)
+        updates.unionByName(probes, allowMissingColumns=True)
         .withColumn("_b", F.date_trunc(block, "_t"))
+        .withColumn("_last", seen)
+        .select(*parts, "_t", "_side", "_order", "_row", "_last")
     )
-    closing = events.groupBy(*key_block).agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_close")
-    )
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = closing.select(*key_block, F.last("_close", ignorenulls=True).over(before).alias("_carry"))
-    within = (
-        Window.partitionBy(*key_block)
-        .orderBy("_t", "_probe")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    found = (
-        events.withColumn("_last", F.last("_v", ignorenulls=True).over(within))
-        .where("_probe = 1")
-        .join(carried, key_block)
-        .select(*keys, F.col("_t"), F.coalesce("_last", "_carry").alias("_v"))
-    )
-    return (
-        left.withColumn("_t", F.col(left_time).cast("timestamp_ntz"))
-        .join(found, [*keys, "_t"], "left")
-        .select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
-    )
+    read = settle(events, "asof-events")
+    closing = read.groupBy(*parts).agg(F.max_by("_last", F.struct("_t", "_side", "_order", "_last")).alias("_close"))
+    before = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = closing.select(*parts, F.last("_close", ignorenulls=True).over(before).alias("_carry"))
+    found = F.coalesce("_last", "_carry")
+    out = read.where("_side = 1").join(carried.where("_carry IS NOT NULL"), parts, "left")
+    return out.select("_row.*", *[found[v].alias(v) for v in values])
 
 
 def cross_rate(fx: DataFrame, base: str, via: str, quote: str) -> DataFrame:

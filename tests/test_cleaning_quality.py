@@ -194,6 +194,20 @@ def test_asof_join_matches_brute_force(frame, block):
         assert got[i] == (max(seen)[2] if seen else None)
 
 
+def test_asof_join_edges(frame):
+    """Updates of one time at the end of a block, keys and times that are not known, clashing names."""
+    jan, feb = dt.datetime(2024, 1, 31), dt.datetime(2024, 2, 3)
+    known = [("a", jan, 1.0, 1), ("a", jan, 3.0, 3), ("a", jan, 2.0, 2), ("a", jan, 9.0, None), (None, jan, 7.0, 1), ("b", None, 8.0, 1)]
+    right = frame(known, "k STRING, av TIMESTAMP_NTZ, v DOUBLE, n INT")
+    probes = [("a", feb, 1), ("a", feb, 1), (None, feb, 2), ("b", feb, 3), ("a", None, 4), ("a", jan, 5)]
+    left = frame(probes, "k STRING, t TIMESTAMP_NTZ, n INT").withColumn("_b", F.lit("mine"))
+    out = jn.asof_join(left, right, ["k"], "t", "av", ["v"], latest_by="n")
+    assert out.columns == ["k", "t", "n", "_b", "v"]
+    got = sorted((r.n, r.v) for r in out.collect() if r.v is not None)
+    assert got == [(1, 3.0), (1, 3.0), (5, 3.0)] and out.count() == 6
+    assert jn.asof_join(left, right.limit(0), ["k"], "t", "av", ["v"], latest_by="n").where("v IS NOT NULL").isEmpty()
+
+
 def test_next_session(frame):
     sessions = frame([(day(0),), (day(3),)], "ts DATE")
     got = {r.ts: r.next_ts for r in jn.next_session(frame([(day(-1),), (day(0),), (day(1),), (day(3),)], "ts DATE"), sessions).collect()}
