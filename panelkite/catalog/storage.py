@@ -10,7 +10,7 @@ from panelkite.catalog.metrics import CURVE_SQL
 from panelkite.catalog.tables import BARS, CURVES_USER, FUND_FACTORS, FX, LEDGER, SNAPSHOT_BARS, with_
 from panelkite.operators import metrics as mt
 from panelkite.plans import testbed as tb
-from panelkite.session import scratch_dir
+from panelkite.session import scratch_dir, settle
 from panelkite.sources.common import stamp
 from panelkite.sources import fingerprint as fp
 from panelkite.sources import ledger as lg
@@ -64,7 +64,7 @@ def snapshot_views(spark, sf_dir):
 )
 def audit_scan(spark, sf_dir):
     root = stored(spark, sf_dir, "audit")
-    scan = sn.audit_scan(spark, f"{root}/bars_daily", f"{root}/fx_rates")
+    scan = sn.audit_scan(spark, f"{root}/bars_daily", f"{root}/fx_rates", root=root)
     return scan.agg(
         F.count("*").alias("rows"),
         F.count("close").alias("with_close"),
@@ -73,6 +73,32 @@ def audit_scan(spark, sf_dir):
     )
 
 
+@query(
+    "audit_scan_widened",
+    with_(BARS)
+    + f"""SELECT 's' || (symbol_id % 3) AS snapshot, count(*) AS "rows", count(volume) AS volumes,
+       {r('sum(CASE WHEN symbol_id % 3 = 0 THEN trunc(volume) ELSE volume END)', 2)} AS total,
+       count(*) FILTER (symbol_id % 3 = 2) AS with_note FROM bars GROUP BY symbol_id % 3""",
+)
+def audit_scan_widened(spark, sf_dir):
+    """Three snapshots that hold volumes as whole numbers, fractions and text; a fourth was cut short."""
+    root = scratch_dir(spark, "widened")
+    bars = settle(tb.bars_daily(spark, sf_dir), "bars")
+    kinds = {"s0": "int", "s1": "double", "s2": "string"}
+    for k, (name, kind) in enumerate(kinds.items()):
+        part = bars.where(F.col("symbol_id") % 3 == k).withColumn("volume", F.col("volume").cast(kind))
+        sn.write_snapshot({"bars_daily": part.withColumn("note", F.lit("x")) if k == 2 else part}, root, name)
+    sn.write_table(bars, root, "bars_daily", "cut")
+    scan = sn.audit_scan(spark, f"{root}/bars_daily", root=root)
+    snapshot = F.regexp_extract("filename", "snapshot_id=([^/]+)/", 1).alias("snapshot")
+    return scan.groupBy(snapshot).agg(
+        F.count("*").alias("rows"),
+        F.count("volume").alias("volumes"),
+        rounded(F.sum(F.col("volume").cast("double")), 2).alias("total"),
+        F.count("note").alias("with_note"),
+    )
+
+
 @query(
     "contract_load",
     with_(BARS)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from panelkite.operators.constraints import ingest_gate
 from panelkite.sources.common import stamp
 from panelkite.sources.fingerprint import fingerprint, snapshot_id
 from panelkite.sources.ledger import current_status, insert_absent, ledger_rows
-from panelkite.sources.snapshots import read_table, write_table
+from panelkite.sources.snapshots import publish, read_table, rows_at, write_table
 
 STATES = "snapshot_id STRING, dataset STRING, status STRING, event_ts TIMESTAMP_NTZ, note STRING"
 DATED = {"bars_daily"}
@@ -34,24 +33,14 @@ def _log(spark: SparkSession, root: str, snapshot: str, tables, status: str, at:
     ).write.mode("append").parquet(f"{root}/_events")
 
 
-def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """The table at `path`, empty where it does not exist yet."""
-    try:
-        return spark.read.schema(ddl).parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], ddl)
-
-
 def status_of(spark: SparkSession, root: str) -> DataFrame:
     """Latest state of every (snapshot, dataset)."""
-    return current_status(_read(spark, f"{root}/_events", STATES))
+    return current_status(rows_at(spark, f"{root}/_events", STATES))
 
 
 def ledger_of(spark: SparkSession, root: str) -> DataFrame:
     """Rows of the ledger: the snapshots that readers may follow."""
-    return _read(spark, f"{root}/_ledger", schema.COLUMNS["ingest_runs"])
+    return rows_at(spark, f"{root}/_ledger", schema.COLUMNS["ingest_runs"])
 
 
 def refuse_broken(tables: Mapping[str, DataFrame]) -> None:
@@ -67,7 +56,7 @@ def ingest(
 ) -> IngestResult:
     """Store `tables` as one immutable snapshot named by its content.
 
-    A snapshot is published by its ledger rows, which come last: one for each table. The same content
+    A snapshot is complete with its ledger rows, one for each table, and then published. The same content
     again is recognised by them and not rewritten. Without them an earlier attempt was cut short; its
     tables are kept where their content is right and written anew where not. The events say running
     before the write and ok after it, or aborted when the write fails.
@@ -80,6 +69,7 @@ def ingest(
         known = status_of(spark, root).where((F.col("snapshot_id") == name) & (F.col("status") == "ok"))
         if known.count() < len(tables):
             _log(spark, root, name, tables, "ok", finished_at, "registered again")
+        publish(spark, root, name, tables)
         return IngestResult(name, "exists")
     _log(spark, root, name, tables, "running", started_at)
     try:
@@ -99,6 +89,7 @@ def ingest(
     )
     fresh = insert_absent(ledger_of(spark, root), rows, ["snapshot_id", "dataset"])
     fresh.write.mode("append").parquet(f"{root}/_ledger")
+    publish(spark, root, name, tables)
     _log(spark, root, name, tables, "ok", finished_at)
     return IngestResult(name, "ok")
 

@@ -41,6 +41,44 @@ def test_snapshot_is_immutable(spark, rates, tmp_path):
         sn.read_snapshot(spark, root, "nothing")
 
 
+def test_a_write_cut_short_is_not_read_and_can_be_repeated(spark, rates, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    written = []
+
+    def cut(df, *where):
+        if written:
+            raise OSError("disk")
+        written.append(where)
+        write(df, *where)
+
+    write = sn.write_table
+    monkeypatch.setattr(sn, "write_table", cut)
+    tables = {"fx_rates": rates, "macro_series": rates}
+    with pytest.raises(OSError):
+        sn.write_snapshot(tables, root, "s1")
+    assert sn.read_table(spark, root, "fx_rates", "s1").count() == 4
+    for read in (sn.read_snapshot, sn.register_views):
+        with pytest.raises(FileNotFoundError):
+            read(spark, root, "s1")
+    with pytest.raises(FileNotFoundError):
+        sn.audit_scan(spark, f"{root}/fx_rates", root=root)
+    monkeypatch.setattr(sn, "write_table", write)
+    sn.write_snapshot({**tables, "fx_rates": rates.limit(3)}, root, "s1")
+    assert {t: df.count() for t, df in sn.read_snapshot(spark, root, "s1").items()} == {"fx_rates": 3, "macro_series": 4}
+    with pytest.raises(FileExistsError, match="macro_series"):
+        sn.write_snapshot({"macro_series": rates}, root, "s1")
+
+
+def test_audit_scan_widens_types(spark, frame, tmp_path):
+    for k, (kind, value) in enumerate([("INT", 1), ("BIGINT", 2**40), ("DOUBLE", 0.5), ("STRING", "n/a")]):
+        sn.write_snapshot({"t": frame([(value,)], f"x {kind}")}, str(tmp_path / "all"), f"s{k}")
+        if k < 3:
+            sn.write_snapshot({"t": frame([(value,)], f"x {kind}")}, str(tmp_path / "numbers"), f"s{k}")
+    text, numbers = (sn.audit_scan(spark, str(tmp_path / name / "t")) for name in ("all", "numbers"))
+    assert sorted(r.x for r in text.collect()) == ["0.5", "1", str(2**40), "n/a"]
+    assert sorted(r.x for r in numbers.collect()) == [0.5, 1.0, float(2**40)]
+
+
 def test_audit_scan_aligns_schemas(spark, rates, tmp_path):
     sn.write_snapshot({"fx_rates": rates}, str(tmp_path), "s1")
     sn.write_snapshot({"fx_rates": rates.withColumn("note", F.lit("x"))}, str(tmp_path), "s2")
