@@ -9,6 +9,7 @@ from panelkite.catalog import panels, vendors
 from panelkite.operators import panel as pn
 from panelkite.plans import testbed as tb
 from panelkite.plans.ingest import refuse_broken
+from panelkite.session import settle
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,7 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture
 def fewer_ids(spark, monkeypatch):
     """Every second code has no id."""
-    few = vendors.ids(spark, SMALL).where("symbol_id % 2 = 0").localCheckpoint()
+    few = settle(vendors.ids(spark, SMALL).where("symbol_id % 2 = 0"), "few-ids")
     monkeypatch.setattr(vendors, "ids", lambda *_: few)
 
 
