@@ -42,16 +42,11 @@ def portfolio_curve(panel: DataFrame, holdings: Holdings, sessions: DataFrame, r
         .where("next_ts IS NOT NULL")
         .select(run, start, name.alias("name"), "weight")
     )
-    # names that are never held add nothing to the sum of gains; one curve is enough for the dates
-    kept = effective.select("name").distinct()
-    return pf.compose(_needed(curves, kept), effective, resets=resets)
-
-
-def _needed(curves: DataFrame, names: DataFrame) -> DataFrame:
-    """The curves of `names`, and a flat one with every date of the curves."""
-    days = curves.select("run_id", "ts").distinct()
-    flat = days.select("run_id", F.lit("").alias("name"), "ts", F.lit(1.0).alias("equity"))
-    return curves.join(names, "name", "left_semi").unionByName(flat)
+    # names that are never held add nothing to the sum of gains; a flat one brings all dates
+    kept = settle(curves.join(effective.select("name").distinct(), "name", "left_semi").select(*curves.columns), "held-curves")
+    first = panel.where("close IS NOT NULL").agg(F.min("ts")).scalar()
+    flat = sessions.where(F.col("ts") >= first).select(run, F.lit("").alias("name"), "ts", F.lit(1.0).alias("equity"))
+    return pf.compose(kept.unionByName(flat), effective, resets=resets)
 
 
 def net_curve(equity: DataFrame, holdings: Holdings, sessions: DataFrame, bps: float) -> DataFrame:
