@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from panelkite.catalog.metrics import CURVE_SQL
 from panelkite.catalog.registry import query, r, rounded
-from panelkite.catalog.signals import MOMENTUM_SQL
-from panelkite.catalog.tables import BARS, FX, PANEL, with_
+from panelkite.catalog.signals import BY, CUM, MOMENTUM_SQL, weights_sql
+from panelkite.catalog.tables import BARS, FX, PANEL, WEEKLY, with_
+from panelkite.functions import rules as rl
 from panelkite.plans import testbed as tb
 from panelkite.plans.ingest import ingest, status_of
 from panelkite.plans.strategy import run_strategy
@@ -79,6 +80,77 @@ def strategy_net_equity(spark, sf_dir):
     return out["equity"].select("run_id", "ts", rounded(F.ln("equity")).alias("log_equity"))
 
 
+def ema_sql(n: int) -> str:
+    """Columns of a recursion over the sessions: mean, decayed weight of the past, observations."""
+    a, m, w, k = f"(2.0::DOUBLE / {n + 1})", f"m{n}", f"w{n}", f"k{n}"
+    return f"""CASE WHEN p.close IS NULL THEN c.{m} WHEN c.{k} = 0 THEN p.close
+       ELSE (c.{w} * (1 - {a}) * c.{m} + {a} * p.close) / (c.{w} * (1 - {a}) + {a}) END,
+     CASE WHEN p.close IS NOT NULL THEN 1 ELSE c.{w} * (1 - {a}) END,
+     c.{k} + CASE WHEN p.close IS NULL THEN 0 ELSE 1 END"""
+
+
+def ema_start(n: int) -> str:
+    seen = "CASE WHEN close IS NULL THEN 0 ELSE 1 END"
+    return f"close AS m{n}, {seen}::DOUBLE AS w{n}, {seen} AS k{n}"
+
+
+def state_sql(lookback: int, up: str, down: str, source: str) -> str:
+    return f"""sig AS (SELECT *, CASE WHEN idx >= {lookback} AND traded THEN
+    CASE WHEN {down} THEN -1 WHEN {up} THEN 1 ELSE 0 END END AS signal FROM {source}),
+st AS MATERIALIZED (SELECT *, CASE WHEN last_value(CASE WHEN signal IN (1, -1) THEN signal END IGNORE NULLS)
+    OVER {CUM} = 1 THEN 1 ELSE 0 END AS state FROM sig)"""
+
+
+@query(
+    "strategy_ema_cross",
+    with_(
+        PANEL,
+        f"""rec AS (SELECT symbol_id, ts, idx, traded, close, {ema_start(12)}, {ema_start(26)} FROM panel WHERE idx = 0
+  UNION ALL SELECT p.symbol_id, p.ts, p.idx, p.traded, p.close, {ema_sql(12)}, {ema_sql(26)}
+  FROM rec c JOIN panel p ON p.symbol_id = c.symbol_id AND p.idx = c.idx + 1)""",
+        f"""lines AS (SELECT symbol_id, ts, idx, traded, close, CASE WHEN k12 >= 12 THEN {r('m12', 4)} END AS fast,
+             CASE WHEN k26 >= 26 THEN {r('m26', 4)} END AS slow FROM rec)""",
+        f"""crossed AS (SELECT *, coalesce(fast > slow AND lag(fast) OVER {BY} <= lag(slow) OVER {BY}, false) AS up,
+             coalesce(fast < slow AND lag(fast) OVER {BY} >= lag(slow) OVER {BY}, false) AS down FROM lines)""",
+        state_sql(26, "up", "down", "crossed"),
+        weights_sql(f"close / nullif(lag(close, 26) OVER {BY}, 0) - 1", 26, "state", 3, 0.0, "st"),
+        NAV,
+        recursive=True,
+    )
+    + f"SELECT ts, {r('ln(equity)')} AS log_equity FROM curves",
+)
+def strategy_ema_cross(spark, sf_dir):
+    """In from a cross of two exponential means to the next one back; the look-back follows from the rules."""
+    fast, slow = (rl.ema(rl.close(), n).map(lambda c: rounded(c, 4)) for n in (12, 26))
+    out = run_strategy(
+        tb.bars_daily(spark, sf_dir), entry=rl.cross_above(fast, slow), exit_=rl.cross_below(fast, slow)
+    )
+    return out["equity"].select("ts", rounded(F.ln("equity")).alias("log_equity"))
+
+
+@query(
+    "strategy_rank_rotation",
+    with_(
+        WEEKLY,
+        f"""past AS (SELECT *, lag(close) OVER {BY} AS prev FROM panel)""",
+        f"""moms AS (SELECT *, {r(f'prev / nullif(lag(prev, 12) OVER {BY}, 0) - 1', 3)} AS mom FROM past)""",
+        """placed AS (SELECT *, CASE WHEN mom IS NOT NULL THEN rank() OVER (PARTITION BY ts, mom IS NULL ORDER BY mom)
+             + (count(*) OVER (PARTITION BY ts, mom) - 1) / 2.0::DOUBLE END AS place FROM moms)""",
+        state_sql(12, "true", "false", "placed"),
+        weights_sql("place", 12, "state", 20, 0.0, "st"),
+        NAV,
+    )
+    + f"SELECT ts, {r('ln(equity)')} AS log_equity FROM curves",
+)
+def strategy_rank_rotation(spark, sf_dir):
+    """The 20 symbols of all suppliers that rank highest by momentum of the session before."""
+    past = rl.momentum(rl.shift(rl.close()), 12).map(lambda c: rounded(c, 3))
+    out = run_strategy(
+        tb.bars_weekly(spark, sf_dir), entry=rl.const(1.0), score=rl.rank(past, ascending=True), top_n=20
+    )
+    return out["equity"].select("ts", rounded(F.ln("equity")).alias("log_equity"))
+
+
 @query(
     "ingest_flow",
     with_(BARS, FX)

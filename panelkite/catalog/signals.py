@@ -69,6 +69,31 @@ def rebalance_dates(spark, sf_dir):
     return out
 
 
+# Starts of periods in SQL: the rule, and what its dates are grouped by.
+PERIODS = {
+    "B": "ts + CASE isodow(ts) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END::INTEGER",
+    "2W": "date_trunc('week', ts - INTERVAL 7 DAY)",
+    "3W-WED": "date_trunc('week', ts - INTERVAL 3 DAY)",
+    "3M": "date_trunc('month', ts)",
+    "Q-NOV": "date_trunc('quarter', ts + INTERVAL 1 MONTH)",
+    "2Q-JAN": "date_trunc('quarter', ts - INTERVAL 1 MONTH)",
+    "Y-JUN": "year(ts) + (month(ts) > 6)::INTEGER",
+}
+
+
+@query(
+    "rebalance_rules",
+    with_(PANEL)
+    + " UNION ALL ".join(f"SELECT '{k}' AS rule, min(ts) AS ts FROM sess GROUP BY {v}" for k, v in PERIODS.items()),
+)
+def rebalance_rules(spark, sf_dir):
+    """Business days, multiples and anchored periods, from one pass over the sessions."""
+    sessions = pn.session_index(tb.bars_daily(spark, sf_dir)).select("ts")
+    keys = F.array(*(F.struct(F.lit(k).alias("rule"), sg.period_key("ts", k).alias("period")) for k in PERIODS))
+    by_rule = sessions.select("ts", F.explode(keys).alias("k"))
+    return by_rule.groupBy("k.rule", "k.period").agg(F.min("ts").alias("ts")).select("rule", "ts")
+
+
 def weights_sql(score: str, allowance: int, held: str, top_n: int, floor: float, source: str) -> str:
     """CTEs ending in `weights` (ts, symbol_id, weight)."""
     return f"""

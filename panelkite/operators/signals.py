@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from panelkite.operators.holdings import Holdings, episode_span, event_dates, ex
 from panelkite.operators.panel import is_fresh, is_warm, so_far
 from panelkite.session import partitions_of
 
-# The day a weekly period ends on, Monday first.
-WEEK_ENDS = ["W-MON", "W-TUE", "W-WED", "W-THU", "W-FRI", "W-SAT", "W-SUN"]
+# Names of the days a week and of the months a quarter or year may end on.
+DAYS = ["MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN"]
+MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 
 
 def signal(entry: Column, exit_: Column, lookback: int, traded: Column | str = "traded") -> Column:
@@ -28,16 +31,30 @@ def position_state(sig: Column | str) -> Column:
 
 
 def period_key(ts: Column | str, rule: str) -> Column:
-    """First day of the calendar period that `ts` falls into."""
+    """First day of the calendar period that `ts` falls into, or a date that stands for it alone.
+
+    Rules are D, B (days, business days; a weekend belongs to the Monday after it), W, M, Q and Y. A week
+    may name the day it ends on (W-FRI), a quarter or year its last month (Q-NOV, Y-JUN). A multiple (2W)
+    is the length of a period, not the distance between periods: one begins in every unit, so the dates
+    are those of the unit.
+    """
     ts = F.col(ts) if isinstance(ts, str) else ts
-    if rule in WEEK_ENDS:
-        return F.date_trunc("week", F.date_sub(ts, WEEK_ENDS.index(rule) + 1)).cast("date")
-    units = {"D": "day", "M": "month", "Q": "quarter", "Y": "year"}
-    if rule == "W":
-        return period_key(ts, "W-SUN")
-    if rule not in units:
+    parts = re.fullmatch(r"([0-9]*)(D|B|M|W(?:-[A-Z]{3})?|[QY](?:-[A-Z]{3})?)", rule)
+    if parts is None or (parts[1] and int(parts[1]) < 1):
         raise ValueError(f"unknown rebalance rule {rule!r}")
-    return F.date_trunc(units[rule], ts).cast("date")
+    unit, _, anchor = parts[2].partition("-")
+    if unit == "W" and (anchor or "SUN") in DAYS:
+        return F.date_trunc("week", F.date_sub(ts, DAYS.index(anchor or "SUN") + 1)).cast("date")
+    if unit in "QY" and (anchor or "DEC") in MONTHS:
+        # moved so that the last month is December
+        ahead = 11 - MONTHS.index(anchor or "DEC")
+        moved = F.add_months(F.trunc(ts, "month"), ahead)
+        return F.add_months(F.trunc(moved, "quarter" if unit == "Q" else "year"), -ahead)
+    if unit == "B":
+        return F.date_add(ts, F.when(F.weekday(ts) > 4, 7 - F.weekday(ts)).otherwise(0))
+    if unit in "DM":
+        return F.trunc(ts, "month") if unit == "M" else ts.cast("date")
+    raise ValueError(f"unknown rebalance rule {rule!r}")
 
 
 def rebalance_dates(sessions: DataFrame, rule: str = "W-MON") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkite.functions import rules as rl
+from panelkite.functions.rules import Rule
 from panelkite.operators import metrics as mt
 from panelkite.operators import panel as pn
 from panelkite.operators import portfolio as pf
@@ -75,10 +77,10 @@ def net_curve(equity: DataFrame, holdings: Holdings, sessions: DataFrame, bps: f
 def run_strategy(
     bars: DataFrame,
     actions: DataFrame | None = None,
-    entry: Column | None = None,
-    exit_: Column | None = None,
-    score: Column | None = None,
-    lookback: int = 1,
+    entry: Column | Rule | None = None,
+    exit_: Column | Rule | None = None,
+    score: Column | Rule | None = None,
+    lookback: int | None = None,
     window: int | None = None,
     top_n: int = 3,
     cash_floor: float = 0.0,
@@ -91,13 +93,21 @@ def run_strategy(
     """weights, events, fills, equity and metrics of one strategy over the symbols of `bars`.
 
     `factors` add columns to the dense panel that entry, exit and score may name: exponential filters,
-    trend lines, ranks. `lookback` is the longest window of rules and factors; it must be given with a
-    score or factors, as warm-up and freshness follow it. `universe` limits the symbols; ids that the
-    bars lack are refused. Without a score the momentum over `window` sessions ranks, by default over
-    the look-back. The panel and the weights are written once, as several results read them.
+    trend lines, ranks. `lookback` is the longest window of rules and factors, which warm-up and freshness
+    follow. Where entry, exit and score are ``rules.Rule``, it is derived from them, and one that is stated
+    may be longer but not shorter; a score that is a plain column, and factors, need it stated. `universe`
+    limits the symbols; ids that the bars lack are refused. Without a score the momentum over `window`
+    sessions ranks, by default over the look-back. The panel and the weights are written once, as several
+    results read them.
     """
-    if lookback < 2 and (score is not None or factors):
+    rules = [x for x in (entry, exit_, score) if isinstance(x, Rule)]
+    needed = rl.longest(*rules)
+    if (lookback or 1) < 2 and (factors or (score is not None and not isinstance(score, Rule))):
         raise ValueError("a score or factors need the look-back of their windows")
+    if lookback is None:
+        lookback = max(needed, 1)
+    elif rules and lookback < needed:
+        raise ValueError(f"a look-back of {lookback} is shorter than the longest window, {needed}")
     if universe is not None:
         unknown = sg.unknown_universe(universe, bars).limit(5).collect()
         if unknown:
@@ -106,6 +116,8 @@ def run_strategy(
     panel = adjusted_panel(bars, actions)
     for add in factors:
         panel = add(panel)
+    panel = rl.prepare(panel, *rules)
+    entry, exit_, score = (x.column if isinstance(x, Rule) else x for x in (entry, exit_, score))
     panel = settle(panel, "panel")
     sessions = settle(pn.session_index(bars), "sessions")
     holdings = sg.target_holdings(

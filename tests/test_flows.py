@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkite.functions import crosssection, recursive
 from panelkite.functions import factors as fx
+from panelkite.functions import rules as rl
 from panelkite.operators import panel as pn
 from panelkite.plans import ingest as ig
 from panelkite.plans import strategy as st
@@ -173,6 +174,40 @@ def test_factors_and_universe_of_a_strategy(frame):
         st.run_strategy(bars, factors=factors)
 
 
+def test_look_back_follows_from_the_rules(frame):
+    rows = [(s, day(i), 100 * g**i, 100 * g**i, True) for s, g in ((1, 1.01), (2, 1.02), (3, 1.03)) for i in range(40)]
+    bars = frame(rows, "symbol_id BIGINT, ts DATE, open DOUBLE, close DOUBLE, traded BOOLEAN")
+    fast, slow = rl.ema(rl.close(), 3), rl.ema(rl.close(), 9)
+    rules = {"entry": rl.gt(fast, slow), "exit_": rl.lt(fast, slow), "score": rl.rank(fast, ascending=True)}
+    assert rl.longest(*rules.values()) == 9
+    assert rl.prepare(pn.densify(bars), *rules.values()).columns[-3:] == [
+        x.steps[-1].name for x in (fast, slow, rules["score"])
+    ]
+    derived = st.run_strategy(bars, top_n=1, **rules)["weights"]
+    stated = st.run_strategy(bars, top_n=1, lookback=9, **rules)["weights"]
+    assert derived.exceptAll(stated).isEmpty() and stated.exceptAll(derived).isEmpty()
+    assert {r.symbol_id for r in derived.where("weight > 0").collect()} == {3}
+    first = derived.where("weight > 0").agg(F.min("ts")).first()[0]
+    assert first >= day(9)
+    with pytest.raises(ValueError, match="shorter than the longest window, 9"):
+        st.run_strategy(bars, top_n=1, lookback=8, **rules)
+
+
+def test_reach_of_rules():
+    past = rl.shift(rl.close())
+    assert [
+        x.reach
+        for x in (
+            past, rl.const(2), rl.momentum(past, 63), rl.rank(rl.momentum(past, 63)), rl.llt(past, 0.1),
+            rl.ewm_std(past, 20), rl.condition(rl.gt(rl.sma(past, 5), past), rl.zscore(past, 30), rl.const(0)),
+            rl.sma(rl.ema(rl.close(), 26), 5),
+        )
+    ] == [0, 0, 63, 63, 20, 20, 30, 26]
+    for bad in (lambda: rl.sma(past, 0), lambda: rl.momentum(past, 1.5), lambda: rl.shift(past, 0), lambda: rl.llt(past, 2)):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_costs_lower_the_curve(frame):
     rows = [(1, day(i), 100.0, 100.0, True) for i in range(30)]
     bars = frame(rows, "symbol_id BIGINT, ts DATE, open DOUBLE, close DOUBLE, traded BOOLEAN")

@@ -6,6 +6,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,26 @@ def test_unknown_rule(spark):
         sg.period_key("ts", "W-XYZ")
 
 
+RULES = ["D", "2D", "B", "2B", "W", "2W", "W-MON", "3W-WED", "W-SAT", "M", "3M", "Q", "Q-NOV", "2Q-JAN", "Q-JUN", "Y", "Y-JUN", "2Y-MAR"]
+
+
+def test_rebalance_rules_against_pandas(frame):
+    every = [dt.date(2019, 10, 5) + dt.timedelta(days=i) for i in range(1200)]
+    days = [d for d in every if (d.toordinal() * 7919) % 11 not in (2, 5, 6)]  # holes of up to some days
+    sessions = frame([(d,) for d in days], "ts DATE").cache()
+    index = pd.DatetimeIndex(days)
+    series = pd.Series(index, index=index)
+    for rule in RULES:
+        expected = sorted(t.date() for t in series.groupby(index.to_period(rule)).min())
+        assert sorted(r.ts for r in sg.rebalance_dates(sessions, rule).collect()) == expected, rule
+
+
+@pytest.mark.parametrize("rule", ["", "2", "0W", "-1W", "W-", "W-XYZ", "Q-XYZ", "BM", "QS", "M-JAN", "SM", "D-MON"])
+def test_unknown_rebalance_rules_are_refused(rule):
+    with pytest.raises(ValueError, match="unknown rebalance rule"):
+        sg.period_key("ts", rule)
+
+
 def flat_panel(panel_of, symbols, n=20):
     return panel_of({s: [100 + i for i in range(n)] for s in symbols})
 
