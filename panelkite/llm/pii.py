@@ -1,10 +1,16 @@
 """Personal data: pattern spans, and terms that give their owners away.
 
-The patterns find the protected values. How strongly a term in a text with a value reveals it is
-estimated from the whole corpus: with p over distinct texts, the pointwise mutual information
-log p(value, term) / p(value) p(term), as a share of the value's own information -log p(value). A term
-that discloses more than a threshold is generalised, and beyond a second one removed, if chance does not
-explain how often the two are together.
+The patterns find the protected values. A value stands for several protected entities: itself, the
+group it belongs to (mail domain, network, card issuer, area), its kind, and personal data as such. How
+strongly a term in a text with an entity reveals it is estimated from the whole corpus: with p over
+distinct texts, the pointwise mutual information log p(entity, term) / p(entity) p(term), as a share of
+the entity's own information -log p(entity). A term that discloses more than a threshold is generalised,
+and beyond a second one removed, if chance does not explain how often the two are together.
+
+Two kinds of evidence are pooled, as single cases prove nothing. Words that mix letters and digits
+(keys, codes) hardly ever come back and are counted by their length. Names, the words of an address
+before its @, are tested as one relation: whether texts use the names of their own addresses more often
+than the corpus does; each then discloses its address by its own counts.
 """
 
 from __future__ import annotations
@@ -35,6 +41,11 @@ REMOVE = 0.8
 TERM = "term"
 #: Words in which terms are counted: letters and digits, and what joins them inside a word.
 WORD = r"[\p{L}\p{N}]+(?:['’_-][\p{L}\p{N}]+)*+"
+#: Words of at least this many letters and digits, both present, are counted by their length.
+CODE = 8
+#: Words of fewer letters in an address are no names.
+NAME = 3
+VALUE, GROUP, KIND, ANY = range(4)
 
 
 def _digits(value: Column) -> Column:
@@ -114,23 +125,62 @@ def _outside(text: Column, base: Column) -> Column:
     return F.concat_ws(" ", done["parts"], F.substring(text, done["end"] + 1, F.length(text)))
 
 
-def _terms_of(text: Column) -> Column:
-    """The distinct words of a text, lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+def _term(word: Column) -> Column:
+    """What a word is counted as: in lower case, codes as # and their length."""
+    code = (F.length(word) >= CODE) & word.rlike("[0-9]") & word.rlike(r"\p{L}")
+    return F.when(code, F.concat(F.lit("#"), F.length(word))).otherwise(F.lower(word))
 
 
-def _values_of(base: Column) -> Column:
-    return F.array_distinct(F.transform(base, lambda s: F.struct(s["k"], ascii_lower(s["value"]).alias("value"))))
+def _terms_of(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _term))
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    """One row for each row of `found`, value and term outside all values."""
+def _free_terms(text: Column, base: Column) -> Column:
+    """The distinct terms of a text outside its values."""
     # a word that touches a value may leave a part that is no word of the text
-    terms = F.array_intersect(_terms_of(_outside(F.col("text"), F.col("base"))), _terms_of(F.col("text")))
+    return F.array_intersect(_terms_of(_outside(text, base)), _terms_of(text))
+
+
+def _entity(level: int, k: Column, key: Column | str) -> Column:
+    key = F.lit(key) if isinstance(key, str) else key
+    return F.struct(F.lit(level).alias("level"), F.concat_ws(":", k.cast("string"), key).alias("entity"))
+
+
+def _group(k: Column, value: Column) -> Column:
+    """Mail domain, first half of an address of a network, issuer of a card, country and area."""
     return (
-        found.select("doc_id", "_text", "share", F.explode(_values_of(F.col("base"))).alias("v"), terms.alias("terms"))
-        .select("doc_id", "_text", "share", "v.k", "v.value", F.explode("terms").alias("term"))
-    )
+        F.when(k == 0, F.substring_index(value, "@", -1))
+        .when(k == 1, F.substring_index(value, ".", 2))
+        .when(k == 2, F.substring(_digits(value), 1, 6))
+        .otherwise(F.substring(_digits(value), 1, 4))
+    )
+
+
+def _entities_of(base: Column) -> Column:
+    """The distinct protected entities that the values of a text stand for, on all levels."""
+
+    def of(s: Column) -> Column:
+        k, value = s["k"], ascii_lower(s["value"])
+        return F.array(
+            _entity(VALUE, k, value), _entity(GROUP, k, _group(k, value)), _entity(KIND, k, ""),
+            _entity(ANY, F.lit(""), ""),
+        )
+
+    return F.array_distinct(F.flatten(F.transform(base, of)))
+
+
+def _names_of(base: Column) -> Column:
+    """(level, entity, term) of the names in the mail addresses of a text."""
+
+    def of(s: Column) -> Column:
+        value = ascii_lower(s["value"])
+        words = F.regexp_extract_all(F.substring_index(value, "@", 1), F.lit(f"[a-z]{{{NAME},}}"), F.lit(0))
+        entity = _entity(VALUE, s["k"], value)
+        return F.transform(words, lambda w: F.struct(entity["level"], entity["entity"], w.alias("term")))
+
+    named = F.transform(F.filter(base, lambda s: s["k"] == 0), of)
+    return F.array_distinct(F.flatten(named))
 
 
 def _texts(shares: Column) -> Column:
@@ -148,40 +198,82 @@ def with_share(docs: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(k, value, term, disclosure) of the terms that reveal a value by GENERALISE or more.
-
-    All counts are of distinct texts: with the value, with the term, with both anywhere, and in all;
-    copies of a text prove nothing. Low counts count by what they prove: were the term dealt to texts
-    at random, both would be together so often with at most exp(-with_value * d) of probability (d the
-    divergence of the shares of texts with the term, among those with the value and among all); that,
-    times all values and all terms, must not exceed CHANCE. A value that is in every text has no
-    information to disclose.
+    """(level, entity, term, disclosure) of the terms that reveal an entity by GENERALISE or more.
+
+    All counts are of distinct texts: with the entity, with the term, with both anywhere, and in all;
+    copies of a text prove nothing. Counts count by what they prove: were the term dealt to texts at
+    random, both would be together so often with at most exp(-with_entity * d) of probability (d the
+    divergence of the shares of texts with the term, among those with the entity and among all); that,
+    times all entities and all terms, must not exceed CHANCE. Entities and terms in too few texts to
+    meet that bound with any partner are left out before pairs are made. Names are tested as one
+    relation, by the bound on a sum of rare events. An entity that is in every text has no information
+    to disclose.
     """
-    pairs = _pairs(found).groupBy("k", "value", "term").agg(_texts(F.col("share")).alias("together"))
-    values = settled(
-        found.select("share", F.explode(_values_of(F.col("base"))).alias("v"))
-        .groupBy("v.k", "v.value").agg(_texts(F.col("share")).alias("with_value")),
-        "with-value",
+    entities = settled(
+        found.select("share", F.explode("entities").alias("e"))
+        .groupBy("e.level", "e.entity").agg(_texts(F.col("share")).alias("with_entity")),
+        "with-entity",
     )
     terms = settled(
         docs.select("share", F.explode(_terms_of(F.col("text"))).alias("term"))
         .groupBy("term").agg(_texts(F.col("share")).alias("with_term")),
         "with-term",
     )
-    total = docs.agg(_texts(F.col("share")).alias("total"))  # one row
-    tests = values.agg(F.count("*").alias("n_values")).crossJoin(terms.agg(F.count("*").alias("n_terms")))  # one row
-    counted = (
-        pairs.join(values, ["k", "value"]).join(terms, "term").join(F.broadcast(total)).join(F.broadcast(tests))
+    total = docs.agg(_texts(F.col("share")).alias("total"))
+    tests = entities.agg(F.count("*").alias("n_entities")).crossJoin(terms.agg(F.count("*").alias("n_terms")))
+    tests = total.crossJoin(tests).select(
+        "total", (F.log("n_entities") + F.log("n_terms") - F.log(F.lit(CHANCE))).alias("needed")
     )
-    shared = F.log(F.col("together") * F.col("total") / (F.col("with_value") * F.col("with_term")))
-    own = F.log(F.col("total") / F.col("with_value"))
-    with_both, overall = F.col("together") / F.col("with_value"), F.col("with_term") / F.col("total")
+    tests = settled(tests, "tests")  # one row
+    spread = lambda df: df.join(F.broadcast(tests))
+
+    # no pair proves more than log(total) for each text with both
+    often = settled(
+        spread(entities).where(F.col("with_entity") * F.log("total") >= F.col("needed")), "often"
+    )
+    words = found.select("_row", "share", F.explode("terms").alias("term"))
+    enough = spread(words.groupBy("term").agg(_texts(F.col("share")).alias("n"))).where(
+        F.col("n") * F.log("total") >= F.col("needed")
+    )
+    enough = settled(enough.select("term"), "candidate-terms")
+    held = found.select("_row", F.explode("entities").alias("e")).select("_row", "e.level", "e.entity")
+    held = held.join(often.select("level", "entity"), ["level", "entity"], "left_semi")
+    held = held.groupBy("_row").agg(F.collect_list(F.struct("level", "entity")).alias("es"))  # those of one text
+    pairs = (
+        words.join(enough, "term", "left_semi").join(held, "_row")
+        .select("share", "term", F.explode("es").alias("e"))
+        .groupBy("e.level", "e.entity", "term").agg(_texts(F.col("share")).alias("together"))
+    )
+    counted = pairs.join(often, ["level", "entity"]).join(terms, "term")
+    shared = F.log(F.col("together") * F.col("total") / (F.col("with_entity") * F.col("with_term")))
+    own = F.log(F.col("total") / F.col("with_entity"))
+    with_both, overall = F.col("together") / F.col("with_entity"), F.col("with_term") / F.col("total")
     without = F.when(with_both < 1, (1 - with_both) * F.log((1 - with_both) / (1 - overall))).otherwise(0.0)
-    by_chance = -F.col("with_value") * (with_both * F.log(with_both / overall) + without)
-    proven = by_chance + F.log("n_values") + F.log("n_terms") <= F.log(F.lit(CHANCE))
-    return counted.where((own > 0) & (shared > 0) & proven).select(
-        "k", "value", "term", (shared / own).alias("disclosure")
-    ).where(F.col("disclosure") >= GENERALISE)
+    proof = F.col("with_entity") * (with_both * F.log(with_both / overall) + without)
+    revealing = (F.col("level"), F.col("entity"), F.col("term"), (shared / own).alias("disclosure"))
+    by_count = counted.where((own > 0) & (shared > 0) & (proof >= F.col("needed"))).select(*revealing)
+
+    named = settled(
+        found.select("share", "terms", F.explode("names").alias("n"))
+        .select("n.*", "share", F.array_contains("terms", F.col("n.term")).alias("beside"))
+        .groupBy("level", "entity", "term")
+        .agg(F.sum("share").alias("cases"), _texts(F.when(F.col("beside"), F.col("share"))).alias("together"))
+        .join(terms, "term"),
+        "names",
+    )
+    sums = spread(named).agg(
+        F.sum("together").alias("seen"), F.sum(F.col("cases") * F.col("with_term") / F.col("total")).alias("expected")
+    )
+    more = F.col("seen") * F.log(F.col("seen") / F.col("expected")) - (F.col("seen") - F.col("expected"))
+    proven = sums.where((F.col("seen") > F.col("expected")) & (more >= -F.log(F.lit(CHANCE)))).select("seen")
+    by_name = (
+        spread(named.where("together > 0").join(F.broadcast(proven)))  # one row or none
+        .join(entities, ["level", "entity"])
+        .where((own > 0) & (shared > 0))
+        .select(*revealing)
+    )
+    both = by_count.unionByName(by_name).where(F.col("disclosure") >= GENERALISE)
+    return both.groupBy("level", "entity", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def _marked(text: Column, base: Column, terms: Column) -> Column:
@@ -199,7 +291,7 @@ def _marked(text: Column, base: Column, terms: Column) -> Column:
 
     pieces = F.transform(
         F.slice(F.arrays_zip(between.alias("gap"), words.alias("word")), 1, F.size(words)),
-        lambda p: F.struct(p["gap"], p["word"], F.try_element_at(terms, F.lower(p["word"])).alias("disclosure")),
+        lambda p: F.struct(p["gap"], p["word"], F.try_element_at(terms, _term(p["word"])).alias("disclosure")),
     )
     spans = F.aggregate(pieces, empty, add, lambda acc: acc["spans"])
     inside = lambda w: F.exists(base, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
@@ -210,7 +302,7 @@ def find(docs: DataFrame) -> DataFrame:
     """(doc_id, _text, base, terms): spans of each row of `docs`, in code points, ends exclusive.
 
     `base` are the pattern matches (start, k, end, value), k the place in KINDS, by start and k; `terms`
-    are all words (start, end, disclosure) of a text that disclose a value in it, none of them inside a
+    are all words (start, end, disclosure) of a text that disclose an entity in it, none of them inside a
     base span, by start. `_text` is a hash of the text, which with doc_id tells rows apart.
 
     A null or empty text has no spans. Rows without a doc_id are rows like others; rows that are equal
@@ -218,13 +310,22 @@ def find(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shared = with_share(docs)
+    base = F.col("base")
     found = shared.select(
         "doc_id", F.xxhash64("text").alias("_text"), "share", "text", pattern_spans(F.col("text")).alias("base")
-    )
-    with_data = settled(found.where(F.size("base") > 0), "values")
+    ).where(F.size("base") > 0).withColumns(
+        {"entities": _entities_of(base), "names": _names_of(base), "terms": _free_terms(F.col("text"), base)}
+    )
+    # ids only tell the rows of this table apart, which is written once
+    with_data = settled(found.withColumn("_row", F.monotonically_increasing_id()), "values")
     revealing = settled(disclosures(shared, with_data), "terms")
+    words = with_data.select("_row", F.explode("terms").alias("term"))
+    near = words.join(revealing.select("term").distinct(), "term", "left_semi")
+    held = with_data.select("_row", "doc_id", "_text", F.explode("entities").alias("e")).select(
+        "_row", "doc_id", "_text", "e.level", "e.entity"
+    )
     by_term = (
-        _pairs(with_data).join(revealing, ["k", "value", "term"])
+        near.join(held, "_row").join(revealing, ["level", "entity", "term"])
         .groupBy("doc_id", "_text", "term").agg(F.max("disclosure").alias("disclosure"))
         .groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"))
         .agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("by_term"))

@@ -179,7 +179,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionaries = langid.learn(docs.where(remainder(4) != 2))
     held_out = (remainder(4) == 2).alias("held_out")
     found = langid.identify(docs.select("doc_id", "text"), dictionaries, keep_text=False)
-    return found.select("doc_id", held_out, "lang_pred", "score")
+    return found.select("doc_id", held_out, "lang_pred", "score", "margin", "rejected")
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import brute
 import pytest
@@ -166,6 +167,54 @@ def test_terms_that_disclose(spark, table_of):
     assert found[70].clean_text == "write to Quibble at [EMAIL]"
 
 
+def planted(n=240):
+    """Texts with names beside their addresses and keys beside values, and such words elsewhere."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choices(letters, k=rng.randint(4, 8))) for _ in range(300)]
+    names = ["".join(rng.choices(letters, k=9)) for _ in range(40)]
+    docs, truth = {}, set()
+    for k in range(n):
+        words = [rng.choice(vocabulary) for _ in range(60)]
+        if k < 40:
+            words[10], words[30] = f"{names[k]}.{k:02d}@mail{k % 4}.org", names[k].title()
+            truth.add((k, names[k].title()))
+        elif k < 60:
+            key = "".join(rng.choices("0123456789abcdef", k=24)) + "a1"
+            words[5], words[40] = f"10.{k}.7.{k}", f'secret = "{key}"'
+            truth |= {(k, key), (k, "secret")}
+        docs[k] = " ".join(words)
+    return docs, truth
+
+
+def test_planted_names_and_keys(table_of):
+    docs, truth = planted()
+    out = pii.sanitise(table_of(docs)).where(F.size("terms") > 0).collect()
+    got = {(r.doc_id, r.text[t.start : t.end]) for r in out for t in r.terms}
+    assert len(got & truth) / len(truth) >= 0.95 and len(got & truth) / len(got) >= 0.95, (got ^ truth)
+    assert all(k < 60 for k, _ in got)
+    for r in out:
+        for t in r.terms:
+            assert t.disclosure >= pii.GENERALISE and r.text[t.start : t.end] not in r.clean_text.split()
+
+
+def test_names_by_chance_are_no_evidence(table_of):
+    docs, _ = planted()
+    # every text tells another one's name
+    names = {k: t.split()[30] for k, t in docs.items() if k < 40}
+    moved = {k: t.replace(names[k], names[(k + 1) % 40]) if k < 40 else t for k, t in docs.items()}
+    out = pii.find(table_of(moved)).where("doc_id < 40 AND size(terms) > 0")
+    assert out.collect() == []
+
+
+def test_terms_of_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = pii.sanitise(docs).where("size(terms) > 0").collect()
+    keys = [(r, t) for r in rows for t in r.terms if re.fullmatch("[0-9a-f]{32,}", r.text[t.start : t.end])]
+    assert keys and all(r.text[t.start : t.end] not in r.clean_text for r, t in keys)
+    assert all(not (t.start < b.end and b.start < t.end) for r in rows for t in r.terms for b in r.base)
+
+
 @pytest.mark.parametrize("run", [
     lambda e, _: line_dedup.dedup_lines(e), lambda e, _: ngram_join.similar_groups(e),
     lambda e, i: decontam.contamination(e, i), lambda e, _: quality_rules.judged(e), lambda e, _: pii.find(e),
