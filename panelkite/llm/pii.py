@@ -204,7 +204,7 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     copies of a text prove nothing. Counts count by what they prove: were the term dealt to texts at
     random, both would be together so often with at most exp(-with_entity * d) of probability (d the
     divergence of the shares of texts with the term, among those with the entity and among all); that,
-    times all entities and all terms, must not exceed CHANCE. Entities and terms in too few texts to
+    times all entities of the level and all terms, must not exceed the level's part of CHANCE. Entities and terms in too few texts to
     meet that bound with any partner are left out before pairs are made. Names are tested as one
     relation, by the bound on a sum of rare events. An entity that is in every text has no information
     to disclose.
@@ -219,22 +219,22 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
         .groupBy("term").agg(_texts(F.col("share")).alias("with_term")),
         "with-term",
     )
-    total = docs.agg(_texts(F.col("share")).alias("total"))
-    tests = entities.agg(F.count("*").alias("n_entities")).crossJoin(terms.agg(F.count("*").alias("n_terms")))
-    tests = total.crossJoin(tests).select(
-        "total", (F.log("n_entities") + F.log("n_terms") - F.log(F.lit(CHANCE))).alias("needed")
-    )
-    tests = settled(tests, "tests")  # one row
-    spread = lambda df: df.join(F.broadcast(tests))
+    total = settled(
+        docs.agg(_texts(F.col("share")).alias("total")).crossJoin(terms.agg(F.count("*").alias("n_terms"))), "total"
+    )  # one row
+    spread = lambda df: df.join(F.broadcast(total))
+    # each level has an equal part of CHANCE: a row per level
+    proof_needed = F.log(F.lit(ANY + 1.0)) + F.log("n") + F.log("n_terms") - F.log(F.lit(CHANCE))
+    levels = spread(entities.groupBy("level").agg(F.count("*").alias("n"))).select("level", proof_needed.alias("needed"))
+    levels = settled(levels, "levels")
 
     # no pair proves more than log(total) for each text with both
-    often = settled(
-        spread(entities).where(F.col("with_entity") * F.log("total") >= F.col("needed")), "often"
-    )
+    often = spread(entities.join(F.broadcast(levels), "level"))
+    often = settled(often.where(F.col("with_entity") * F.log("total") >= F.col("needed")), "often")
     words = found.select("_row", "share", F.explode("terms").alias("term"))
-    enough = spread(words.groupBy("term").agg(_texts(F.col("share")).alias("n"))).where(
-        F.col("n") * F.log("total") >= F.col("needed")
-    )
+    least = levels.agg(F.min("needed").alias("needed"))  # one row
+    enough = spread(words.groupBy("term").agg(_texts(F.col("share")).alias("n"))).join(F.broadcast(least))
+    enough = enough.where(F.col("n") * F.log("total") >= F.col("needed"))
     enough = settled(enough.select("term"), "candidate-terms")
     held = found.select("_row", F.explode("entities").alias("e")).select("_row", "e.level", "e.entity")
     held = held.join(often.select("level", "entity"), ["level", "entity"], "left_semi")

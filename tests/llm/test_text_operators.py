@@ -208,7 +208,7 @@ def test_names_by_chance_are_no_evidence(table_of):
 
 
 def test_terms_of_the_given_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     rows = pii.sanitise(docs).where("size(terms) > 0").collect()
     keys = [(r, t) for r in rows for t in r.terms if re.fullmatch("[0-9a-f]{32,}", r.text[t.start : t.end])]
     assert keys and all(r.text[t.start : t.end] not in r.clean_text for r, t in keys)
