@@ -190,7 +190,7 @@ eq AS (SELECT ts, symbol_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY ts) AS we
 
 def benchmark(spark, sf_dir):
     bars = tb.bars_daily(spark, sf_dir)
-    return pf.equal_weights(pn.densify(bars), sg.rebalance_dates(pn.session_index(bars)))
+    return pf.equal_weights(bars, sg.rebalance_dates(pn.session_index(bars)))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkite.functions.factors import sma
+from panelkite.operators.panel import tradable
 
 
 def fill_resolution(panel: DataFrame, decisions: DataFrame, fill_at: str = "open") -> DataFrame:
@@ -224,15 +225,24 @@ def curve_deviation(a: DataFrame, b: DataFrame, key: str = "run_id") -> DataFram
     )
 
 
-def equal_weights(panel: DataFrame, dates: DataFrame, cash_floor: float = 0.0) -> DataFrame:
-    """Benchmark weights: all symbols that can trade on a rebalance date share it equally."""
+def equal_weights(bars: DataFrame, dates: DataFrame, cash_floor: float = 0.0) -> DataFrame:
+    """Benchmark weights: all symbols that can trade on a rebalance date share it equally.
+
+    A symbol can trade where it has a bar with a close that is not halted, so bars do; the cells that
+    a dense panel adds have none. Two such bars of a symbol on one date are refused.
+    """
+    twice = F.raise_error(F.lit("a symbol has two bars on one date"))
+    # dates: one row per period, bounded by the calendar
     pool = (
-        panel.where(F.col("traded") & F.col("close").isNotNull())
+        bars.where(tradable(bars) & F.col("close").isNotNull())
         .select("ts", "symbol_id")
         .join(F.broadcast(dates), "ts", "left_semi")
+        .groupBy("ts", "symbol_id")
+        .agg(F.count("*").alias("_rows"))
+        .select("ts", F.when(F.col("_rows") > 1, twice).otherwise(F.col("symbol_id")).alias("symbol_id"))
     )
     # one count per date
-    counts = pool.groupBy("ts").agg(F.count("*").alias("_n"))
+    counts = pool.groupBy("ts").agg(F.count("symbol_id").alias("_n"))
     return pool.join(F.broadcast(counts), "ts").select(
         "ts", "symbol_id", (F.lit(1.0 - cash_floor) / F.col("_n")).alias("weight")
     )

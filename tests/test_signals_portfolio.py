@@ -260,3 +260,16 @@ def test_densify_grid(frame):
         (2, day(1)): (1, True, 2.0),
         (2, day(3)): (2, False, None),
     }
+
+
+def test_equal_weights_of_bars_and_panel(frame):
+    rows = [(1, day(0), 5.0, True), (2, day(0), 6.0, True), (3, day(0), None, True), (1, day(1), 5.0, False), (2, day(1), 6.0, True)]
+    bars = frame(rows, "symbol_id BIGINT, ts DATE, close DOUBLE, traded BOOLEAN")
+    dates = frame([(day(0),), (day(1),)], "ts DATE")
+    expected = [(day(0), 1, 0.45), (day(0), 2, 0.45), (day(1), 2, 0.9)]
+    for source in (bars, pn.densify(bars)):
+        got = sorted(tuple(r) for r in pf.equal_weights(source, dates, 0.1).collect())
+        assert [(t, s, pytest.approx(w)) for t, s, w in expected] == got
+    again = bars.unionByName(bars.where("symbol_id = 2 AND ts = DATE '2024-01-01'"))
+    with pytest.raises(Exception, match="two bars on one date"):
+        pf.equal_weights(again, dates).collect()
