@@ -109,7 +109,8 @@ def generated_panel(spark, sf_dir):
 def known_answer_nav(spark, sf_dir):
     """The total return recomputed from prices and actions against the declared one."""
     symbols, sessions, actions, halts, failures = parts(spark, sf_dir)
-    bars = sy.price_panel(symbols, sessions, actions, halts, failures, seed=7)
+    tasks = sy.series_tasks(symbols)
+    bars = sy.price_panel(symbols, sessions, actions, halts, failures, seed=7, tasks=tasks)
     kinds = F.inline(
         F.array(
             F.struct(F.lit("split").alias("kind"), F.col("split_ratio").alias("ratio"), F.lit(None).cast("double").alias("cash")),
@@ -118,8 +119,8 @@ def known_answer_nav(spark, sf_dir):
     )
     long = actions.select("symbol_id", F.col("ts").alias("ex_date"), kinds)
     navs = cl.total_return_index(bars, long)
-    expected = symbols.join(sessions, "exchange").select("symbol_id", "ts")
-    return sy.answer_check(bars, navs, expected).select(
+    expected = sy.session_grid(symbols, sessions, tasks).select("symbol_id", "ts")
+    return sy.answer_check(bars, navs, expected, tasks).select(
         "symbol_id", "missing", (F.col("max_dev") < 1e-9).alias("agrees")
     )
 

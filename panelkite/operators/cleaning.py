@@ -104,14 +104,27 @@ def actions_by_date(actions: DataFrame) -> DataFrame:
 
 
 def total_return_index(bars: DataFrame, actions: DataFrame, base: float = 1.0) -> DataFrame:
-    """Add total_return_nav from raw closes and actions on session dates; the first row is `base`."""
+    """Add total_return_nav from raw closes and actions on session dates; the first row is `base`.
+
+    The actions of a symbol, bounded by its calendar, meet its bars by symbol alone, so the bars are dealt
+    as the window needs them and not by symbol and date before.
+    """
+    day = F.struct("ts", F.struct("split_ratio", "dividend"))
+    known = (
+        actions_by_date(actions)
+        .where("ts IS NOT NULL")
+        .groupBy("symbol_id")
+        .agg(F.map_from_entries(F.collect_list(day)).alias("_actions"))
+    )
     w = Window.partitionBy("symbol_id").orderBy("ts")
     value = F.col("close") * F.coalesce("split_ratio", F.lit(1.0)) + F.coalesce("dividend", F.lit(0.0))
     growth = F.when(F.row_number().over(w) == 1, F.lit(1.0)).otherwise(
         F.try_divide(value, F.lag("close").over(w))
     )
     return (
-        bars.join(actions_by_date(actions), ["symbol_id", "ts"], "left")
+        bars.join(known, "symbol_id", "left")
+        .withColumn("_action", F.try_element_at("_actions", F.col("ts")))
+        .select(*bars.columns, "_action.split_ratio", "_action.dividend")
         .withColumn("_growth", growth)
         .withColumn(
             "total_return_nav",

@@ -40,6 +40,26 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Small tables are dealt over so many tasks, or the shuffle partitions if those are fewer.
+MIN_TASKS = 8
+#: Rows that one task sorts or groups. Memory of a task is then bounded however large the table is.
+ROWS_PER_TASK = 200_000
+
+
+def tasks_of(spark: SparkSession, rows: int) -> int:
+    """Tasks to deal `rows` over, in proportion to them.
+
+    The session's number of shuffle partitions may be too small for a large table, and tasks merged by
+    their compressed size hold too many rows; ``repartition`` with this number is neither.
+    """
+    return max(min(MIN_TASKS, partitions_of(spark)), -(-rows // ROWS_PER_TASK))
+
+
+def tasks_for(stored: DataFrame) -> int:
+    """Tasks for the rows of a stored table, which are counted from the footers of its files."""
+    return tasks_of(stored.sparkSession, stored.count())
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 

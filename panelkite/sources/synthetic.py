@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkite.session import partitions_of
+
 
 def digest(*parts: Column) -> Column:
     """Hex text fixed by the parts; `uniform` and `normal` read numbers from it."""
@@ -22,13 +24,31 @@ def normal(hexes: Column | str) -> Column:
     return F.sqrt(-2.0 * F.ln(uniform(hexes))) * F.cos(uniform(hexes, 1) * (2 * 3.141592653589793))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash by `key` into the full number of partitions.
+#: Series of the same calendar that one task makes.
+SERIES_PER_TASK = 200
+
+
+def series_tasks(series: DataFrame) -> int:
+    """Tasks for a small table whose rows each become a whole series, in proportion to its rows."""
+    return max(partitions_of(series.sparkSession), -(-series.count() // SERIES_PER_TASK))
+
+
+def spread(df: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """Hash by `key` into a number of partitions that grows with the rows, unless it is given.
 
     For a small table whose rows each become a whole series: the rows are shuffled before they
     multiply, the series need no shuffle after, and the fixed number keeps them from being merged.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(series_tasks(df) if tasks is None else tasks, key)
+
+
+def session_grid(symbols: DataFrame, sessions: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Every symbol on its exchange's sessions, with the position idx; dealt by symbol over `tasks`."""
+    # one row per exchange and day, held as one sorted array per exchange
+    days = sessions.groupBy("exchange").agg(F.array_sort(F.collect_set("ts")).alias("_days"))
+    tasks = series_tasks(symbols) if tasks is None else tasks
+    rows = spread(symbols.join(days, "exchange"), "symbol_id", tasks)
+    return rows.select(*symbols.columns, F.posexplode("_days").alias("idx", "ts"))
 
 
 def price_panel(
@@ -38,6 +58,7 @@ def price_panel(
     halts: DataFrame | None = None,
     failures: DataFrame | None = None,
     seed: int = 0,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Bars and analytic total return of every symbol on its exchange's sessions.
 
@@ -45,23 +66,33 @@ def price_panel(
     actions: symbol_id, ts, split_ratio, dividend; halts and failures: symbol_id, ts.
     With growth g, split r and dividend d the close is g * previous / r - d. Unrolled, that is
     A * (first - sum of d / A), A the running product of g / r, so no walk over days is needed.
-    Halted days do not move and have no volume; failed days have no row but do move the return.
+    `tasks` share the symbols, a number in proportion to the symbols unless given. Halted days do not move and have no volume; failed days have no row but do move the return.
     """
-    # one row per exchange and day, held as one sorted array per exchange
-    days = sessions.groupBy("exchange").agg(F.array_sort(F.collect_set("ts")).alias("_days"))
-    grid = spread(symbols.join(days, "exchange"), "symbol_id").select(
-        "symbol_id", "init_price", "mu", "sigma", F.posexplode("_days").alias("idx", "ts")
-    )
+    tasks = series_tasks(symbols) if tasks is None else tasks
     key = ["symbol_id", "ts"]
     empty = "symbol_id BIGINT, ts DATE"
     spark = symbols.sparkSession
     actions = actions or spark.createDataFrame([], f"{empty}, split_ratio DOUBLE, dividend DOUBLE")
     halts = halts or spark.createDataFrame([], empty)
     failures = failures or spark.createDataFrame([], empty)
-    marked = (
-        grid.join(actions, key, "left")
-        .join(halts.select(*key, F.lit(True).alias("_halt")), key, "left")
-        .join(failures.select(*key, F.lit(True).alias("_fail")), key, "left")
+    marked = symbols.select("symbol_id", "exchange", "init_price", "mu", "sigma")
+    marks = {"_actions": actions.select(*key, "split_ratio", "dividend"), "_halts": halts.select(*key), "_failures": failures.select(*key)}
+    # the marks of a symbol, bounded by its calendar, meet it before its row becomes a series, which is then not shuffled
+    for name, mark in marks.items():
+        rows = F.collect_list(F.struct(*[c for c in mark.columns if c != "symbol_id"]))
+        marked = marked.join(mark.groupBy("symbol_id").agg(rows.alias(name)), "symbol_id", "left")
+    marked = session_grid(marked, sessions, tasks)
+
+    def on_day(name: str) -> Column:
+        return F.filter(name, lambda m: m["ts"] == F.col("ts"))
+
+    marked = marked.select("*", F.explode_outer(on_day("_actions")).alias("_action"))
+    marked = marked.select("*", F.explode_outer(on_day("_halts")).alias("_halted"))
+    marked = marked.select("*", F.explode_outer(on_day("_failures")).alias("_failed")).select(
+        *key,
+        *("idx", "init_price", "mu", "sigma", "_action.split_ratio", "_action.dividend"),
+        F.when(F.col("_halted").isNotNull(), True).alias("_halt"),
+        F.when(F.col("_failed").isNotNull(), True).alias("_fail"),
     )
     w = Window.partitionBy("symbol_id").orderBy("ts")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -180,17 +211,22 @@ def full_calendar(sessions: DataFrame, start: str, end: str, close_hour: int = 7
     )
 
 
-def answer_check(bars: DataFrame, navs: DataFrame, sessions: DataFrame) -> DataFrame:
+def answer_check(bars: DataFrame, navs: DataFrame, sessions: DataFrame, tasks: int | None = None) -> DataFrame:
     """Whether a recomputed total return gives the declared one back.
 
     Per symbol: the sessions without a bar, and the largest relative distance on the dates seen.
     A symbol with missing sessions cannot be reproduced day by day. On the dates it does have, only
-    an action that fell into the gap makes a difference.
+    an action that fell into the gap makes a difference. With `tasks`, so many tasks share the dates.
     """
+    key = ["symbol_id", "ts"]
+    declared, found = bars.select(*key, "tri"), navs.select(*key, "total_return_nav")
+    if tasks is not None:
+        declared, found = declared.repartition(tasks, *key), found.repartition(tasks, *key)
     expected = sessions.groupBy("symbol_id").agg(F.count_distinct("ts").alias("_sessions"))
     return (
-        bars.select("symbol_id", "ts", "tri")
-        .join(navs.select("symbol_id", "ts", "total_return_nav"), ["symbol_id", "ts"])
+        declared
+        # a generated series looks small to the planner, which does not see its rows multiply: never broadcast it
+        .join(found.hint("merge"), key)
         .groupBy("symbol_id")
         .agg(
             F.count("*").alias("_seen"),
