@@ -26,7 +26,7 @@ from panelkite.operators import constraints as ct
 from panelkite.operators import joins as jn
 from panelkite.operators import quality as qc
 from panelkite.operators import signals as sg
-from panelkite.operators.panel import densify
+from panelkite.operators.panel import densify, panel_tasks
 from panelkite.plans import testbed as tb
 from panelkite.session import settle
 
@@ -585,14 +585,16 @@ def dq_future_leak(spark, sf_dir):
     def peeking(bars):
         """An operator that looks one session ahead, next to causal ones that must not show up."""
         nxt = F.lead("close").over(Window.partitionBy("symbol_id").orderBy("ts"))
-        return densify(bars).select(
+        return densify(bars, tasks=tasks).select(
             *KEY,
             rounded(fx.sma("close", 20)).alias("sma"),
             rounded(fx.momentum("close", 63)).alias("momentum"),
             rounded(nxt).alias("nxt"),
         )
 
-    return ct.future_leak(tb.bars_daily(spark, sf_dir), peeking, "1999-06-30").select(*KEY, "nxt")
+    bars = settle(tb.bars_daily(spark, sf_dir), "bars-daily")
+    tasks = panel_tasks(bars)
+    return ct.future_leak(bars, peeking, "1999-06-30", tasks=tasks).select(*KEY, "nxt")
 
 
 @query(

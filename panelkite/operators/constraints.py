@@ -265,10 +265,27 @@ def future_leak(
     cut: str,
     factor: float = 3.0,
     value: str = "close",
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Rows up to `cut` that change when every value after it is scaled; empty for causal operators."""
+    """Rows up to `cut` that change when every value after it is scaled; empty for causal operators.
+
+    A row counts as often as the scaled values do not give it back. With `tasks`, so many tasks share
+    the comparison, dealt by the columns that are not fractions.
+    """
     end = F.lit(cut).cast("date")
     moved = bars.withColumn(
         value, F.when(F.col("ts") > end, F.col(value) * factor).otherwise(F.col(value))
     )
-    return compute(bars).where(F.col("ts") <= end).exceptAll(compute(moved).where(F.col("ts") <= end))
+    before, after = (compute(df).where(F.col("ts") <= end) for df in (bars, moved))
+    if tasks is None:
+        return before.exceptAll(after)
+    keys = [f.name for f in before.schema.fields if f.dataType.typeName() not in ("double", "float")]
+    both = before.withColumn("_n", F.lit(1)).union(after.withColumn("_n", F.lit(-1)))
+    return (
+        both.repartition(tasks, *keys)
+        .groupBy(*before.columns)
+        .agg(F.sum("_n").alias("_n"))
+        .where("_n > 0")
+        .select(*before.columns, F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))).alias("_n"))
+        .drop("_n")
+    )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from panelkite.session import tasks_of
+
 
 def so_far() -> WindowSpec:
     by_symbol = Window.partitionBy("symbol_id").orderBy("ts")
@@ -31,14 +33,21 @@ def session_index(bars: DataFrame) -> DataFrame:
     return session_list(bars).select(F.posexplode("sessions").alias("idx", "ts"))
 
 
-def densify(bars: DataFrame, values: Sequence[str] = ("close",)) -> DataFrame:
+def panel_tasks(stored: DataFrame) -> int:
+    """Tasks for the dense panel of stored bars, by its cells: about symbols times dates."""
+    n = stored.agg(F.approx_count_distinct("symbol_id").alias("symbols"), F.approx_count_distinct("ts").alias("dates")).first()
+    return tasks_of(stored.sparkSession, n.symbols * n.dates)
+
+
+def densify(bars: DataFrame, values: Sequence[str] = ("close",), tasks: int | None = None) -> DataFrame:
     """One row per symbol and session: (symbol_id, ts, idx, traded, *values).
 
     Cells without a bar have NULL values and traded=false. Only the bars that exist are shuffled, by
     symbol_id; each then fills the sessions up to its symbol's next bar, and the first one those
     before it. Later windows over the symbol need no further shuffle. Two bars of a
     symbol on one session are refused. Every symbol ends with one row per session, also one whose bars
-    all lie outside the sessions, so none is larger than another.
+    all lie outside the sessions, so none is larger than another. With `tasks`, so many tasks share the
+    symbols (`panel_tasks`), otherwise as many as the session has shuffle partitions.
     """
     index = session_index(bars).withColumnRenamed("idx", "_at")
     days = session_list(bars).scalar()
@@ -49,8 +58,11 @@ def densify(bars: DataFrame, values: Sequence[str] = ("close",)) -> DataFrame:
     own = F.coalesce(F.col("idx") == F.col("_at"), F.lit(False))
     twice = F.raise_error(F.lit("a symbol has two bars on one date"))
     cells = F.when(F.col("_next") == F.col("_at"), twice).when(F.col("_b") >= F.col("_a"), F.sequence("_a", "_b"))
+    rows = bars.select("symbol_id", "ts", tradable(bars).alias("traded"), *values)
+    if tasks is not None:
+        rows = rows.repartition(tasks, "symbol_id")
     return (
-        bars.select("symbol_id", "ts", tradable(bars).alias("traded"), *values)
+        rows
         # one row per session date: bounded by the calendar
         .join(F.broadcast(index), "ts", "left")
         .withColumns({"_inside": inside, "_n": F.row_number().over(w)})
