@@ -12,6 +12,7 @@ from panelkite.operators import holdings as hd
 from panelkite.operators import panel as pn
 from panelkite.operators import signals as sg
 from panelkite.plans import testbed as tb
+from panelkite.session import settle
 
 BY = "(PARTITION BY symbol_id ORDER BY ts)"
 CUM = "(PARTITION BY symbol_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -161,14 +162,16 @@ def ma_cross_weights(spark, sf_dir):
     + f"SELECT ts, symbol_id, {r('weight')} AS weight FROM weights WHERE weight > 0",
 )
 def ranked_universe_weights(spark, sf_dir):
-    bars = tb.bars_weekly(spark, sf_dir)
+    bars = settle(tb.bars_weekly(spark, sf_dir), "bars-weekly")
+    tasks = pn.panel_tasks(bars)
     weights = sg.target_weights(
-        pn.densify(bars),
+        pn.densify(bars, tasks=tasks),
         pn.session_index(bars),
         bars,
         score=rounded(fx.momentum("close", 12)),
         lookback=12,
         top_n=20,
+        tasks=tasks,
     )
     return weights.where("weight > 0").select("ts", "symbol_id", rounded("weight").alias("weight"))
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkite.session import settle
+from panelkite.session import partitions_of, settle
 
 
 @dataclass(frozen=True)
@@ -34,15 +34,36 @@ def settled(holdings: Holdings) -> Holdings:
 
 
 def export(holdings: Holdings, universe: DataFrame) -> DataFrame:
-    """(ts, symbol_id, weight) for every date and symbol, zeros included."""
-    # one entry per rebalance date: bounded by the calendar
-    dates = holdings.dates.agg(F.collect_set("ts")).scalar()
-    zeros = universe.select("symbol_id").distinct().select(F.explode(dates).alias("ts"), "symbol_id")
-    rows = zeros.withColumn("weight", F.lit(0.0)).unionByName(
-        holdings.held.select("ts", "symbol_id", F.col("weight").cast("double").alias("weight"))
+    """(ts, symbol_id, weight) for every date and symbol, zeros included.
+
+    What a symbol holds meets its zeros as one row, so the zeros, by far the most rows, are neither
+    grouped nor shuffled. The fixed number of partitions keeps them from being written by a single task.
+    """
+    # one row, an entry per rebalance date: bounded by the calendar
+    dates = holdings.dates.agg(F.collect_set("ts").alias("_dates"))
+    cells = holdings.held.groupBy("ts", "symbol_id").agg(F.sum(F.col("weight").cast("double") + 0.0).alias("weight"))
+    held = cells.select("symbol_id", F.struct("ts", "weight").alias("_cell"))
+    known = universe.select("symbol_id").distinct().withColumn("_known", F.lit(True))
+    by_symbol = (
+        known.unionByName(held, allowMissingColumns=True)
+        .repartition(partitions_of(universe.sparkSession), "symbol_id")
+        .groupBy("symbol_id")
+        .agg(F.coalesce(F.max("_known"), F.lit(False)).alias("_known"), F.collect_list("_cell").alias("_cells"))
+        .crossJoin(F.broadcast(dates))
+        # rows held outside the universe come back as well: none is dropped
+        .withColumn("_dates", F.when(F.col("_known"), F.col("_dates")).otherwise(F.array_except("_dates", "_dates")))
+    )
+    rest = F.array_except("_dates", F.transform("_cells", lambda c: c["ts"]))
+
+    def cell(ts: Column, weight: Column) -> Column:
+        return F.struct(ts.alias("ts"), weight.alias("weight"))
+
+    zeros = F.transform(rest, lambda d: cell(d, F.lit(0.0)))
+    filled = F.transform(
+        "_cells",
+        lambda c: cell(c["ts"], F.coalesce(c["weight"], F.when(F.array_contains("_dates", c["ts"]), 0.0))),
     )
-    # rows held outside the universe come back as well: none is dropped
-    return rows.groupBy("ts", "symbol_id").agg(F.sum("weight").alias("weight"))
+    return by_symbol.select("symbol_id", F.inline(F.concat(filled, zeros))).select("ts", "symbol_id", "weight")
 
 
 def _lanes(*values: Column) -> list[Column]:

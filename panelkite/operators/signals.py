@@ -67,22 +67,31 @@ def fallback_score(window: int = 63) -> Column:
 
 
 def top_n_weights(
-    eligible: DataFrame, score: str = "score", top_n: int = 3, cash_floor: float = 0.0, pieces: int | None = None
+    eligible: DataFrame,
+    score: str = "score",
+    top_n: int = 3,
+    cash_floor: float = 0.0,
+    pieces: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Equal weights of the best `top_n` rows per date: (ts, symbol_id, weight).
 
     Ties go to the smaller id; a date with any infinite score is chosen by id alone. Each date is
     first cut down within `pieces` hash groups, as many as shuffle partitions unless given, so no task
-    ranks all symbols of a date.
+    ranks all symbols of a date. With `tasks`, so many tasks share the groups.
     """
     pieces = pieces or partitions_of(eligible.sparkSession)
     s, by_score, by_id = F.col(score), [F.col(score).desc(), F.col("symbol_id")], [F.col("symbol_id")]
     part = Window.partitionBy("ts", "_piece")
-    first = (
+    known = (
         eligible.where(s.isNotNull() & ~F.isnan(s))
         .select("ts", "symbol_id", s)
         .withColumn("_piece", F.pmod(F.xxhash64("symbol_id"), F.lit(pieces)))
-        .withColumn("_odd", F.max(F.abs(s) == float("inf")).over(part))
+    )
+    if tasks is not None:
+        known = known.repartition(tasks, "ts", "_piece")
+    first = (
+        known.withColumn("_odd", F.max(F.abs(s) == float("inf")).over(part))
         .withColumn("_a", F.row_number().over(part.orderBy(*by_score)))
         .withColumn("_b", F.row_number().over(part.orderBy(*by_id)))
         .where((F.col("_a") <= top_n) | (F.col("_b") <= top_n))
@@ -110,13 +119,14 @@ def target_holdings(
     top_n: int = 3,
     cash_floor: float = 0.0,
     rule: str = "W-MON",
+    tasks: int | None = None,
 ) -> Holdings:
     """What is held at every rebalance date.
 
     A symbol is eligible when it can trade, has a score, its quote is fresh and its state is long.
     Dates without one hold cash. Without an entry rule every symbol is long; without a score the
     momentum over `window` sessions ranks. `lookback` is the longest window of the rules and, with 5 as
-    the least, the freshness allowance.
+    the least, the freshness allowance. `tasks` as in ``top_n_weights``.
     """
     dates = rebalance_dates(sessions, rule)
     allowance = max(lookback if score is not None else window, 5)
@@ -134,7 +144,7 @@ def target_holdings(
         is_fresh(valid, allowance).alias("_fresh"),
     ).join(F.broadcast(dates), "ts", "left_semi")
     eligible = at_dates.where("traded AND score IS NOT NULL AND _fresh AND _held = 1")
-    return Holdings(dates, top_n_weights(eligible, "score", top_n, cash_floor))
+    return Holdings(dates, top_n_weights(eligible, "score", top_n, cash_floor, tasks=tasks))
 
 
 def target_weights(panel: DataFrame, sessions: DataFrame, universe: DataFrame, **rules) -> DataFrame:
