@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelkite.operators.joins import union_frames
 from panelkite.operators.panel import expected_sessions
-from panelkite.session import settle
+from panelkite.session import settle, tasks_for
 
 # Fixed thresholds of the rules.
 JUMP_SIGMA = 8.0
@@ -125,13 +125,16 @@ def check_unique_keys(bars: DataFrame, keys: Sequence[str] = ("symbol_id", "ts",
     return finding("unique_keys", duplicate_keys(bars, keys), keys, F.col("rows"))
 
 
-def unsorted_symbols(bars: DataFrame, seq: str, block: int = 1_000_000) -> DataFrame:
+def unsorted_symbols(bars: DataFrame, seq: str, block: int = 1_000_000, tasks: int | None = None) -> DataFrame:
     """Symbols whose ts ever falls along the arrival sequence `seq`.
 
     The sequence is cut into blocks that are checked apart; then only the first and last ts of
     neighbouring blocks are compared, so a symbol with most of the rows is spread over its blocks.
+    With `tasks`, so many tasks share the blocks.
     """
     rows = bars.select("symbol_id", "ts", seq, F.floor(F.col(seq) / block).alias("_b"))
+    if tasks is not None:
+        rows = rows.repartition(tasks, "symbol_id", "_b")
     inside = Window.partitionBy("symbol_id", "_b").orderBy(seq)
     blocks = (
         rows.withColumn("_falls", F.lag("ts").over(inside) > F.col("ts"))
@@ -165,10 +168,19 @@ def calendar_gaps(bars: DataFrame, symbols: DataFrame, calendar: DataFrame) -> D
 
 
 def price_jumps(
-    bars: DataFrame, price: str = "close_adj", sigma: float = JUMP_SIGMA, floor: float = JUMP_FLOOR
+    bars: DataFrame,
+    price: str = "close_adj",
+    sigma: float = JUMP_SIGMA,
+    floor: float = JUMP_FLOOR,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Log returns beyond `floor` and beyond `sigma` deviations of the returns *before* that day."""
+    """Log returns beyond `floor` and beyond `sigma` deviations of the returns *before* that day.
+
+    With `tasks`, so many tasks share the symbols.
+    """
     price = price if price in bars.columns else "close"
+    if tasks is not None:
+        bars = bars.select("symbol_id", "ts", price).repartition(tasks, "symbol_id")
     w = Window.partitionBy("symbol_id").orderBy("ts")
     before = w.rowsBetween(-JUMP_WINDOW, -1)
     everything = Window.partitionBy("symbol_id")
@@ -247,15 +259,20 @@ def run_all_checks(
     fx: DataFrame | None = None,
     adjusted: DataFrame | None = None,
 ) -> DataFrame:
-    """All rules, one row each; rules without their table report as skipped."""
+    """All rules, one row each; rules without their table report as skipped.
+
+    The bars are written once, as every rule reads them, and dealt over tasks by their number.
+    """
+    bars = settle(bars, "checked-bars")
+    tasks = tasks_for(bars)
     key = ["symbol_id", "ts"]
     unique = [*key, "snapshot_id"]
     ran = ["positive_prices", "ohlc_relations", "unique_keys", "sorted_by_ts", "price_jumps"]
     rows = [
         price_rule_rows(bars, key),
         violation_rows("unique_keys", duplicate_keys(bars, unique), unique, F.col("rows")),
-        violation_rows("sorted_by_ts", unsorted_symbols(bars, seq), ["symbol_id"]),
-        violation_rows("price_jumps", price_jumps(bars if adjusted is None else adjusted), key),
+        violation_rows("sorted_by_ts", unsorted_symbols(bars, seq, tasks=tasks), ["symbol_id"]),
+        violation_rows("price_jumps", price_jumps(bars if adjusted is None else adjusted, tasks=tasks), key),
     ]
     left_out = []
     if calendar is None or symbols is None:
