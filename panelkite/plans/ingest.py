@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelkite import schema
 from panelkite.operators.constraints import ingest_gate
+from panelkite.session import settle
 from panelkite.sources.common import stamp
 from panelkite.sources.fingerprint import fingerprint, snapshot_id
 from panelkite.sources.ledger import current_status, insert_absent, ledger_rows
@@ -59,9 +60,11 @@ def ingest(
     A snapshot is complete with its ledger rows, one for each table, and then published. The same content
     again is recognised by them and not rewritten. Without them an earlier attempt was cut short; its
     tables are kept where their content is right and written anew where not. The events say running
-    before the write and ok after it, or aborted when the write fails.
+    before the write and ok after it, or aborted when the write fails. The tables are computed once and
+    written to the scratch folder, as the gate, the fingerprint and the snapshot each read them.
     """
     spark = next(iter(tables.values())).sparkSession
+    tables = {t: settle(df, f"ingest-{t}") for t, df in tables.items()}
     refuse_broken(tables)
     name = snapshot_id(source, tables).first().snapshot_id
     listed = ledger_of(spark, root).where(F.col("snapshot_id") == name).select("dataset").collect()
